@@ -12,7 +12,6 @@ padding and are transitions of their own, at a fixed price.
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ from .spark_tools import ship
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to long"
 #: Tokens packed together; only a block's last window can be short.
 BLOCK = 1 << 20
-SENTENCE, INSIDE, SMALLER, STRETCH = 2.0, 6.0, 64.0, 16
+SENTENCE, INSIDE, SMALLER, STRETCH = 2.0, 6.0, 64.0, 24
 
 
 def cuts(ids: np.ndarray, ends: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,33 +50,39 @@ def cuts(ids: np.ndarray, ends: np.ndarray, sentence: np.ndarray) -> tuple[np.nd
 
 def windows(at: np.ndarray, price: np.ndarray, window: int) -> np.ndarray:
     """Ends of the cheapest windows that cover the positions up to at[-1]."""
-    place = [0, *at.tolist()]
-    fee = [0.0, *price.tolist()]
-    smaller = []
-    full = np.array(place)
+    full = np.concatenate([[0], at])
+    smaller: dict[int, list[int]] = {}
     size = window // 2
     while size >= max(1, window // 4):
-        j = np.searchsorted(full, full - size)
-        smaller.append(np.where(full[np.minimum(j, full.size - 1)] == full - size, j, -1).tolist())
+        j = np.minimum(np.searchsorted(full, full - size), full.size - 1)
+        for i in np.flatnonzero(full[j] == full - size).tolist():
+            smaller.setdefault(i, []).append(int(j[i]))
         size //= 2
-    cost, came = [0.0] * len(place), [0] * len(place)
-    queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])  # cost + place, place, index
-    for i in range(1, len(place)):
+    # the first place that a window ending here can start at
+    oldest = np.searchsorted(full, full - window).tolist()
+    place = full.tolist()
+    fee = np.concatenate([[0.0], price]).tolist()
+    n = len(place)
+    cost, came = [0.0] * n, [0] * n
+    keys, who, head, tail = [0.0] * n, [0] * n, 0, 1  # the queue: cost + place, ascending, and its index
+    for i in range(1, n):
+        old = oldest[i]
+        while who[head] < old:
+            head += 1
         p = place[i]
-        while queue[0][1] < p - window:
-            queue.popleft()
-        best, _, k = queue[0]
-        best += window - p
-        for s in smaller:
-            j = s[i]
-            if j >= 0 and cost[j] + SMALLER < best:
-                best, k = cost[j] + SMALLER, j
+        k = who[head]
+        best = keys[head] + window - p
+        if i in smaller:
+            for j in smaller[i]:
+                if cost[j] + SMALLER < best:
+                    best, k = cost[j] + SMALLER, j
         best += fee[i]
         cost[i], came[i] = best, k
-        key = best + p
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, p, i))
+        best += p
+        while tail > head and keys[tail - 1] >= best:
+            tail -= 1
+        keys[tail], who[tail] = best, i
+        tail += 1
     out, i = [], len(place) - 1
     while i:
         out.append(place[i])
