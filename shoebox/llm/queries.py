@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, decontaminate, minhash, packing, perplexity, quality, toxicity
+from . import chunks, decontaminate, html_text, minhash, packing, perplexity, quality, tool_calls, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(table(spark, sf_dir, "pages"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -45,10 +49,32 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.linked(*tool_calls.from_chat(table(spark, sf_dir, "conversations")))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_minhash_near_dedup, op4_packing, op5_quality_classifier, op6_substring_dedup, op7_quality_rules, op10_benchmark_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op2_minhash_near_dedup,
+        op3_warc_derivatives,
+        op4_packing,
+        op5_quality_classifier,
+        op6_substring_dedup,
+        op7_quality_rules,
+        op8_html_extraction,
+        op9_chat_formatting,
+        op10_benchmark_decontamination,
+    )
+}
 
 ORACLE: dict[str, str] = {}
