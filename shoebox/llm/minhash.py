@@ -8,9 +8,10 @@ documents at once; a document stops as soon as its largest value is below j.
 
 Documents with equal sets form a class with one representative.  Representatives meet
 in bands of the signature; a bucket's members are compared with its smallest member
-first (one row each), pairs already connected are skipped, and what remains unconnected
-in a bucket is compared in further rounds until every pair of a bucket is in one
-component or was checked on full sets.  A pair with the threshold's similarity misses
+first (one row each) and pairs already connected are skipped.  Where a bucket then still
+holds several components, its members are compared on full sets in pairs of bounded
+blocks, so each pair of a bucket is in one component, was checked, or differs too much
+in size.  A pair with the threshold's similarity misses
 all bands with a probability below 1e-8 (threshold 0.85; 40 bands of 6).
 """
 
@@ -29,8 +30,8 @@ from .spark_tools import components, forget, saved, ship
 BANDS, ROWS = 40, 6
 #: A prime of at least BANDS * ROWS positions.
 POSITIONS = 241
-#: Unresolved buckets up to this size compare their members at once, larger ones member by member.
-BLOCK = 24
+#: Documents of a block; two blocks are compared at once.
+BLOCK = 192
 
 
 def supermin(h: np.ndarray, off: np.ndarray, m: int = POSITIONS) -> np.ndarray:
@@ -115,6 +116,75 @@ def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_linked(percent), "a long, b long")
 
 
+def _block_links(percent: int):
+    """Enough of the links between different labels in a pair of blocks to join what they join."""
+
+    def go(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("shingles")]
+        label = table.column("label").to_numpy()
+        size = np.array([s.size for s in sets], np.int64)
+        _, element, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        keep = count[element] > 1
+        row, element = np.repeat(np.arange(size.size), size)[keep], element[keep]
+        place = np.cumsum(count > 1) - 1
+        element = place[element]
+        order = np.argsort(element, kind="stable")
+        row, element = row[order], element[order]
+        both = np.zeros((size.size, size.size), np.float32)  # whole numbers below 2**24
+        for first in range(0, int(element[-1]) + 1 if element.size else 0, 4096):
+            a, b = np.searchsorted(element, (first, first + 4096))
+            part = np.zeros((size.size, 4096), np.float32)
+            part[row[a:b], element[a:b] - first] = 1
+            both += part @ part.T
+        both = both.astype(np.int64)
+        near = np.argwhere((label[:, None] != label[None, :]) & (100 * both >= percent * (size[:, None] + size[None, :] - both)))
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := root.get(x, x)) != x:
+                x = y
+            return x
+
+        picked = []
+        for i, j in near[near[:, 0] < near[:, 1]].tolist():
+            p, q = find(int(label[i])), find(int(label[j]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                picked.append((i, j))
+        ids = table.column("id").combine_chunks()
+        return pa.table({"a": ids.take(pa.array([i for i, _ in picked], pa.int64())), "b": ids.take(pa.array([j for _, j in picked], pa.int64()))})
+
+    return go
+
+
+def _links_in_blocks(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different labels of the same part. docs: id, label, part, n_shingles.
+
+    A part's documents go to classes of set sizes, a class to blocks of about BLOCK
+    documents; each block meets the blocks of its class and of the next, which holds all
+    sizes that can be similar.  No pair becomes a row before it is known to be linked.
+    """
+    ratio = float(np.log(100 / percent)) if percent < 100 else 1e-9
+    docs = docs.withColumn("k", F.floor(F.log(F.col("n_shingles").cast("double")) / ratio).cast("long"))
+    n = docs.groupBy("part", "k").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    docs = docs.join(n, ["part", "k"]).withColumn("h", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    for step, name in ((-1, "before"), (1, "after")):
+        docs = docs.join(n.select("part", (F.col("k") - step).alias("k"), F.col("blocks").alias(name)), ["part", "k"], "left")
+    index = lambda name: F.when(F.coalesce(name, F.lit(0)) > 0, F.sequence(F.lit(0).cast("long"), F.col(name) - 1)).otherwise(F.array().cast("array<long>"))
+    k, h = F.col("k"), F.col("h")
+    meet = F.concat(
+        F.transform(index("blocks"), lambda x: F.struct(k.alias("k1"), F.least(h, x).alias("h1"), k.alias("k2"), F.greatest(h, x).alias("h2"))),
+        F.transform(index("before"), lambda x: F.struct((k - 1).alias("k1"), x.alias("h1"), k.alias("k2"), h.alias("h2"))),
+        F.transform(index("after"), lambda x: F.struct(k.alias("k1"), h.alias("h1"), (k + 1).alias("k2"), x.alias("h2"))),
+    )
+    dealt = docs.select("id", "label", "part", F.explode(meet).alias("m")).select("id", "label", "part", "m.*")
+    key = ["part", "k1", "h1", "k2", "h2"]
+    mixed = dealt.groupBy(*key).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(*key)
+    full = dealt.join(mixed, key, "left_semi").join(sets, "id")
+    return full.groupBy(*key).applyInArrow(_block_links(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept.
 
@@ -151,32 +221,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         return label(label(pairs, "a", "la"), "b", "lb").where("la <> lb").select("a", "b")
 
     rest = saved(apart(stars.join(nearest, ["a", "b"], "left_anti")), "rest")
-    tried = nearest.unionByName(rest)
     more = saved(links(rest, sets, percent), "edges")
     if more.limit(1).count():
         edges = edges.unionByName(more)
         labels = components(edges)
-    # members of a bucket that were compared with all others of it
-    done = members.select("bucket", F.col("first").alias("rep")).distinct()
-    while True:
-        open_ = label(members.select("bucket", "rep").join(done, ["bucket", "rep"], "left_anti"), "rep", "label")
-        split = open_.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), F.min("rep").alias("next")).where("lo < hi")
-        split = saved(split, "split")
-        if not split.limit(1).count():
-            break
-        left = saved(open_.join(split, "bucket").select("bucket", "rep", "label", "size", "next"), "open")
-        other = left.select("bucket", F.col("rep").alias("b"), F.col("label").alias("lb"))
-        small = left.where(F.col("size") <= BLOCK).select("bucket", F.col("rep").alias("a"), F.col("label").alias("la")).join(other, "bucket").where("a < b and la <> lb")
-        one = left.where((F.col("size") > BLOCK) & (F.col("rep") == F.col("next"))).select("bucket", F.col("rep").alias("a"), F.col("label").alias("la")).join(other, "bucket").where("a <> b and la <> lb")
-        fresh = small.unionByName(one).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        fresh = saved(fresh.join(tried, ["a", "b"], "left_anti"), "fresh")
-        more = saved(links(fresh, sets, percent), "edges")
-        tried = saved(tried.unionByName(fresh), "tried")
-        done = saved(done.unionByName(left.where(F.col("size") <= BLOCK).select("bucket", "rep")).unionByName(left.where((F.col("size") > BLOCK) & (F.col("rep") == F.col("next"))).select("bucket", "rep")), "done")
-        if more.limit(1).count():
-            edges = edges.unionByName(more)
-            labels = components(edges)
-        forget(left)
+    # members of split buckets, but for the smallest, which all others were compared with
+    others = label(members.where("rep <> first").select("bucket", "rep"), "rep", "label")
+    split = others.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+    open_ = saved(others.join(split, "bucket", "left_semi").select("rep", "label").distinct(), "open")
+    part = components(stars).withColumnRenamed("label", "part") if open_.limit(1).count() else labels.withColumnRenamed("label", "part")
+    sizes = classes.select(F.col("rep").alias("node"), "n_shingles")
+    asked = open_.withColumnRenamed("rep", "node").join(part, "node").join(sizes, "node").select(F.col("node").alias("id"), "label", "part", "n_shingles")
+    more = saved(_links_in_blocks(asked, sets, percent), "edges")
+    if more.limit(1).count():
+        edges = edges.unionByName(more)
+        labels = components(edges)
 
     grouped = label(classes.select("n_shingles", "h1", "h2", "rep"), "rep", "component")
     out = sigs.select("doc_id", "n_shingles", "h1", "h2").join(grouped.select("n_shingles", "h1", "h2", "component"), ["n_shingles", "h1", "h2"], "left")
