@@ -30,6 +30,8 @@ from .spark_tools import components, forget, saved, ship
 BANDS, ROWS = 40, 6
 #: A prime of at least BANDS * ROWS positions.
 POSITIONS = 241
+#: Bits of the filter that keeps texts of no interest out of a shuffle; when it fills up, it only saves less.
+FILTER_BITS = 1 << 27
 #: Documents of a block; two blocks are compared at once.
 BLOCK = 192
 
@@ -83,9 +85,46 @@ def _signatures(width: int, bands: int, rows: int):
     return go
 
 
-def _sets(width: int):
+def _places(ids: np.ndarray) -> list[np.ndarray]:
+    one = K.mix(ids.view(np.uint64))
+    return [(one & np.uint64(FILTER_BITS - 1)).astype(np.int64), (one >> np.uint64(37)).astype(np.int64)]
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The filter's bits of the ids of a task, in blocks; of several tasks they are ORed."""
+    bits = np.zeros(FILTER_BITS, bool)
+    for x in batches:
+        for at in _places(x.column("id").to_numpy()):
+            bits[at] = True
+    blocks = np.packbits(bits).reshape(64, -1)
+    some = [k for k in range(64) if blocks[k].any()]
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([blocks[k].tobytes() for k in some], pa.binary())], ["block", "bits"])
+
+
+def _or_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for x in batches:
+        for k, b in zip(x.column("block").to_pylist(), x.column("bits"), strict=True):
+            b = np.frombuffer(b.as_buffer(), np.uint8)
+            held[k] = held[k] | b if k in held else b
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([b.tobytes() for b in held.values()], pa.binary())], ["block", "bits"])
+
+
+def id_filter(ids: DataFrame) -> bytes:
+    """A Bloom filter of the column id, FILTER_BITS bits whatever the number of ids: it may let others through, but stops none of them."""
+    parts = ids.select("id").mapInArrow(_bits, "block long, bits binary").repartition(16, "block").mapInArrow(_or_bits, "block long, bits binary")
+    out = np.zeros((64, FILTER_BITS // 512), np.uint8)
+    for r in parts.toLocalIterator():
+        out[r["block"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out.tobytes()
+
+
+def _sets(width: int, sent):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(sent.value, np.uint8)).view(bool)
         for x in K.slices(batches):
+            one, two = _places(x.column("doc_id").fill_null(-1).to_numpy())
+            x = x.filter(pa.array(bits[one] & bits[two]))
             h, off = shingle_sets(x.column("text"), width)
             yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array([h[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["id", "shingles"])
 
@@ -207,7 +246,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     # each member with the smallest member of each of its buckets
     stars = saved(members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     wanted = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = saved(docs.join(wanted, docs.doc_id == wanted.id, "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "id long, shingles binary"), "sets")
+    wanted = saved(wanted, "wanted")
+    passed = docs.mapInArrow(_sets(width, docs.sparkSession.sparkContext.broadcast(id_filter(wanted))), "id long, shingles binary")
+    sets = saved(passed.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "sets")
 
     nearest = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     edges = saved(links(nearest, sets, percent), "edges")
