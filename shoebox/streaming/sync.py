@@ -20,9 +20,13 @@ def append_batch(log: str):
     return write
 
 
-def sync(stream: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
-    """Read all that the feed has now, then stop."""
-    return stream.writeStream.foreachBatch(append_batch(log)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def sync(stream: DataFrame, log: str, checkpoint: str, follow: bool = False) -> StreamingQuery:
+    """Read all that the feed has now and stop, or go on following it."""
+    q = stream.writeStream.foreachBatch(append_batch(log)).option("checkpointLocation", checkpoint).start()
+    if not follow:
+        q.processAllAvailable()
+        q.stop()
+    return q
 
 
 def records(spark: SparkSession, log: str) -> DataFrame:
