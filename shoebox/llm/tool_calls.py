@@ -25,8 +25,8 @@ def canonical(json):
 
 
 def quoted(text):
-    """A string as JSON."""
-    return F.regexp_extract(F.to_json(F.struct(text.alias("t"))), r'(?s)^\{"t":(.*)\}$', 1)
+    """A string as JSON; null for null."""
+    return F.when(text.isNotNull(), F.regexp_extract(F.to_json(F.struct(text.alias("t"))), r'(?s)^\{"t":(.*)\}$', 1))
 
 
 def checked(calls: DataFrame, schemas: DataFrame) -> DataFrame:
