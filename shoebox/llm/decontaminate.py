@@ -3,7 +3,8 @@
 A test item of m words may differ in k = floor(rate * m) word edits.  Of its k + 1
 pieces one must then be in the document as it is; piece hits come from rolling hashes
 and give places to verify with Myers' bit-parallel edit distance over words.  Words are
-runs of letters and digits, lower-cased, so case, spacing and punctuation don't count.
+runs of letters and digits, lower-cased (A-Z and accented Latin-1 letters), so case,
+spacing and punctuation don't count.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ def word_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     table[48:58] = True
     buf, off = K.texts_of(column)
     low = K.lower_table()[buf]
+    # accented capitals of Latin-1 too
+    wide = np.flatnonzero(low[:-1] == 0xC3) + 1
+    wide = wide[(low[wide] <= 0x9E) & (low[wide] != 0x97)]
+    low[wide] += 0x20
     s, e, doc = K.runs(table[low], off)
     return K.Hashes(low).of(s, e), doc, off.size - 1
 
