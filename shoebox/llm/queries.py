@@ -77,4 +77,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE: dict[str, str] = {}
+#: Chats that hold no JSON of their own: each ask is a call, its order the turn.
+_CHAT = """
+with asks as (select conv_id, turn, case role when 'user' then 'reply' else 'instruct' end as name, text from conversations where role in ('user', 'system')),
+answers as (select conv_id, turn, text, row_number() over (partition by conv_id, turn - 1 order by turn, text) as k from conversations where role = 'assistant')
+select a.conv_id, a.conv_id || ':' || a.turn as call_id, a.turn, case when r.conv_id is null then 'unanswered' else 'linked' end as status, a.turn as topo_order,
+  case when a.text is null then 'wrong type of prompt' else '' end as problems, a.text is not null as valid,
+  '{"arguments":{"prompt":' || coalesce(to_json(a.text)::varchar, 'null') || ',"turn":' || a.turn || '},"id":"' || a.conv_id || ':' || a.turn || '","name":"' || a.name || '","result":' || coalesce(to_json(r.text)::varchar, 'null') || '}' as record
+from asks a left join answers r on r.conv_id = a.conv_id and r.turn = a.turn + 1 and r.k = 1
+union all
+select r.conv_id, r.conv_id || ':' || (r.turn - 1), r.turn, 'orphan', null, '', false, '{"id":"' || r.conv_id || ':' || (r.turn - 1) || '","result":' || coalesce(to_json(r.text)::varchar, 'null') || '}'
+from answers r where not exists (select 1 from asks a where a.conv_id = r.conv_id and a.turn = r.turn - 1)
+"""
+
+_NEAR = """
+with recursive words as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+sets as materialized (
+  select doc_id, unnest(list_distinct(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as s from words),
+sizes as (select d.doc_id, count(s.s) as n from documents d left join sets s on s.doc_id = d.doc_id group by d.doc_id),
+met as (select a.doc_id as x, b.doc_id as y, count(*) as c from sets a join sets b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+links as materialized (select x, y from met join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * c >= 85 * (p.n + q.n - c)),
+reach(x, y) as (select doc_id, doc_id from documents union select r.x, l.y from reach r join links l on r.y = l.x),
+least as (select x as doc_id, min(y) as component_id from reach group by x)
+select doc_id, n as n_shingles, component_id, doc_id = component_id as kept from least join sizes using (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op2_minhash_near_dedup": _NEAR, "op9_chat_formatting": _CHAT}

@@ -2,77 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
+from ..operators.components import components
+from ..session import forget, saved, shared_folder, ship
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, which may not have it on their path."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parent.parent
-    to = Path(tempfile.mkdtemp(prefix="shoebox")) / "shoebox_src.zip"
-    with zipfile.ZipFile(to, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(str(to))
-    _shipped.add(sc.applicationId)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names; only without one, as in tests, a local one."""
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder.rstrip("/")
-    if not (folder := getattr(shared_folder, "own", None)):
-        folder = shared_folder.own = tempfile.mkdtemp(prefix="shoebox_shared")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return f"file://{folder}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it: the lineage ends there, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/shoebox/{os.getpid()}-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the files of a saved table that nothing reads any more."""
-    for f in df.inputFiles()[:1]:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
-    """(node, label): the smallest node reachable over undirected edges, for nodes with an edge.
-
-    Min-label propagation with pointer jumping.  Every step aggregates before it
-    shuffles, so a hub's messages meet as one row per task; rounds grow with the
-    logarithm of a component's diameter.  No edges give no rows.
-    """
-    both = saved(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v")).where("u <> v")).distinct(), "edges")
-    labels = saved(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("label")), "labels")
-    for _ in range(max_rounds):
-        said = both.join(labels, both.v == labels.node).groupBy(F.col("u").alias("n2")).agg(F.min("label").alias("heard"))
-        heard = labels.join(said, labels.node == said.n2, "left").select("node", "label", F.least("label", F.coalesce("heard", "label")).alias("l2"))
-        up = labels.select(F.col("node").alias("n3"), F.col("label").alias("l3"))
-        new = saved(heard.join(up, heard.l2 == up.n3, "left").select("node", F.least("l2", F.coalesce("l3", "l2")).alias("label"), (F.least("l2", F.coalesce("l3", "l2")) != F.col("label")).alias("moved")), "labels")
-        moved = new.where("moved").limit(1).count()
-        forget(labels)
-        labels = new.drop("moved")
-        if not moved:
-            forget(both)
-            return labels
-    raise RuntimeError("components did not settle")
+__all__ = ["components", "forget", "saved", "shared_folder", "ship"]
