@@ -24,7 +24,7 @@ from .spark_tools import saved, ship
 
 #: Chunks end after one white space in so many, and after one other byte in so many.
 WORDS, BYTES = 5, 1024
-MIN_WORDS = 15
+MIN_WORDS = 20
 
 
 def gear(buf: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ from .spark_tools import ship
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to long"
 #: Tokens packed together; only a block's last window can be short.
 BLOCK = 1 << 20
-SENTENCE, INSIDE, SMALLER, STRETCH = 2.0, 6.0, 64.0, 24
+SENTENCE, INSIDE, SMALLER, STRETCH = 1.0, 4.0, 64.0, 12
 
 
 def cuts(ids: np.ndarray, ends: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
