@@ -1,8 +1,8 @@
 """Substring deduplication over content-defined chunks.
 
 A gear rolling hash decides the chunk ends from the last 16 bytes alone, so an insertion
-moves only the chunks around it.  Ends lie after white space, or rarely anywhere for
-scripts without it, so chunks are whole words.  A chunk is a repeat where its digest
+moves only the chunks around it.  Ends lie after white space or, for
+scripts without it, inside very long words; so chunks are whole words.  A chunk is a repeat where its digest
 occurs in a document of a smaller id or earlier in its own; runs of repeats of at least
 `min_words` words are cut out, so each passage stays once, in its smallest document.
 
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .spark_tools import saved, ship
 
-#: Chunks end after one white space in so many, and after one other byte in so many.
-WORDS, BYTES = 5, 1024
+#: Chunks end after one white space in so many and, in words of more than LONG bytes, after one byte in so many.
+WORDS, BYTES, LONG = 5, 256, 64
 MIN_WORDS = 20
 
 
@@ -44,8 +44,10 @@ def chunk(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
         z = np.zeros(0, np.int64)
         return z, z, z
     h = gear(buf)
-    cut = h < np.uint16(65535 // BYTES)
     white = ~K.word_table()[buf]
+    place = np.arange(n, dtype=np.int64)
+    last = np.maximum.accumulate(np.where(white, place, -1))
+    cut = (h < np.uint16(65535 // BYTES)) & (place - last > LONG)
     cut |= white & (h < np.uint16(65535 // WORDS))
     cut[:-1] &= (buf[1:] & 0xC0) != 0x80
     # the first bytes of a text have no full window
