@@ -69,12 +69,13 @@ def _ranked(df: DataFrame, *order) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
-_NEWEST = (F.desc_nulls_last("taken"), F.desc("id"))
+def _newest() -> tuple:
+    return F.desc_nulls_last("taken"), F.desc("id")
 
 
 @query(f"select id, taken, bytes, row_number() over (order by taken desc nulls last, id desc) rn from {ASSETS} where {_PAGE_WHERE} order by taken desc nulls last, id desc limit 50")
 def search_page(spark: SparkSession, sf: str) -> DataFrame:
-    return _ranked(search.newest(_album_page(spark, sf), 50), *_NEWEST).select("id", "taken", "bytes", "rn")
+    return _ranked(search.newest(_album_page(spark, sf), 50), *_newest()).select("id", "taken", "bytes", "rn")
 
 
 @query(
@@ -84,7 +85,7 @@ def search_page(spark: SparkSession, sf: str) -> DataFrame:
 def search_next_page(spark: SparkSession, sf: str) -> DataFrame:
     a = search.apply_filters(assets(spark, sf), search.Filters(kind="O"))
     _, cursor = search.page(a.select("id", "taken"), 30)
-    return _ranked(search.newest(a, 30, cursor), *_NEWEST).select("id", "taken", "rn")
+    return _ranked(search.newest(a, 30, cursor), *_newest()).select("id", "taken", "rn")
 
 
 @query("select doc_id, n_chars from documents where translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') like '%license%' or translate(source, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') like '%license%'")
@@ -274,9 +275,9 @@ def upsert_status(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.upsert_status(old, new, "key", ["value"])
 
 
-@query("select event_type as type, count(*) n from events where user_id % 10 <> 0 group by event_type")
+@query("select event_type as type, count(*) n from events where event_type <> 'error' group by event_type")
 def record_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return summaries.record_counts(table(spark, sf, "events").select(F.col("event_type").alias("type"), (F.col("user_id") % 10 == 0).alias("deleted")))
+    return summaries.record_counts(table(spark, sf, "events").select(F.col("event_type").alias("type"), (F.col("event_type") == "error").alias("deleted")))
 
 
 @query("select o_orderkey as asset, c_custkey as master, c_name as master_name from orders join customer on o_custkey = c_custkey where o_orderstatus <> 'P' and c_acctbal > 0")
@@ -356,9 +357,9 @@ def seed_match(spark: SparkSession, sf: str) -> DataFrame:
     return faces_.match(vecs(spark, sf), _seeds(spark, sf), 0.3)
 
 
-@query(f"select count(*) as changed from {_MATCH} m join embeddings e on e.vec_id = m.id where e.vec_id % 4 <> 0 and m.person_id is distinct from (case when e.vec_id % 2 = 0 then e.label end)")
+@query(f"select count(*) as changed from {_MATCH} m join embeddings e on e.vec_id = m.id where e.label <> 3 and m.person_id is distinct from (case when e.label < 6 then e.label end)")
 def rematch_changed(spark: SparkSession, sf: str) -> DataFrame:
-    f = vecs(spark, sf).select("id", "embedding", F.when(F.col("id") % 2 == 0, F.col("person")).alias("person_id"), F.lit(None).cast("double").alias("similarity"), F.when(F.col("id") % 4 == 0, "user").when(F.col("id") % 2 == 0, "auto").alias("assigned"))
+    f = vecs(spark, sf).select("id", "embedding", F.when(F.col("person") < 6, F.col("person")).alias("person_id"), F.lit(None).cast("double").alias("similarity"), F.when(F.col("person") == 3, "user").when(F.col("person") < 6, "auto").alias("assigned"))
     return faces_.rematch(f, _seeds(spark, sf), 0.3)[1]
 
 
@@ -412,7 +413,7 @@ def _pool(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors with the time of the event of their number, in pool order."""
     t = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("taken"), (F.col("event_type") == "click").alias("favorite"), F.col("value").alias("sharpness"))
     d = vecs(spark, sf).join(t, "id").withColumn("embedding", F.col("embedding").cast("array<double>"))
-    d = d.withColumn("q", S.quality(F.col("sharpness"), F.col("favorite"))).where("id < 500")
+    d = d.withColumn("q", S.quality(F.col("sharpness"), F.col("favorite")))
     return _ranked(d, F.desc("taken"), F.desc("id")).withColumnRenamed("rn", "pool_rn")
 
 
@@ -431,7 +432,7 @@ def mmr_pick(spark: SparkSession, sf: str) -> DataFrame:
 @query(None)
 def funnel_stages(spark: SparkSession, sf: str) -> DataFrame:
     d = _pool(spark, sf).select("id", "taken", "favorite", "sharpness")
-    _, stages, _ = selection.run(d, vecs(spark, sf), d.where("id % 3 <> 0"), 8, selection.Controls(spread="day", sharp_only=True))
+    _, stages, _ = selection.run(d, vecs(spark, sf), d.where("not favorite"), 8, selection.Controls(spread="day", sharp_only=True))
     return spark.createDataFrame([(k, n, c) for k, (n, c, _) in enumerate(stages)], "place long, stage string, kept long")
 
 
@@ -454,14 +455,14 @@ def eviction_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"with i as (select owner as collection, id as asset_id, row_number() over (partition by owner order by id) as position from {ASSETS} where kind = 'F'), n as (select owner as collection, id as asset_id, row_number() over (partition by owner order by id desc) as n from {ASSETS} where bytes % 3 = 0)"
+    f"with i as (select owner as collection, id as asset_id, row_number() over (partition by owner order by id) as position from {ASSETS} where kind = 'F'), n as (select owner as collection, id as asset_id, row_number() over (partition by owner order by id desc) as n from {ASSETS} where filename in ('1-URGENT', '2-HIGH'))"
     " select * from i union all select n.collection, n.asset_id, coalesce((select max(position) from i where i.collection = n.collection), 0) + n.n from n where not exists (select 1 from i where i.collection = n.collection and i.asset_id = n.asset_id)"
 )
 def collection_append(spark: SparkSession, sf: str) -> DataFrame:
-    a = assets(spark, sf).select(F.col("owner").alias("collection"), F.col("id").alias("asset_id"), "kind", "bytes")
+    a = assets(spark, sf).select(F.col("owner").alias("collection"), F.col("id").alias("asset_id"), "kind", "filename")
     w = Window.partitionBy("collection")
     items = a.where("kind = 'F'").withColumn("position", F.row_number().over(w.orderBy("asset_id")).cast("long")).select("collection", "asset_id", "position")
-    new = a.where("bytes % 3 = 0").withColumn("n", F.row_number().over(w.orderBy(F.desc("asset_id"))).cast("long")).select("collection", "asset_id", "n")
+    new = a.where("filename in ('1-URGENT', '2-HIGH')").withColumn("n", F.row_number().over(w.orderBy(F.desc("asset_id"))).cast("long")).select("collection", "asset_id", "n")
     return lists.append(items, new)
 
 
@@ -564,13 +565,13 @@ def preflight_findings(spark: SparkSession, sf: str) -> DataFrame:
     return preflight.findings(slots.join(F.broadcast(p))).withColumn("dpi", F.round("dpi", 6))  # one profile
 
 
-@query("select o_orderkey as id, strftime(o_orderdate, '%Y/%m') as folder, o_orderkey || '@' || 'IMG_' || o_orderkey || '.' || case when o_orderstatus = 'P' then 'dng' when o_orderstatus = 'F' then 'mov' else 'jpg' end as name, case when o_orderstatus = 'F' then 2 when o_orderstatus = 'P' then 3 else 1 end::bigint as file_type, epoch(o_orderdate)::bigint as taken_at from orders where o_orderkey % 11 <> 0")
+@query("select o_orderkey as id, strftime(o_orderdate, '%Y/%m') as folder, o_orderkey || '@' || 'IMG_' || o_orderkey || '.' || case when o_orderstatus = 'P' then 'dng' when o_orderstatus = 'F' then 'mov' else 'jpg' end as name, case when o_orderstatus = 'F' then 2 when o_orderstatus = 'P' then 3 else 1 end::bigint as file_type, epoch(o_orderdate)::bigint as taken_at from orders where o_orderpriority <> '5-LOW'")
 def export_files(spark: SparkSession, sf: str) -> DataFrame:
     suffix = F.when(F.col("o_orderstatus") == "P", "DNG").when(F.col("o_orderstatus") == "F", "MOV").otherwise("JPG")
     none = F.lit(None).cast("map<string, struct<bytes: bigint, width: int, height: int, type: string, filename: string>>")
     a = table(spark, sf, "orders").select(
         F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("IMG_"), F.col("o_orderkey").cast("string"), F.lit("."), suffix).alias("filename"), F.when(F.col("o_orderstatus") == "F", "movie").otherwise("image").alias("kind"),
-        F.col("o_orderdate").cast("timestamp").alias("taken"), F.lit(None).cast("timestamp").alias("added"), F.when(F.col("o_orderkey") % 11 == 0, F.lit("x")).alias("missing_since"), F.lit(False).alias("hidden"), none.alias("versions"),
+        F.col("o_orderdate").cast("timestamp").alias("taken"), F.lit(None).cast("timestamp").alias("added"), F.when(F.col("o_orderpriority") == "5-LOW", F.lit("x")).alias("missing_since"), F.lit(False).alias("hidden"), none.alias("versions"),
         F.lit(1).alias("bytes"), F.lit(False).alias("favorite"), F.lit(None).cast("double").alias("latitude"), F.lit(None).cast("double").alias("longitude"),
     )
     return export.files(a).select(F.col("id").cast("long").alias("id"), "folder", "name", "file_type", "taken_at")
