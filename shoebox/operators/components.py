@@ -11,24 +11,31 @@ from ..session import forget, saved
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
     """(node, label): the smallest node reachable over undirected edges, for nodes with an edge.
 
-    Min-label propagation with pointer jumping.  Every step aggregates before it
-    shuffles, so a hub's messages meet as one row per task; rounds grow with the
-    logarithm of a component's diameter.  No edges give no rows.
+    Local contraction: each node joins the one of its neighbours and itself that a hash
+    of the round puts first, and edges between what was joined are dropped, so the table
+    shrinks by a factor each round and rounds grow with the logarithm of the graph.
+    Neighbours are aggregated before they are shuffled, so a hub is one row per task.
+    No edges give no rows.
     """
-    one = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    two = edges.select(F.col(b).alias("u"), F.col(a).alias("v"))
-    both = saved(one.unionByName(two).where("u <> v").distinct(), "edges")
-    labels = saved(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("label")), "labels")
-    for _ in range(max_rounds):
-        said = both.join(labels, both.v == labels.node).groupBy(F.col("u").alias("n2")).agg(F.min("label").alias("heard"))
-        heard = labels.join(said, labels.node == said.n2, "left").select("node", "label", F.least("label", F.coalesce("heard", "label")).alias("l2"))
-        up = labels.select(F.col("node").alias("n3"), F.col("label").alias("l3"))
-        to = F.least("l2", F.coalesce("l3", "l2"))
-        new = saved(heard.join(up, heard.l2 == up.n3, "left").select("node", to.alias("label"), (to != F.col("label")).alias("moved")), "labels")
-        moved = new.where("moved").limit(1).count()
-        forget(labels)
-        labels = new.drop("moved")
-        if not moved:
-            forget(both)
-            return labels
+    e = saved(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v").distinct(), "edges")
+    joins: list[DataFrame] = []
+    for k in range(max_rounds):
+        first = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("h"), F.col(c).alias("n"))
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        join = saved(both.groupBy("u").agg(F.min(first("v")).alias("m")).select(F.col("u").alias("node"), F.least(first("u"), "m")["n"].alias("to")), "joined")
+        left, right = join.select(F.col("node").alias("u"), F.col("to").alias("x")), join.select(F.col("node").alias("v"), F.col("to").alias("y"))
+        rest = e.join(left, "u").join(right, "v").where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+        rest = saved(rest, "edges")
+        joins.append(join)
+        forget(e)
+        e = rest
+        if not e.limit(1).count():
+            forget(e)
+            labels = joins[0].withColumnRenamed("to", "label")
+            for join in joins[1:]:
+                step = join.select(F.col("node").alias("label"), "to")
+                labels = labels.join(step, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+            labels = saved(labels, "labels")
+            least = labels.groupBy("label").agg(F.min("node").alias("least"))
+            return labels.join(least, "label").select("node", F.col("least").alias("label"))
     raise RuntimeError("components did not settle")
