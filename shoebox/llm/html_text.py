@@ -140,6 +140,14 @@ def _in_order(root: Node) -> list[Node]:
     return out
 
 
+def _density(chars: int, tags: int, link_chars: int, link_tags: int, root: Node) -> float:
+    if not chars:
+        return 0.0
+    c, t, lc, lt = chars, max(tags, 1), link_chars, link_tags
+    base = math.log(c / max(c - lc, 1) * lc + root.link_chars / max(root.chars, 1) * c + math.e)
+    return c / t * max(math.log(c / max(lc, 1) * t / max(lt, 1)), 0.0) / math.log(max(base, 1.5))
+
+
 def measure(root: Node) -> list[Node]:
     """Densities of all nodes, in page order."""
     nodes = _in_order(root)
@@ -158,13 +166,8 @@ def measure(root: Node) -> list[Node]:
                 x.heading |= c.heading or c.tag in ("h1", "h2", "h3")
         if link:
             x.link_chars, x.link_tags = x.chars, x.link_tags
-    body_chars, body_links = max(root.chars, 1), root.link_chars
     for x in nodes:
-        if not x.chars:
-            continue
-        c, t, lc, lt = x.chars, max(x.tags, 1), x.link_chars, x.link_tags
-        base = math.log(c / max(c - lc, 1) * lc + body_links / body_chars * c + math.e)
-        x.density = c / t * max(math.log(c / max(lc, 1) * t / max(lt, 1)), 0.0) / math.log(max(base, 1.5))
+        x.density = _density(x.chars, x.tags, x.link_chars, x.link_tags, root)
     for x in nodes:
         x.total = sum(c.density for c in x.items if not isinstance(c, str) and not c.noise)
     return nodes
@@ -207,9 +210,12 @@ def main_text(text: str | None) -> str:
         top = max(articles, key=lambda x: x.chars)
     else:
         top = best
-    threshold, x = math.inf, best
-    while x is not None and x.tag != "html":
-        if x.density:
+    # without a body element the root is the body
+    body = next((c for c in root.items if not isinstance(c, str) and c.tag == "body"), root)
+    path, threshold, x = set(), math.inf, best
+    while x is not None:
+        path.add(id(x))
+        if x.density and (x is not root or x is body):
             threshold = min(threshold, x.density)
         x = x.parent
     if top is best and top.parent is not None and top.tag not in KEEP:
@@ -220,10 +226,54 @@ def main_text(text: str | None) -> str:
         rivals = [c for c in up.parent.items if not isinstance(c, str) and id(c) not in skipped and c.density >= threshold and c is not up] if up.parent is not None else []
         if rivals and up.tag in ("p", "blockquote", "pre", "ul", "ol", "h1", "h2", "h3"):
             top = up.parent
+        else:
+            return "\n".join(line for x in _dense(root, top, path, threshold, skipped) for line in blocks(x, skipped))
     tops = [c for c in top.parent.items if not isinstance(c, str) and c.tag == "article" and id(c) not in skipped] if top.tag == "article" and top.parent is not None else [top]
     return "\n".join(line for x in tops for line in blocks(x, skipped))
 
 
+def _dense(root: Node, top: Node, path: set[int], threshold: float, skipped: set[int]) -> list[Node]:
+    """The top and, in page order, every other largest subtree, or run of loose text, that reaches the threshold."""
+    out: list[Node] = []
+    stack = [root]
+    while stack:
+        x = stack.pop()
+        if id(x) in skipped:
+            continue
+        if x is top or id(x) not in path and x.density and x.density >= threshold:
+            out.append(x)
+            continue
+        parts: list[Node] = []
+        run: Node | None = None
+        for c in x.items:
+            if not isinstance(c, str) and (c.tag in BLOCK or id(c) in path):
+                parts.append(c)
+                run = None
+                continue
+            if run is None:
+                run = Node("", None, False)
+                parts.append(run)
+            run.items.append(c)
+        for run in parts if x.tag else []:
+            if run.tag:
+                continue
+            for c in run.items:
+                if isinstance(c, str):
+                    run.chars += len(c) if not c.isspace() else 0
+                elif id(c) not in skipped:
+                    run.chars += c.chars
+                    run.tags += c.tags + 1
+                    run.link_chars += c.link_chars
+                    run.link_tags += c.link_tags + (c.tag == "a")
+            run.density = _density(run.chars, run.tags, run.link_chars, run.link_tags, root)
+        if x.tag:
+            stack.extend(reversed(parts))
+        else:
+            # inline elements of a sparse run may hold blocks
+            stack.extend(c for c in reversed(x.items) if not isinstance(c, str))
+    return out
+
+
 def blocks(top: Node, skipped: set[int]) -> list[str]:
     out: list[str] = []
     held: list[str] = []

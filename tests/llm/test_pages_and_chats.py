@@ -40,6 +40,26 @@ def test_deep_and_long_pages():
     assert len(html_text.main_text("<p>" + "word " * 100_000 + "</p>")) == 499_999
 
 
+def paragraphs(name, n, size):
+    return [f"{name} {k} ".ljust(size, "x") for k in range(n)]
+
+
+@pytest.mark.parametrize("page", ["<html><body>{}</body></html>", "{}", "<body><div>{}</div></body>", "<body><div><div>{}</div></div></body>"])
+@pytest.mark.parametrize("kind", ["div", "section", "td"])
+def test_dense_siblings_of_the_densest_container(page, kind):
+    parts = [paragraphs(name, n, 300) for name, n in (("one", 5), ("two", 5), ("three", 7), ("four", 5))]
+    inner = "".join(f"<{kind}>" + "".join(f"<p>{p}</p>" for p in part) + f"</{kind}>" for part in parts)
+    links = "<div>" + "".join(f"<p><a href=x>link {k}</a></p>" for k in range(9)) + "</div>"
+    got = html_text.main_text(page.format(links + inner + "<div class='sidebar'><p>" + "no " * 200 + "</p></div>" + links))
+    assert got == "\n".join(p for part in parts for p in part)
+
+
+def test_dense_loose_text_and_nested_parts():
+    main, other, loose = paragraphs("main", 6, 300), paragraphs("other", 4, 300), "loose " * 60
+    page = f"<body><div><div><p>{'</p><p>'.join(other)}</p></div><a href=x>more</a><a href=y>links</a></div>{loose}<b>bold</b><div><p>{'</p><p>'.join(main)}</p></div><div><a href=z>Contact</a></div></body>"
+    assert html_text.main_text(page) == "\n".join([*other, loose + "bold", *main])
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "x")], "page_id long, url string, html string, text string")
     rows = html_text.extract(pages).collect()
