@@ -2,9 +2,12 @@
 
 A gear rolling hash decides the chunk ends from the last 16 bytes alone, so an insertion
 moves only the chunks around it.  Ends lie after white space or, for
-scripts without it, inside very long words; so chunks are whole words.  A chunk is a repeat where its digest
-occurs in a document of a smaller id or earlier in its own; runs of repeats of at least
-`min_words` words are cut out, so each passage stays once, in its smallest document.
+scripts without it, inside very long words; so chunks are whole words.  From each chunk
+on, and up to each chunk, the fewest chunks of at least `min_words` words are a window.  A
+window is a repeat where its digest occurs in a document of a smaller id or earlier in its
+own, so its chunks follow each other in one place there; repeated windows are cut out, and
+each passage stays once, in its smallest document.  Of a passage of that many words in
+whole chunks the windows leave no chunk out.
 
 Digests meet in an aggregation that combines before the shuffle and in a join, which
 Spark can split where one passage is in very many documents.
@@ -61,17 +64,49 @@ def chunk(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return s, e, np.searchsorted(off, s, side="right") - 1
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for x in K.slices(batches):
-        buf, off = K.texts_of(x.column("text"))
-        s, e, doc = chunk(buf, off)
-        h = K.Hashes(buf).of(s, e)
-        # once per document is enough: repeats inside are found again when they are cut
-        order = np.lexsort((h, doc))
-        first = np.ones(h.size, bool)
-        first[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-        pick = order[first]
-        yield pa.RecordBatch.from_arrays([pa.array(K.signed(h[pick])), x.column("doc_id").take(pa.array(doc[pick]))], ["digest", "doc_id"])
+def word_starts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    word = K.word_table()[buf]
+    start = word.copy()
+    start[1:] &= ~word[:-1]
+    begin = off[:-1][np.diff(off) > 0]
+    start[begin] = word[begin]
+    return start
+
+
+def windows(buf: np.ndarray, off: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and documents of the windows of all texts, by start and end; the words count as the window's text has them."""
+    s, e, doc = chunk(buf, off)
+    n = s.size
+    if not n:
+        return s, e, doc
+    start = word_starts(buf, off)
+    # words that begin before each chunk, and the same without the one that it begins inside
+    before = np.concatenate([[0], np.cumsum(start)])[np.append(s, buf.size)]
+    low = before[:-1] - (K.word_table()[buf[s]] & ~start[s])
+    place = np.arange(n)
+    to = np.maximum(np.searchsorted(before, low + min_words), place + 1)
+    since = np.minimum(np.searchsorted(low, before[1:] - min_words, side="right") - 1, place)
+    ahead = to <= np.searchsorted(doc, doc, side="right")
+    back = since >= np.searchsorted(doc, doc)
+    pairs = np.unique(np.concatenate([place[ahead] * (n + 1) + to[ahead], since[back] * (n + 1) + place[back] + 1]))
+    first, last = pairs // (n + 1), pairs % (n + 1) - 1
+    return s[first], e[last], doc[first]
+
+
+def _digests(min_words: int):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in K.slices(batches):
+            buf, off = K.texts_of(x.column("text"))
+            s, e, doc = windows(buf, off, min_words)
+            h = K.Hashes(buf).of(s, e)
+            # once per document is enough: repeats inside are found again when they are cut
+            order = np.lexsort((h, doc))
+            first = np.ones(h.size, bool)
+            first[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+            pick = order[first]
+            yield pa.RecordBatch.from_arrays([pa.array(K.signed(h[pick])), x.column("doc_id").take(pa.array(doc[pick]))], ["digest", "doc_id"])
+
+    return go
 
 
 def _spans(min_words: int):
@@ -79,13 +114,13 @@ def _spans(min_words: int):
 
     def go(x: pa.RecordBatch) -> list[tuple[int, int, int, int, int]]:
         buf, off = K.texts_of(x.column("text"))
-        s, e, doc = chunk(buf, off)
+        s, e, doc = windows(buf, off, min_words)
         if not s.size:
             return []
         h = K.signed(K.Hashes(buf).of(s, e))
-        word = ~K.word_table()[buf]
-        starts = np.concatenate([[0], np.cumsum(np.diff(word.astype(np.int8), prepend=1) < 0)])
-        words = starts[e] - starts[s]
+        start = word_starts(buf, off)
+        starts = np.concatenate([[0], np.cumsum(start)])
+        inside = K.word_table()[buf] & ~start
         bounds = np.searchsorted(doc, np.arange(off.size))
         lists, out = x.column("repeats"), []
         ids = x.column("doc_id").to_pylist()
@@ -100,16 +135,19 @@ def _spans(min_words: int):
             known = lists[d].as_py() or []
             source = dict.fromkeys(own[again].tolist(), ids[d])
             source |= {r["digest"]: r["first_doc_id"] for r in known}
-            repeat = again | np.isin(own, np.array([r["digest"] for r in known], np.int64))
-            edge = np.flatnonzero(np.diff(repeat.astype(np.int8), prepend=0, append=0))
-            for p, q in edge.reshape(-1, 2):
-                n = int(words[a + p : a + q].sum())
-                if n >= min_words:
-                    size = (e[a + p : a + q] - s[a + p : a + q]).tolist()
-                    weigh: dict[int, int] = {}
-                    for key, w in zip(own[p:q].tolist(), size, strict=True):
-                        weigh[source[key]] = weigh.get(source[key], 0) + w
-                    out.append((d, int(s[a + p] - off[d]), int(e[a + q - 1] - off[d]), n, min(weigh, key=lambda k: (-weigh[k], k))))
+            at = np.flatnonzero(again | np.isin(own, np.array([r["digest"] for r in known], np.int64)))
+            if not at.size:
+                continue
+            left, right = s[a + at], np.maximum.accumulate(e[a + at])
+            firsts = [source[key] for key in own[at].tolist()]
+            # windows that share text make one passage, and those that touch if one document has both
+            split = [k for k in range(1, at.size) if left[k] > right[k - 1] or left[k] == right[k - 1] and firsts[k] != firsts[k - 1]]
+            for p, q in zip([0, *split], [*split, at.size], strict=True):
+                u, v = int(left[p]), int(right[q - 1])
+                weigh: dict[int, int] = {}
+                for key, w in zip(firsts[p:q], (e[a + at[p:q]] - left[p:q]).tolist(), strict=True):
+                    weigh[key] = weigh.get(key, 0) + w
+                out.append((d, u - int(off[d]), v - int(off[d]), int(starts[v] - starts[u] + inside[u]), min(weigh, key=lambda k: (-weigh[k], k))))
         return out
 
     return go
@@ -154,10 +192,10 @@ def _cut_texts(min_words: int):
     return go
 
 
-def _with_repeats(docs: DataFrame) -> DataFrame:
-    """docs and, per document, the digests of it that a smaller document has."""
+def _with_repeats(docs: DataFrame, min_words: int) -> DataFrame:
+    """docs and, per document, the digests of its windows that a smaller document has."""
     ship(docs.sparkSession)
-    marks = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("text <> '' and doc_id is not null").mapInArrow(_digests, "digest long, doc_id long")
+    marks = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("text <> '' and doc_id is not null").mapInArrow(_digests(min_words), "digest long, doc_id long")
     shared = marks.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").drop("last")
     later = marks.join(shared, "digest").where("doc_id > first_doc_id").groupBy("doc_id").agg(F.collect_set(F.struct("digest", "first_doc_id")).alias("repeats"))
     return docs.join(later, "doc_id", "left")
@@ -166,11 +204,12 @@ def _with_repeats(docs: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per passage that an earlier place has: doc_id, first_doc_id, start, end (code points), n_words, passage.
 
-    The earlier place is in the document with the smallest id, or earlier in the same one
-    (then both ids are equal).  Null and empty texts have no passages.  Rows with equal
+    Each window of a passage stands in one piece in an earlier place: in the document with
+    the smallest id, or earlier in the same one (then both ids are equal).  Where windows
+    that share text have several such documents, first_doc_id is the one of most of it.  Null and empty texts have no passages.  Rows with equal
     doc_ids are taken as one document; null ids are left alone.
     """
-    found = _with_repeats(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")).where("text <> ''")
+    found = _with_repeats(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), min_words).where("text <> ''")
     return found.mapInArrow(_cut_spans(min_words), "doc_id long, first_doc_id long, start long, end long, n_words long, passage string")
 
 
@@ -178,7 +217,7 @@ def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents, with all their columns, without such passages; n_chars, where there is one, follows the text."""
     clash = "repeats" in docs.columns
     base = docs.withColumnRenamed("repeats", "__repeats") if clash else docs
-    joined = _with_repeats(base.withColumn("doc_id", F.col("doc_id").cast("long")))
+    joined = _with_repeats(base.withColumn("doc_id", F.col("doc_id").cast("long")), min_words)
     schema = joined.drop("repeats").schema
     out = joined.mapInArrow(_cut_texts(min_words), schema)
     if "n_chars" in docs.columns:

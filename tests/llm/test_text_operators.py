@@ -243,6 +243,48 @@ def test_chunks_cover_texts():
         assert "".join(parts) == (texts[d].as_py() or "")
 
 
+def pieces(text):
+    buf, off = kernels.texts_of(pa.array([text]))
+    s, e, _ = chunks.chunk(buf, off)
+    return [buf[a:b].tobytes().decode() for a, b in zip(s, e, strict=True)]
+
+
+def test_chunks_known_from_different_documents_are_no_passage(spark):
+    r = random.Random(5)
+    texts = [prose(150, r) for _ in range(40)]
+    # a chunk of each text: every one is known, no two follow each other anywhere
+    mosaic = "".join(r.choice([c for c in pieces(t)[1:-1] if len(c) >= 16]) for t in texts)
+    real = prose(60, r)
+    texts += [mosaic, f"{prose(30, r)} {real} {prose(30, r)}", mosaic[:300] + f" {real} " + prose(30, r)]
+    seen = {c for t in texts[:40] for c in pieces(t)}
+    assert sum(len(c.split()) for c in pieces(mosaic) if c in seen) > 100
+    rows = chunks.repeated_passages(frame(spark, texts)).collect()
+    assert {(x["doc_id"], x["first_doc_id"]) for x in rows} == {(42, 40), (42, 41)}
+    for x in rows:
+        assert x["passage"].strip() in texts[x["first_doc_id"]] and x["n_words"] >= chunks.MIN_WORDS
+    cut = {x["doc_id"]: x["text"] for x in chunks.cut_repeats(frame(spark, texts)).collect()}
+    assert all(cut[k] == texts[k] for k in range(42))
+
+
+def test_windows_cover_runs_of_chunks():
+    r = random.Random(6)
+    for _ in range(40):
+        texts = [prose(r.randrange(0, 200), r) + r.choice(["", " ", "é" * 900]) for _ in range(4)]
+        buf, off = kernels.texts_of(pa.array(texts))
+        s, e, doc = chunks.chunk(buf, off)
+        got = set(zip(*(x.tolist() for x in chunks.windows(buf, off, 20)), strict=True))
+        words = lambda a, b: len(WORD.findall(buf[a:b].tobytes().decode()))
+        for a, b, _ in got:
+            assert words(a, b) >= 20
+        for d in range(len(texts)):
+            mine = np.flatnonzero(doc == d)
+            for i in mine:
+                for j in mine[mine >= i][:12]:
+                    if words(s[i], e[j]) >= 20:
+                        inside = [(a, b) for a, b, k in got if k == d and a >= s[i] and b <= e[j]]
+                        assert {c for c in mine if s[i] <= s[c] and e[c] <= e[j]} == {c for c in mine for a, b in inside if a <= s[c] and e[c] <= b}
+
+
 # --- decontamination ------------------------------------------------------------------------
 
 
