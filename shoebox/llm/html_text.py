@@ -23,11 +23,14 @@ from .spark_tools import ship
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_SLASH = re.compile(r"(?:^|[\s\"'])/\s*$")
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 _SPACE = re.compile(r"\s+")
 
 # Element names of the HTML standard by their role here.
 RAW = frozenset("script style noscript template textarea iframe svg math object canvas audio video select title".split())
+#: Of these, those that HTML ends at nothing but their end tag or the end of the page.
+TEXT_ONLY = frozenset("script style textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 NOISE = frozenset("nav aside footer form button menu dialog fieldset label head".split())
@@ -71,10 +74,26 @@ def _is_noise(tag: str, attributes: str) -> bool:
     return False
 
 
+def _ends(text: str, tag: str) -> dict[int, int]:
+    """Where the content of each element of this name begins, and where its own end tag ends; those without one are left out."""
+    out: dict[int, int] = {}
+    open_: list[int] = []
+    for m in re.finditer(rf"<!--.*?(?:-->|$)|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\b[^>]*>|$)|<(?P<end>/?){tag}(?![^\s/>])(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", text, re.S | re.I):
+        if m["end"] is None:
+            continue
+        if not m["end"]:
+            if not _SLASH.search(m["rest"]):
+                open_.append(m.end())
+        elif open_:
+            out[open_.pop()] = m.end()
+    return out
+
+
 def parse(text: str) -> Node:
     """A tree from tags as browsers read them, near enough: implied ends, void and raw elements, stray end tags."""
     root = Node("html", None, False)
     node, at, n = root, 0, len(text)
+    ends: dict[str, dict[int, int]] = {}
     while at < n:
         m = _TAG.search(text, at)
         if m is None:
@@ -103,10 +122,15 @@ def parse(text: str) -> Node:
             continue
         attributes = m[3]
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(text, at)
-            child = Node(tag, node, True)
-            node.items.append(child)
-            at = end.end() if end else n
+            node.items.append(Node(tag, node, True))
+            if tag in TEXT_ONLY:
+                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(text, at)
+                at = end.end() if end else n
+            elif not _SLASH.search(attributes):
+                # without an end tag of its own it has no content
+                if tag not in ends:
+                    ends[tag] = _ends(text, tag)
+                at = ends[tag].get(at, at)
             continue
         if tag == "html":
             continue
@@ -274,9 +298,16 @@ def _dense(root: Node, top: Node, path: set[int], threshold: float, skipped: set
     return out
 
 
+def _in_article(x: Node | None) -> bool:
+    while x is not None and x.tag not in ("article", "main"):
+        x = x.parent
+    return x is not None
+
+
 def blocks(top: Node, skipped: set[int]) -> list[str]:
     out: list[str] = []
     held: list[str] = []
+    within = _in_article(top)
 
     def close() -> None:
         line = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
@@ -297,8 +328,8 @@ def blocks(top: Node, skipped: set[int]) -> list[str]:
         elif x.tag == "br":
             held.append(" ")
         elif x.tag in BLOCK:
-            # lists of links are menus whatever they are called
-            if x.tag in ("ul", "ol", "dl", "table") and x.link_chars > 0.6 * x.chars and x.link_tags > 2:
+            # outside of an article, lists of links are menus whatever they are called
+            if not within and x.tag in ("ul", "ol", "dl", "table") and x.link_chars > 0.6 * x.chars and x.link_tags > 2:
                 close()
                 continue
             close()

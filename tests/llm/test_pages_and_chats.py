@@ -60,6 +60,24 @@ def test_dense_loose_text_and_nested_parts():
     assert html_text.main_text(page) == "\n".join([*other, loose + "bold", *main])
 
 
+@pytest.mark.parametrize("tag", ["svg", "math", "object", "video", "select", "iframe", "canvas", "audio"])
+def test_elements_without_an_end_take_no_text(tag):
+    got = lambda inner: html_text.main_text(f"<article><p>a</p>{inner}</article>")
+    assert got(f"<{tag} x='1'/><p>b</p><{tag}>no</{tag}><p>c</p>") == "a\nb\nc"
+    assert got(f"<{tag} x='1'><p>b</p><{tag}>no</{tag}><p>c</p>") == "a\nb\nc"
+    assert got(f"<{tag}><p>b</p><!-- </{tag}> --><script>'</{tag}>'</script><p>c</p>") == "a\nb\nc"
+    assert got(f"<{tag}>no <{tag}>no</{tag}> no</{tag}><p>b</p>") == "a\nb"
+    assert got(f"<{tag} src=http://x/>no</{tag.upper()} ><p>b</p>") == "a\nb"
+    assert got("<p>b</p><script>no") == "a\nb"
+
+
+def test_link_lists_inside_an_article_stay():
+    links = "".join(f"<li><a href=x>source {k}</a>" for k in range(5))
+    menu = "".join(f"<li><a href=x>page {k}</a>" for k in range(5))
+    page = f"<body><ul>{menu}</ul><article><p>text</p><ul>{links}</ul><ul class=related>{menu}</ul><nav><ul>{menu}</ul></nav></article><ul>{menu}</ul></body>"
+    assert html_text.main_text(page) == "\n".join(["text", *(f"source {k}" for k in range(5))])
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "x")], "page_id long, url string, html string, text string")
     rows = html_text.extract(pages).collect()
