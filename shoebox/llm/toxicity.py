@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -235,6 +236,7 @@ class Model:
     def _read(self, text: str, found: dict[int, float]) -> dict[str, float]:
         symbols: list[tuple] = []
         weights: list[float] = []
+        places = sorted(found)
         at = place = 0
         for m in _TOKEN.finditer(text):
             place += len(text[at : m.start()].encode())
@@ -243,7 +245,7 @@ class Model:
             w = found.get(place, 0.0)
             if not w and len(token) > 1:  # the word may hold an apostrophe, or letters in it may not be ASCII
                 end = place + len(token.encode())
-                w = max((v for p, v in found.items() if place <= p < end), default=0.0) if len(found) < 64 else 0.0
+                w = max((found[p] for p in places[bisect_left(places, place) : bisect_left(places, end)]), default=0.0)
             if w:
                 symbols.append((INSULT,))
             elif token in ".!?;:\n":

@@ -475,3 +475,14 @@ def test_a_learned_insult_counts_in_any_form():
     assert got == [True, False, True, False, True, False, False, True]
     s = m.score(texts)
     assert s[0] > s[1] == s[5] == s[6]
+
+
+def test_an_insult_inside_a_token_counts_in_a_long_document():
+    plain = toxicity.Model(np.sort(np.array([toxicity._hash_of("idiot")])), np.array([0.9]))
+    for clause in ("tu es l'idiot.", "3idiot."):
+        alone = plain.classes(pa.array([clause]))[0]
+        assert alone
+        for n in (10, 63, 64, 500):
+            # threat words weigh nothing as insults, and the grammar reads clauses one by one
+            many, mixed = plain.classes(pa.array(["kill. " * n, clause + " " + "kill. " * n]))
+            assert {k: round(v - many.get(k, 0.0), 6) for k, v in mixed.items() if v != many.get(k, 0.0)} == {k: round(v, 6) for k, v in alone.items()}
