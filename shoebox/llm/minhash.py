@@ -8,10 +8,10 @@ documents at once; a document stops as soon as its largest value is below j.
 
 Documents with equal sets form a class with one representative.  Representatives meet
 in bands of the signature; a bucket's members are compared with its smallest member
-first (one row each) and pairs already connected are skipped.  Where a bucket then still
-holds several components, its members are compared on full sets in pairs of bounded
-blocks, so each pair of a bucket is in one component, was checked, or differs too much
-in size.  A pair with the threshold's similarity misses
+first (one row each) and pairs already connected, as union-find groups them, are
+skipped.  Where a bucket then still holds several components, its members are compared
+on full sets in pairs of bounded blocks, so each pair of a bucket is in one component,
+was checked, or differs too much in size.  A pair with the threshold's similarity misses
 all bands with a probability below 1e-8 (threshold 0.85; 40 bands of 6).
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .spark_tools import components, forget, saved, ship
+from .spark_tools import components, saved, ship
 
 BANDS, ROWS = 40, 6
 #: A prime of at least BANDS * ROWS positions.
@@ -34,6 +34,8 @@ POSITIONS = 241
 FILTER_BITS = 1 << 27
 #: Documents of a block; two blocks are compared at once.
 BLOCK = 192
+#: Parts that the rows of a bucket are dealt to when the number of its blocks is joined on.
+SALTS = 16
 
 
 def supermin(h: np.ndarray, off: np.ndarray, m: int = POSITIONS) -> np.ndarray:
@@ -85,20 +87,24 @@ def _signatures(width: int, bands: int, rows: int):
     return go
 
 
-def _places(ids: np.ndarray) -> list[np.ndarray]:
+def _places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
     one = K.mix(ids.view(np.uint64))
-    return [(one & np.uint64(FILTER_BITS - 1)).astype(np.int64), (one >> np.uint64(37)).astype(np.int64)]
+    return [(one & np.uint64(bits - 1)).astype(np.int64), (one >> np.uint64(65 - bits.bit_length())).astype(np.int64)]
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The filter's bits of the ids of a task, in blocks; of several tasks they are ORed."""
-    bits = np.zeros(FILTER_BITS, bool)
-    for x in batches:
-        for at in _places(x.column("id").to_numpy()):
-            bits[at] = True
-    blocks = np.packbits(bits).reshape(64, -1)
-    some = [k for k in range(64) if blocks[k].any()]
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([blocks[k].tobytes() for k in some], pa.binary())], ["block", "bits"])
+def _bits(n_bits: int):
+    """The filter's bits of the ids of a task, in 64 blocks; of several tasks they are ORed."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(n_bits, bool)
+        for x in batches:
+            for at in _places(x.column("id").to_numpy(), n_bits):
+                bits[at] = True
+        blocks = np.packbits(bits).reshape(64, -1)
+        some = [k for k in range(64) if blocks[k].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([blocks[k].tobytes() for k in some], pa.binary())], ["block", "bits"])
+
+    return go
 
 
 def _or_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,9 +117,15 @@ def _or_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def id_filter(ids: DataFrame) -> bytes:
-    """A Bloom filter of the column id, FILTER_BITS bits whatever the number of ids: it may let others through, but stops none of them."""
-    parts = ids.select("id").mapInArrow(_bits, "block long, bits binary").repartition(16, "block").mapInArrow(_or_bits, "block long, bits binary")
-    out = np.zeros((64, FILTER_BITS // 512), np.uint8)
+    """A Bloom filter of the column id, at most FILTER_BITS bits whatever the number of ids: it may let others through, but stops none of them.
+
+    A task takes as many ids as fill FILTER_BITS / 32 places, so the parts that are ORed
+    hold at most about half as many bytes as the ids.
+    """
+    n = ids.count()
+    n_bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
+    parts = ids.select("id").coalesce(max(1, -(-n // (FILTER_BITS >> 5)))).mapInArrow(_bits(n_bits), "block long, bits binary").repartition(16, "block").mapInArrow(_or_bits, "block long, bits binary")
+    out = np.zeros((64, n_bits // 512), np.uint8)
     for r in parts.toLocalIterator():
         out[r["block"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return out.tobytes()
@@ -123,10 +135,11 @@ def _sets(width: int, sent):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(sent.value, np.uint8)).view(bool)
         for x in K.slices(batches):
-            one, two = _places(x.column("doc_id").fill_null(-1).to_numpy())
+            one, two = _places(x.column("doc_id").fill_null(-1).to_numpy(), bits.size)
             x = x.filter(pa.array(bits[one] & bits[two]))
             h, off = shingle_sets(x.column("text"), width)
-            yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array([h[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["id", "shingles"])
+            some = np.flatnonzero(np.diff(off))
+            yield pa.RecordBatch.from_arrays([x.column("doc_id").take(pa.array(some)), pa.array([h[off[k] : off[k + 1]].tobytes() for k in some], pa.binary())], ["id", "shingles"])
 
     return go
 
@@ -197,94 +210,113 @@ def _block_links(percent: int):
     return go
 
 
-def _links_in_blocks(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different labels of the same part. docs: id, label, part, n_shingles.
+def _links_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different labels of the same bucket. members: bucket, rep, label, n_shingles.
 
-    A part's documents go to classes of set sizes, a class to blocks of about BLOCK
+    A bucket's documents go to classes of set sizes, a class to blocks of about BLOCK
     documents; each block meets the blocks of its class and of the next, which holds all
-    sizes that can be similar.  No pair becomes a row before it is known to be linked.
+    sizes that can be similar.  Most classes fill one block; the number of blocks of a
+    larger one is joined on with a salt, so a hot bucket's rows stay spread.  No pair
+    becomes a row before it is known to be linked.
     """
     ratio = float(np.log(100 / percent)) if percent < 100 else 1e-9
-    docs = docs.withColumn("k", F.floor(F.log(F.col("n_shingles").cast("double")) / ratio).cast("long"))
-    n = docs.groupBy("part", "k").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    docs = docs.join(n, ["part", "k"]).withColumn("h", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    for step, name in ((-1, "before"), (1, "after")):
-        docs = docs.join(n.select("part", (F.col("k") - step).alias("k"), F.col("blocks").alias(name)), ["part", "k"], "left")
-    index = lambda name: F.when(F.coalesce(name, F.lit(0)) > 0, F.sequence(F.lit(0).cast("long"), F.col(name) - 1)).otherwise(F.array().cast("array<long>"))
+    rows = members.withColumn("k", F.floor(F.log(F.col("n_shingles").cast("double")) / ratio).cast("long"))
+    sizes = rows.groupBy("bucket", "k").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    sizes = saved(sizes, "sizes")
+    large = sizes.where("blocks > 1")
+    own = F.array(*(F.struct((F.col("k") + step).alias("k"), F.when(F.lit(step == 0), F.col("blocks")).alias("own"), F.when(F.lit(step == -1), F.col("blocks")).alias("after"), F.when(F.lit(step == 1), F.col("blocks")).alias("before")) for step in (-1, 0, 1)))
+    # of each class: its blocks and those of the classes beside it, where there are several
+    around = large.select("bucket", F.explode(own).alias("c")).groupBy("bucket", "c.k").agg(*(F.max(f"c.{c}").alias(c) for c in ("own", "before", "after")))
+    around = around.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(SALTS)).cast("int")).join(around, ["bucket", "k", "salt"], "left").drop("salt")
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("rep"), F.coalesce("own", F.lit(1).cast("long"))))
+    index = lambda name: F.sequence(F.lit(0).cast("long"), F.coalesce(name, F.lit(1).cast("long")) - 1)
     k, h = F.col("k"), F.col("h")
     meet = F.concat(
-        F.transform(index("blocks"), lambda x: F.struct(k.alias("k1"), F.least(h, x).alias("h1"), k.alias("k2"), F.greatest(h, x).alias("h2"))),
+        F.transform(index("own"), lambda x: F.struct(k.alias("k1"), F.least(h, x).alias("h1"), k.alias("k2"), F.greatest(h, x).alias("h2"))),
         F.transform(index("before"), lambda x: F.struct((k - 1).alias("k1"), x.alias("h1"), k.alias("k2"), h.alias("h2"))),
         F.transform(index("after"), lambda x: F.struct(k.alias("k1"), h.alias("h1"), (k + 1).alias("k2"), x.alias("h2"))),
     )
-    dealt = docs.select("id", "label", "part", F.explode(meet).alias("m")).select("id", "label", "part", "m.*")
-    key = ["part", "k1", "h1", "k2", "h2"]
+    dealt = rows.select(F.col("rep").alias("id"), "label", "bucket", F.explode(meet).alias("m")).select("id", "label", "bucket", "m.*")
+    key = ["bucket", "k1", "h1", "k2", "h2"]
     mixed = dealt.groupBy(*key).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(*key)
     full = dealt.join(mixed, key, "left_semi").join(sets, "id")
     return full.groupBy(*key).applyInArrow(_block_links(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept.
+    """Per row: doc_id, n_shingles, component_id, kept.
 
     Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a text with fewer than
     `width` words has its whole sequence as its one shingle.  Documents are linked if
     100 * intersection >= percent * union; component_id is the smallest doc_id that
-    links reach.  Empty and null texts have no shingles and link with nothing.  Equal
-    doc_ids are one document whose rows all get the same component.  Other columns are
-    ignored; an empty table gives an empty one.
+    links reach.  Empty and null texts have no shingles and link with nothing.  Rows with
+    equal doc_ids are one document: n_shingles is each row's own, they link with whatever
+    one of them links with and have one component.  A row with a null doc_id links with
+    nothing, has a null component and is kept.  Other columns are ignored; an empty table
+    gives an empty one.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sigs = saved(docs.mapInArrow(_signatures(width, bands, rows), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "signatures")
-    full = sigs.where("n_shingles > 0")
+    full = sigs.where("n_shingles > 0 and doc_id is not null")
     classes = saved(full.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    # an empty text is in no class and stands for itself
+    own = sigs.select("doc_id", "n_shingles", "h1", "h2").join(classes.drop("bands"), ["n_shingles", "h1", "h2"], "left")
+    own = saved(own.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep")), "own")
+    several = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("doc_id", "a")
+    same = saved(own.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")), "same")
 
-    met = classes.select("rep", F.explode("bands").alias("bucket"))
+    met = classes.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
     crowded = met.groupBy("bucket").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("bucket", "first")
-    members = saved(met.join(crowded, "bucket"), "members")
+    members = saved(met.join(crowded, "bucket").where("rep <> first"), "members")
     # each member with the smallest member of each of its buckets
-    stars = saved(members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    wanted = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = saved(wanted, "wanted")
+    stars = saved(members.select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    wanted = saved(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
     passed = docs.mapInArrow(_sets(width, docs.sparkSession.sparkContext.broadcast(id_filter(wanted))), "id long, shingles binary")
-    sets = saved(passed.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    # copies have equal sets: one of them is enough; a document of several rows may have several sets
+    sets = saved(passed.join(wanted, "id", "left_semi").dropDuplicates(["id", "shingles"]), "sets")
 
     nearest = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    edges = saved(links(nearest, sets, percent), "edges")
+    edges = saved(links(nearest, sets, percent), "edges").unionByName(same)
     labels = components(edges)
 
     def label(df: DataFrame, of: str, to: str) -> DataFrame:
-        own = labels.select(F.col("node").alias(of), F.col("label").alias(to))
-        return df.join(own, of, "left").withColumn(to, F.coalesce(to, of))
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        return label(label(pairs, "a", "la"), "b", "lb").where("la <> lb").select("a", "b")
+        named = labels.select(F.col("node").alias(of), F.col("label").alias(to))
+        return df.join(named, of, "left").withColumn(to, F.coalesce(to, of))
 
-    rest = saved(apart(stars.join(nearest, ["a", "b"], "left_anti")), "rest")
+    rest = stars.join(nearest, ["a", "b"], "left_anti")
+    rest = saved(label(label(rest, "a", "la"), "b", "lb").where("la <> lb").select("a", "b"), "rest")
     more = saved(links(rest, sets, percent), "edges")
     if more.limit(1).count():
         edges = edges.unionByName(more)
         labels = components(edges)
-    # members of split buckets, but for the smallest, which all others were compared with
-    others = label(members.where("rep <> first").select("bucket", "rep"), "rep", "label")
-    split = others.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    open_ = saved(others.join(split, "bucket", "left_semi").select("rep", "label").distinct(), "open")
-    part = components(stars).withColumnRenamed("label", "part") if open_.limit(1).count() else labels.withColumnRenamed("label", "part")
-    sizes = classes.select(F.col("rep").alias("node"), "n_shingles")
-    asked = open_.withColumnRenamed("rep", "node").join(part, "node").join(sizes, "node").select(F.col("node").alias("id"), "label", "part", "n_shingles")
-    more = saved(_links_in_blocks(asked, sets, percent), "edges")
-    if more.limit(1).count():
-        edges = edges.unionByName(more)
-        labels = components(edges)
+    # buckets whose members, the smallest left out as all others were compared with it, are in several components
+    labelled = label(members, "rep", "label")
+    split = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+    open_ = saved(labelled.join(split, "bucket", "left_semi").select("bucket", "rep", "label", "n_shingles"), "open")
+    if open_.limit(1).count():
+        more = saved(_links_in_blocks(open_, sets, percent), "edges")
+        if more.limit(1).count():
+            labels = components(edges.unionByName(more))
 
-    grouped = label(classes.select("n_shingles", "h1", "h2", "rep"), "rep", "component")
-    out = sigs.select("doc_id", "n_shingles", "h1", "h2").join(grouped.select("n_shingles", "h1", "h2", "component"), ["n_shingles", "h1", "h2"], "left")
-    # an empty text shares its key with no class, so its component is itself
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), (F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept"))
+    out = label(own, "rep", "component_id")
+    kept = F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of which no near copy has a smaller doc_id, with their columns."""
-    kept = near_duplicates(docs, width, percent).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The documents of which no near copy has a smaller doc_id, with their columns.
+
+    Of rows with equal doc_ids the one with the smallest columns, in their order, stays.
+    Rows with a null doc_id all stay.
+    """
+    rows = near_duplicates(docs, width, percent).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    rows = saved(rows, "kept")
+    ids = lambda where: rows.where(where).select(F.col("doc_id").alias("__kept"))
+    own = F.col("doc_id").cast("long") == F.col("__kept")
+    out = docs.join(ids("n = 1"), own, "left_semi").unionByName(docs.where("doc_id is null"))
+    if rows.where("n > 1").limit(1).count():
+        again = docs.join(ids("n > 1"), own, "left_semi").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("r"))
+        out = out.unionByName(again.select("r.*"))
+    return out
