@@ -32,8 +32,8 @@ BANDS, ROWS = 40, 6
 POSITIONS = 241
 #: Bits of the filter that keeps texts of no interest out of a shuffle; when it fills up, it only saves less.
 FILTER_BITS = 1 << 27
-#: Documents of a block; two blocks are compared at once.
-BLOCK = 192
+#: Documents and shingles of a block, about; two blocks are compared at once.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 21
 #: Parts that the rows of a bucket are dealt to when the number of its blocks is joined on.
 SALTS = 16
 
@@ -213,34 +213,39 @@ def _block_links(percent: int):
 def _links_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between different labels of the same bucket. members: bucket, rep, label, n_shingles.
 
-    A bucket's documents go to classes of set sizes, a class to blocks of about BLOCK
-    documents; each block meets the blocks of its class and of the next, which holds all
-    sizes that can be similar.  Most classes fill one block; the number of blocks of a
-    larger one is joined on with a salt, so a hot bucket's rows stay spread.  No pair
-    becomes a row before it is known to be linked.
+    Of buckets with the same members one is enough.  A bucket that fills a block at most is
+    compared as it is.  The documents of a larger one go to classes of set sizes, a class to
+    blocks; each block meets the blocks of its class and of the next, which holds all sizes
+    that can be similar.  The numbers of these blocks are joined on with a salt, so a hot
+    bucket's rows stay spread.  No pair becomes a row before it is known to be linked.
     """
+    blocks = lambda: F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks")
+    same = (F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
+    buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), blocks(), *same).groupBy("n", "x", "y").agg(F.min(F.struct("bucket", "blocks")).alias("b"))
+    rows = saved(members.join(buckets.select("b.*"), "bucket"), "blocks")
+
     ratio = float(np.log(100 / percent)) if percent < 100 else 1e-9
-    rows = members.withColumn("k", F.floor(F.log(F.col("n_shingles").cast("double")) / ratio).cast("long"))
-    sizes = rows.groupBy("bucket", "k").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    sizes = saved(sizes, "sizes")
-    large = sizes.where("blocks > 1")
-    own = F.array(*(F.struct((F.col("k") + step).alias("k"), F.when(F.lit(step == 0), F.col("blocks")).alias("own"), F.when(F.lit(step == -1), F.col("blocks")).alias("after"), F.when(F.lit(step == 1), F.col("blocks")).alias("before")) for step in (-1, 0, 1)))
-    # of each class: its blocks and those of the classes beside it, where there are several
-    around = large.select("bucket", F.explode(own).alias("c")).groupBy("bucket", "c.k").agg(*(F.max(f"c.{c}").alias(c) for c in ("own", "before", "after")))
+    large = rows.where("blocks > 1").drop("blocks").withColumn("k", F.floor(F.log(F.col("n_shingles").cast("double")) / ratio).cast("long"))
+    sizes = large.groupBy("bucket", "k").agg(blocks())
+    # of each class: its blocks and those of the classes beside it
+    of = lambda step, name: F.when(F.lit(step), F.col("blocks")).alias(name)
+    beside = F.array(*(F.struct((F.col("k") + step).alias("k"), of(step == 0, "own"), of(step == 1, "before"), of(step == -1, "after")) for step in (-1, 0, 1)))
+    around = sizes.select("bucket", F.explode(beside).alias("c")).groupBy("bucket", "c.k").agg(*(F.max(f"c.{c}").alias(c) for c in ("own", "before", "after"))).where("own is not null")
     around = around.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(SALTS)).cast("int")).join(around, ["bucket", "k", "salt"], "left").drop("salt")
-    rows = rows.withColumn("h", F.pmod(F.xxhash64("rep"), F.coalesce("own", F.lit(1).cast("long"))))
-    index = lambda name: F.sequence(F.lit(0).cast("long"), F.coalesce(name, F.lit(1).cast("long")) - 1)
+    large = large.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(SALTS)).cast("int")).join(around, ["bucket", "k", "salt"])
+    large = large.withColumn("h", F.pmod(F.xxhash64("rep"), F.col("own")))
+    index = lambda name: F.when(F.col(name) > 0, F.sequence(F.lit(0).cast("long"), F.col(name) - 1)).otherwise(F.array().cast("array<long>"))
     k, h = F.col("k"), F.col("h")
     meet = F.concat(
         F.transform(index("own"), lambda x: F.struct(k.alias("k1"), F.least(h, x).alias("h1"), k.alias("k2"), F.greatest(h, x).alias("h2"))),
         F.transform(index("before"), lambda x: F.struct((k - 1).alias("k1"), x.alias("h1"), k.alias("k2"), h.alias("h2"))),
         F.transform(index("after"), lambda x: F.struct(k.alias("k1"), h.alias("h1"), (k + 1).alias("k2"), x.alias("h2"))),
     )
-    dealt = rows.select(F.col("rep").alias("id"), "label", "bucket", F.explode(meet).alias("m")).select("id", "label", "bucket", "m.*")
     key = ["bucket", "k1", "h1", "k2", "h2"]
+    dealt = large.select(F.col("rep").alias("id"), "label", "bucket", F.explode(meet).alias("m")).select("id", "label", "bucket", "m.*")
     mixed = dealt.groupBy(*key).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(*key)
-    full = dealt.join(mixed, key, "left_semi").join(sets, "id")
+    small = rows.where("blocks = 1").select(F.col("rep").alias("id"), "label", "bucket", *(F.lit(-1).cast("long").alias(c) for c in key[1:]))
+    full = dealt.join(mixed, key, "left_semi").unionByName(small).join(sets, "id")
     return full.groupBy(*key).applyInArrow(_block_links(percent), "a long, b long")
 
 
