@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import ascii_lower, unit
 from ..session import ship
 from .components import components
+from .ranks import numbered
 from .vectors import capped, sim_edges
 
 #: Bytes of seed vectors sent to every worker; more are scanned block by block.
@@ -75,7 +76,7 @@ def seed_people(crops: DataFrame, people: DataFrame, faces_of_crops: DataFrame,
     named = people.where("not deleted and coalesce(display_name, name) is not null").select(F.col("id").alias("person_id"))
     todo = crops.where("not deleted").join(named, "person_id").join(seeds.select(F.col("id")), "id", "left_anti").select("id", "person_id")
     best = faces_of_crops.groupBy("crop_id").agg(F.max_by("embedding", F.struct("det", (-F.col("face_no")).alias("first"))).alias("embedding"), F.max("det").alias("det"))
-    return todo.join(best, F.col("id") == F.col("crop_id")).select("id", "person_id", "embedding", "det", F.lit("icloud-face-crop").alias("origin"))
+    return todo.join(best, F.col("id") == F.col("crop_id")).select("id", "person_id", "embedding", "det", F.lit("face-crop").alias("origin"))
 
 
 def put_faces(faces: DataFrame, new: DataFrame) -> DataFrame:
@@ -160,10 +161,26 @@ def unname_group(faces: DataFrame, seeds: DataFrame, cluster: int) -> tuple[Data
 
 def stride(rows: DataFrame, n: int, *order, group: str | None = None) -> DataFrame:
     """Every step-th row in order, n at most, step = max(1, rows // n); with a group, of each group."""
-    w = Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))
-    step = F.greatest(F.lit(1).cast("long"), F.floor(F.count("*").over(w) / n))
-    at = F.row_number().over(w.orderBy(*order)).cast("long") - 1
-    return rows.withColumn("__step", step).withColumn("__at", at).where((F.col("__at") % F.col("__step") == 0) & (F.floor(F.col("__at") / F.col("__step")) < n)).drop("__step", "__at")
+    if group:
+        w = Window.partitionBy(group)
+        rows = rows.withColumn("__n", F.count("*").over(w)).withColumn("__at", F.row_number().over(w.orderBy(*order)).cast("long") - 1)
+    else:
+        total = rows.agg(F.count("*").alias("__n"))
+        rows = numbered(rows, "__at", *(F.asc(o) if isinstance(o, str) else o for o in order)).withColumn("__at", F.col("__at") - 1).join(F.broadcast(total))  # one row
+    rows = rows.withColumn("__step", F.greatest(F.lit(1).cast("long"), F.floor(F.col("__n") / n)))
+    return rows.where((F.col("__at") % F.col("__step") == 0) & (F.floor(F.col("__at") / F.col("__step")) < n)).drop("__step", "__at", "__n")
+
+
+def unassigned(faces: DataFrame, assets: DataFrame, least: float, limit: int) -> DataFrame:
+    """Faces that no person has and that were detected surely enough, likeliest first; without a similarity last, then by id."""
+    own = faces.where(F.col("person_id").isNull() & (F.col("det") >= least)).select("id", "asset_id", "det", "similarity")
+    return own.join(assets.select(F.col("id").alias("asset_id"), "taken", "filename"), "asset_id").orderBy(F.desc_nulls_last("similarity"), "id").limit(limit)
+
+
+def faces_of(faces: DataFrame, people: DataFrame, asset) -> DataFrame:
+    """The faces of an asset with the names of their people, by id."""
+    named = people.select(F.col("id").alias("person_id"), F.col("name").alias("person_name"))
+    return faces.where(F.col("asset_id") == F.lit(asset)).drop("embedding").join(named, "person_id", "left").orderBy("id")
 
 
 def crop(box, width, height):

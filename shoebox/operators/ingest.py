@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import decoded_text
+
 #: The record types that are kept.
 TYPES = ("CPLMaster", "CPLAsset", "CPLContainerRelation", "CPLPerson", "CPLFaceCrop")
 
@@ -87,13 +89,123 @@ def upsert_assets(old: DataFrame, new: DataFrame, now) -> DataFrame:
     return both.select(*cols)
 
 
+def value(name: str, kind: str = "string", json: str = "json"):
+    """A field's value in a record's payload."""
+    return F.try_variant_get(F.try_parse_json(json), f"$.fields.{name}.value", kind)
+
+
+def text(name: str, json: str = "json"):
+    """A field that is text, or base64 of it."""
+    return F.coalesce(decoded_text(value(name, json=json)), value(name, json=json))
+
+
+def moment(name: str, json: str = "json"):
+    """A field in milliseconds since 1970."""
+    return F.timestamp_millis(value(name, "long", json))
+
+
+def flag(name: str, json: str = "json"):
+    return F.coalesce(value(name, "long", json), F.lit(0)) != 0
+
+
+# Field prefixes of the renditions that a master's payload names.
+RENDITIONS = {"original": "resOriginal", "medium": "resJPEGMed", "thumb": "resJPEGThumb", "original_video": "resOriginalVidCompl", "thumb_image": "resJPEGThumbPoster"}
+
+
+def _rendition(prefix: str):
+    size = F.try_variant_get(F.try_parse_json("master_json"), f"$.fields.{prefix}Res.value.size", "long")
+    m = "master_json"
+    return F.struct(
+        size.alias("bytes"), value(f"{prefix}Width", "int", m).alias("width"), value(f"{prefix}Height", "int", m).alias("height"), value(f"{prefix}FileType", json=m).alias("type"), F.lit(None).cast("string").alias("filename"),
+    )
+
+
+def derived_assets(paired: DataFrame) -> DataFrame:
+    """Asset rows of assets with their masters (name, json, zone, master_id, master_json): payload to columns, with fingerprint and deleted.
+
+    A master whose item type is a movie is one; all else is an image.  Sizes are those of
+    the original.  Fields that a payload lacks are null, flags false.
+    """
+    m = "master_json"
+    rows = [F.struct(F.lit(k).alias("key"), _rendition(p).alias("value")) for k, p in RENDITIONS.items()]
+    versions = F.map_from_entries(F.filter(F.array(*rows), lambda e: e["value"]["bytes"].isNotNull() | e["value"]["type"].isNotNull()))
+    d = paired.select(
+        F.col("name").alias("id"), "master_id", "zone", text("filenameEnc", m).alias("filename"),
+        F.when(F.coalesce(value("itemType", json=m), F.lit("")).rlike("(?i)movie|video|mpeg-4"), "movie").otherwise("image").alias("kind"),
+        value("resOriginalVidComplFileType", json=m).isNotNull().alias("live"), moment("assetDate").alias("taken"), moment("addedDate").alias("added"),
+        value("resOriginalWidth", "int", m).alias("width"), value("resOriginalHeight", "int", m).alias("height"), F.try_variant_get(F.try_parse_json(m), "$.fields.resOriginalRes.value.size", "long").alias("bytes"),
+        flag("isFavorite").alias("favorite"), flag("isHidden").alias("hidden"), flag("isDeleted").alias("deleted"), text("captionEnc").alias("caption"),
+        F.try_variant_get(F.try_parse_json("json"), "$.fields.location.value.lat", "double").alias("latitude"), F.try_variant_get(F.try_parse_json("json"), "$.fields.location.value.lon", "double").alias("longitude"), versions.alias("versions"),
+    )
+    return d.withColumn("fingerprint", fingerprint([c for c in d.columns if c != "zone"]))
+
+
+def people_of(folded: DataFrame) -> DataFrame:
+    """People of the feed; a tombstone keeps the columns and sets deleted."""
+    d = folded.where("type = 'CPLPerson' and json is not null")
+    return d.select(F.col("name").alias("id"), text("personFullNameEnc").alias("name"), text("displayName").alias("display_name"), flag("verifiedType").alias("verified"), value("personType", "int").alias("kind"), "modified", "deleted")
+
+
+def crops_of(folded: DataFrame) -> DataFrame:
+    """Face crops of the feed with the people they show."""
+    person = F.try_variant_get(F.try_parse_json("json"), "$.fields.personRef.value.recordName", "string")
+    d = folded.where("type = 'CPLFaceCrop' and json is not null")
+    return d.select(F.col("name").alias("id"), person.alias("person_id"), value("type", "int").alias("kind"), value("resFaceCropFileSize", "long").alias("bytes"), "modified", "deleted")
+
+
 def relations(folded: DataFrame) -> DataFrame:
     """album_id, asset_id of the memberships whose relation is live."""
-    rows = folded.where("type = 'CPLContainerRelation'").select("deleted", F.get_json_object("json", "$.fields.containerId.value").alias("album_id"), F.get_json_object("json", "$.fields.itemId.value").alias("asset_id"))
-    live = rows.where("not deleted").select("album_id", "asset_id").distinct()
-    return live
+    live = folded.where("type = 'CPLContainerRelation' and not deleted")
+    return live.select(value("containerId").alias("album_id"), value("itemId").alias("asset_id")).distinct()
 
 
-def run_statistics(records: DataFrame) -> DataFrame:
-    kept = F.col("type").isin(*TYPES)
-    return records.agg(F.count("*").alias("records"), F.count_if(F.col("deleted")).alias("tombstones"), F.count_if(kept & (F.col("type") == "CPLContainerRelation") & ~F.col("deleted")).alias("relations"), F.count_if(kept & (F.col("type") == "CPLPerson") & ~F.col("deleted")).alias("people"), F.count_if(kept & (F.col("type") == "CPLFaceCrop") & ~F.col("deleted")).alias("face_crops"))
+def replace_albums(albums: DataFrame, listed: DataFrame) -> DataFrame:
+    """The albums that were listed now, and no others."""
+    return listed.select(*(F.col(c) if c in listed.columns else F.lit(None).cast(albums.schema[c].dataType).alias(c) for c in albums.columns))
+
+
+def replace_members(members: DataFrame, albums: DataFrame, album, ids: DataFrame, now) -> tuple[DataFrame, DataFrame]:
+    """Members with those of one album replaced by `ids` (asset_id), and albums with its time of syncing."""
+    kept = members.where(F.col("album_id") != F.lit(album))
+    new = ids.select(F.lit(album).cast(members.schema["album_id"].dataType).alias("album_id"), "asset_id").distinct()
+    synced = F.when(F.col("id") == F.lit(album), F.lit(now).cast(albums.schema["synced"].dataType)).otherwise(F.col("synced"))
+    return kept.unionByName(new), albums.withColumn("synced", synced)
+
+
+def run_statistics(records: DataFrame, before: DataFrame | None = None, after: DataFrame | None = None) -> DataFrame:
+    """One row of a run's counts: records, tombstones, relations, people, face_crops, zones; with the assets before and after it also new, changed, same and missing.
+
+    The kind of a tombstone without a type is that of the record it ends, so only live
+    records count by kind.  missing counts the assets that the run marked so.
+    """
+    live = ~F.col("deleted")
+    of = lambda kind: F.count_if(live & (F.col("type") == kind))
+    out = records.agg(
+        F.count("*").alias("records"), F.count_if(F.col("deleted")).alias("tombstones"), of("CPLContainerRelation").alias("relations"), of("CPLPerson").alias("people"), of("CPLFaceCrop").alias("face_crops"), F.countDistinct("zone").alias("zones"),
+    )
+    if after is None:
+        return out
+    o = before.select("id", F.col("fingerprint").alias("__old"), F.lit(True).alias("__was"), F.col("missing_since").alias("__gone"))
+    touched = records.where("type = 'CPLAsset' and not deleted").select(F.col("name").alias("id")).distinct().withColumn("__in", F.lit(True))
+    d = after.join(o, "id", "left").join(touched, "id", "left")
+    seen = F.coalesce("__in", F.lit(False))
+    counts = d.agg(
+        F.count_if(F.col("__was").isNull()).alias("new"), F.count_if(F.col("__was") & (F.col("__old") != F.col("fingerprint"))).alias("changed"), F.count_if(seen & F.col("__was") & (F.col("__old") == F.col("fingerprint"))).alias("same"),
+        F.count_if(F.col("missing_since").isNotNull() & F.col("__gone").isNull()).alias("missing"),
+    )
+    return out.join(F.broadcast(counts))  # one row each
+
+
+def mark_missing(assets: DataFrame, folded: DataFrame, now) -> DataFrame:
+    """Assets whose record is a tombstone, of whatever kind it was, are missing from now on unless they were before."""
+    gone = folded.where(F.col("deleted") & (F.col("type").isNull() | (F.col("type") == "CPLAsset"))).select(F.col("name").alias("id"), F.lit(True).alias("__gone"))
+    d = assets.join(gone, "id", "left")
+    return d.withColumn("missing_since", F.when(F.col("__gone"), F.coalesce("missing_since", F.lit(now).cast("timestamp"))).otherwise(F.col("missing_since"))).drop("__gone")
+
+
+def sync_assets(old: DataFrame, folded: DataFrame, now) -> DataFrame:
+    """Current assets after a run: payloads of live pairs merged into the old rows, tombstones marked."""
+    new = derived_assets(pair(folded))
+    data = [c for c in new.columns if c not in ("deleted", "zone")]
+    old = old.select(*data, *(c for c in ("zone", "first_seen", "last_seen", "missing_since")))
+    return mark_missing(upsert_assets(old, new, now), folded, now)

@@ -7,9 +7,11 @@ page by page.
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,21 +69,19 @@ def hero(photos: DataFrame, page: str, order: str, width: float, height: float,
 
 
 def balanced_rows(aspects: np.ndarray, rows: int) -> np.ndarray | None:
-    """The first place of each row, so that rows carry near equal sums of aspects; None if it takes another number of rows."""
+    """The first place of each row, so that rows carry near equal sums of aspects; None if there are too few places.
+
+    Row k ends at the first place where the sum reaches k of `rows` even shares, behind
+    the row before, or earlier where just one place is left for each row to come, which
+    then has that one.
+    """
     n = len(aspects)
-    if rows >= n:
-        return np.arange(n) if rows == n else None
-    sums = np.cumsum(aspects)
-    total = sums[-1] or 1.0
-    first = [0]
-    for i in range(n - 1):
-        done = len(first)
-        if done == rows:
-            break
-        after = n - i - 1
-        if after >= rows - done and (sums[i] >= done * total / rows or after == rows - done):
-            first.append(i + 1)
-    return np.array(first) if len(first) == rows else None
+    if rows > n:
+        return None
+    sums, k = np.cumsum(aspects), np.arange(rows - 1)
+    ends = np.searchsorted(sums, (k + 1) * (sums[-1] or 1.0) / rows)
+    ends = np.maximum.accumulate(ends - k) + k
+    return np.append(0, np.minimum(ends, n - rows + k) + 1).astype(np.int64)
 
 
 def justified_slots(aspects: np.ndarray, width: float, height: float, gap: float) -> np.ndarray:
@@ -144,19 +144,71 @@ KERNELS = {"justified": justified_slots, "spread": spread_slots, "scatter": scat
 
 
 def by_page(photos: DataFrame, template: str, page: str, order: str, aspect: str, width: float, height: float, gap: float) -> DataFrame:
-    """page, order, x, y, w, h, rotate, mount of each photograph; an unknown aspect is 1."""
+    """page, order, x, y, w, h, rotate, mount of each photograph; an unknown aspect is 1.
+
+    Pages are collected as lists inside the JVM, so a batch of Arrow rows holds many of
+    them; a null page is one of its own.
+    """
     ship(photos.sparkSession)
     kernel = KERNELS[template]
     types = {f.name: f.dataType.simpleString() for f in photos.schema.fields}
-
-    def go(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        s = kernel(pdf[aspect].fillna(1.0).to_numpy(float), width, height, gap)
-        if s.shape[1] == 4:
-            s = np.concatenate([s, np.zeros((len(s), 2))], axis=1)
-        return pd.DataFrame({page: pdf[page].to_numpy(), order: pdf[order].to_numpy()} | dict(zip(("x", "y", "w", "h", "rotate", "mount"), s.T, strict=True)))
-
-    return photos.select(page, order, aspect).groupBy(page).applyInPandas(go, f"{page} {types[page]}, {order} {types[order]}, x double, y double, w double, h double, rotate double, mount double")
+    columns = ("x", "y", "w", "h", "rotate", "mount")
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("aspects")
+            n = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            values = lists.flatten().to_numpy(zero_copy_only=False)
+            out, at = np.zeros((values.size, 6)), 0
+            for k in n.tolist():
+                s = kernel(values[at : at + k], width, height, gap)
+                out[at : at + k, : s.shape[1]] = s
+                at += k
+            offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("page"), batch.column("orders"), *(pa.ListArray.from_arrays(offsets, pa.array(out[:, k])) for k in range(6))], ["page", "orders", *columns])
+
+    own = photos.select(F.col(page).alias("page"), F.struct(F.col(order).alias("o"), F.coalesce(F.col(aspect).cast("double"), F.lit(1.0)).alias("a")).alias("p"))
+    lists = own.groupBy("page").agg(F.sort_array(F.collect_list("p")).alias("p")).select("page", F.col("p.o").alias("orders"), F.col("p.a").alias("aspects"))
+    slots = lists.mapInArrow(go, f"page {types[page]}, orders array<{types[order]}>, " + ", ".join(f"{c} array<double>" for c in columns))
+    rows = slots.select("page", F.explode(F.arrays_zip("orders", *columns)).alias("s"))
+    return rows.select(F.col("page").alias(page), F.col("s.orders").alias(order), *(F.col(f"s.{c}").alias(c) for c in columns))
+
+
+def rendition_size(versions, version):
+    """Width and height of a rendition; null where the asset has none."""
+    return F.struct(versions[version]["width"].alias("width"), versions[version]["height"].alias("height"))
+
+
+def plan(photos: DataFrame, template: str, page: str, order: str, shape: str = "3:2", gap: float = 8, long_edge: int | None = None, caption: str | None = None, face_safe: bool = True) -> DataFrame:
+    """The slots of each page in whole pixels, with the part of each photograph that its slot shows.
+
+    photos: page, order, width, height and, for crops that keep faces, faces as fractions
+    of the frame.  Columns: page, order, x, y, w, h, rotate, mount, crop and the page's
+    page_w, page_h and band (the caption's height, which the slots leave free).
+    """
+    pw, ph, space, band = page_size(shape, long_edge, gap, caption)
+    sized = photos.withColumn("__aspect", F.when(F.col("height") > 0, F.greatest(F.lit(0.05), F.col("width") / F.col("height"))))
+    width, height = float(pw), float(ph - band)
+    if template in KERNELS:
+        slots = by_page(sized, template, page, order, "__aspect", width, height, space)
+    else:
+        slots = {"grid": grid, "hero": hero, "filmstrip": filmstrip}[template](sized.select(page, order), page, order, width, height, space)
+        slots = slots.select(page, order, "x", "y", "w", "h", F.lit(0.0).alias("rotate"), F.lit(0.0).alias("mount"))
+    d = slots.join(photos, [page, order])
+    inner = lambda c: F.greatest(F.lit(1.0), F.col(c) - 2 * F.col("mount"))
+    bounds: list = [None] * 4
+    if face_safe and "faces" in photos.columns:
+        bounds = [f(F.transform("faces", lambda b, i=i: b[i])) for f, i in ((F.array_min, 0), (F.array_max, 2), (F.array_min, 1), (F.array_max, 3))]
+    whole = lambda c: F.bround(c).cast("long").alias(c)
+    crop = crop_box(F.col("width"), F.col("height"), inner("w") / inner("h"), *bounds).alias("crop")
+    return d.select(page, order, *(whole(c) for c in ("x", "y", "w", "h")), F.round("rotate", 2).alias("rotate"), whole("mount"), crop, F.lit(pw).alias("page_w"), F.lit(ph).alias("page_h"), F.lit(band).alias("band"))
+
+
+def source_px(original_width, photo_width, crop_width):
+    """Pixels of the original across its slot; an unknown original counts as the photograph at hand."""
+    original = F.when(F.coalesce(original_width, F.lit(0)) > 0, original_width).otherwise(photo_width)
+    part = F.when(F.coalesce(photo_width, F.lit(0)) > 0, crop_width / photo_width).otherwise(1.0)
+    return F.bround(original * part).cast("long")
 
 
 def window_start(span, lo, hi):

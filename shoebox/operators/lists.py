@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import summed_before
+
 
 class CacheFull(Exception):
     """What would have to stay doesn't fit the budget."""
@@ -14,15 +16,14 @@ def eviction_plan(cache: DataFrame, needed: int, budget: int, keep: tuple | None
     """Rows to evict, least recently used first, until `needed` more fit: those before which too much is still held.
 
     Pinned rows and the entry being written are never evicted.  The running sum is over
-    whole numbers, so it is the same in any order of summing.
+    whole numbers, range by range of the order.
     """
     total = cache.agg(F.coalesce(F.sum(F.col(size).cast("long")), F.lit(0)).alias("__total"))
     free = cache.where(~F.col("pinned"))
     if keep:
         free = free.where(~((F.col("asset_id") == F.lit(keep[0])) & (F.col("version") == F.lit(keep[1]))))
-    w = Window.orderBy(F.asc_nulls_first(used), "asset_id", "version").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.col(size).cast("long")).over(w), F.lit(0))
-    return free.withColumn("freed_before", before).join(F.broadcast(total)).where(F.col("__total") - F.col("freed_before") + needed > budget).drop("__total")
+    before = summed_before(free, size, "freed_before", F.asc_nulls_first(used), F.asc("asset_id"), F.asc("version"))
+    return before.join(F.broadcast(total)).where(F.col("__total") - F.col("freed_before") + needed > budget).drop("__total")
 
 
 def make_room(cache: DataFrame, needed: int, budget: int, keep: tuple | None = None) -> tuple[DataFrame, DataFrame, bool]:
@@ -77,10 +78,61 @@ def rendition(versions, size: str, kind, small: int = 4 << 20):
     return F.when(versions[still].isNotNull(), still).when((kind == "image") & (original["bytes"] <= small), F.lit("original")).otherwise(thumb)
 
 
-def analysed(versions, limit: int = 8 << 20):
-    """Which rendition a model reads: medium, else an original that is small and not raw; null if none."""
+def analysed(versions, limit: int = 8 << 20, source: str = "thumb"):
+    """Which rendition a model reads: the pass's own, else medium, else an original that is small and not raw; null if none."""
     original = versions["original"]
-    return F.when(versions["medium"].isNotNull(), "medium").when((original["bytes"] <= limit) & ~F.lower(F.coalesce(original["type"], F.lit(""))).contains("raw"), "original")
+    small = (F.coalesce(original["bytes"], F.lit(0)) <= limit) & ~F.coalesce(original["type"], F.lit("")).contains("raw")
+    return F.when(versions[source].isNotNull(), source).when(versions["medium"].isNotNull(), "medium").when(small, "original")
+
+
+def missing_originals(assets: DataFrame, cache: DataFrame, budget: int) -> DataFrame:
+    """One row: files and bytes of the originals that aren't cached, what the budget has left, and whether they fit; nothing needed always fits."""
+    held = cache.where("version = 'original'").select(F.col("asset_id").alias("id")).distinct()
+    need = assets.join(held, "id", "left_anti").agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"))
+    used = cache.agg(F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("used"))
+    left = F.greatest(F.lit(0).cast("long"), F.lit(budget) - F.col("used"))
+    both = need.join(F.broadcast(used))  # one row each
+    return both.select("files", "bytes", left.alias("left"), ((F.col("bytes") == 0) | (F.col("used") + F.col("bytes") <= budget)).alias("fits"))
+
+
+def create(parents: DataFrame, row: DataFrame, key: str = "name") -> DataFrame:
+    """parents and the row, unless one of its name is there."""
+    return parents.unionByName(row.join(parents.select(key), key, "left_anti"), allowMissingColumns=True)
+
+
+def delete(parents: DataFrame, items: DataFrame, value, owner: str, key: str = "name") -> tuple[DataFrame, DataFrame]:
+    """Parents and items without those of one parent."""
+    return parents.where(F.col(key) != F.lit(value)), items.where(F.col(owner) != F.lit(value))
+
+
+def change(rows: DataFrame, key: str, value, **fields) -> DataFrame:
+    """Columns of the row with a key set to values; the others stay."""
+    own = F.col(key) == F.lit(value)
+    return rows.withColumns({c: F.when(own, F.lit(v).cast(rows.schema[c].dataType)).otherwise(F.col(c)) for c, v in fields.items()})
+
+
+def queue(table: DataFrame, row: DataFrame, ident: str = "id", **fields) -> DataFrame:
+    """The table with one more row, whose id is the next."""
+    last = table.agg(F.coalesce(F.max(ident), F.lit(0)).alias("__last"))
+    new = row.join(F.broadcast(last)).withColumn(ident, (F.col("__last") + 1).cast("long")).drop("__last")  # one row each
+    for c, v in fields.items():
+        new = new.withColumn(c, F.lit(v))
+    return table.unionByName(new, allowMissingColumns=True)
+
+
+def add_page(pages: DataFrame, row: DataFrame, ident: str = "id") -> DataFrame:
+    """The page behind its book's last one, with the next id. row: book and the page's columns."""
+    last = pages.groupBy("book").agg(F.max("position").alias("__at"))
+    new = row.join(last, "book", "left").withColumn("position", (F.coalesce("__at", F.lit(0)) + 1).cast("long")).drop("__at")
+    return queue(pages, new, ident)
+
+
+def remove_page(pages: DataFrame, book, at: int) -> DataFrame:
+    """Pages without the one at a place; if there was one, its book is numbered anew."""
+    own = F.col("book") == F.lit(book)
+    left = pages.where(~(own & (F.col("position") == at)))
+    hit = pages.where(own & (F.col("position") == at)).limit(1).count()
+    return left.where(~own).unionByName(renumber(left.where(own))) if hit else pages
 
 
 def append(items: DataFrame, new: DataFrame, owner: str = "collection", item: str = "asset_id", place: str = "position") -> DataFrame:
@@ -119,8 +171,9 @@ def move(pages: DataFrame, owner_value, at: int, to: int, owner: str = "book", p
     return pages.withColumn(place, F.when(own, new).otherwise(p).cast("long"))
 
 
-def jobs(queue: DataFrame, states: tuple[str, ...], limit: int) -> DataFrame:
-    return queue.where(F.col("state").isin(*states)).orderBy(F.desc("id")).limit(limit)
+def jobs(rows: DataFrame, states: tuple[str, ...] = (), limit: int = 50) -> DataFrame:
+    """The newest jobs, of all states if none is named."""
+    return (rows.where(F.col("state").isin(*states)) if states else rows).orderBy(F.desc("id")).limit(limit)
 
 
 def children(rows: DataFrame, parent: str, value, *order) -> DataFrame:

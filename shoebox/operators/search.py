@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import contains_like, decode_cursor, encode_cursor, safe_name
+from ..model import RENDITION
 
 
 @dataclass(frozen=True)
@@ -116,6 +117,28 @@ def lookup(assets: DataFrame, ids: list) -> DataFrame:
     return rows.orderBy("__k").drop("__k", "__id")
 
 
+def asset(assets: DataFrame, ident) -> DataFrame:
+    """The asset with an id, or nothing; the predicate reaches the scan."""
+    return assets.where(F.col("id") == F.lit(ident)).limit(1)
+
+
+def ids(assets: DataFrame) -> DataFrame:
+    """The set of ids: one column of the scan."""
+    return assets.select("id").distinct()
+
+
+def of_master(assets: DataFrame, master) -> DataFrame:
+    """The asset of a master, the smallest id of several."""
+    return assets.where(F.col("master_id") == F.lit(master)).orderBy("id").limit(1)
+
+
+def decoded(assets: DataFrame) -> DataFrame:
+    """Rows as callers see them: null flags are false, null versions empty, missing instead of its time, no fingerprint."""
+    out = assets.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("live", "favorite", "hidden")})
+    out = out.withColumn("versions", F.coalesce("versions", F.map_from_entries(F.array().cast(f"array<struct<key: string, value: {RENDITION}>>"))))
+    return out.withColumn("missing", F.col("missing_since").isNotNull()).drop("missing_since", "fingerprint")
+
+
 def by_entry(assets: DataFrame, entry: str) -> DataFrame:
     """The asset that a sanitised name stands for, exact ids first."""
     exact = F.when(F.col("id") == entry, 0).otherwise(1)

@@ -17,6 +17,28 @@ def asset_counts(assets: DataFrame) -> DataFrame:
     return assets.agg(F.count("*").alias("assets"), F.count_if(F.col("kind") == "image").alias("images"), F.count_if(F.col("kind") == "movie").alias("movies"), F.count_if(F.col("missing_since").isNotNull()).alias("missing"))
 
 
+def counts(assets: DataFrame, albums: DataFrame, collections: DataFrame, people_: DataFrame) -> DataFrame:
+    """One row: assets, images, movies, missing, albums, collections and live people."""
+    n = lambda d, name: F.broadcast(d.agg(F.count("*").alias(name)))  # noqa: E731  one row
+    return asset_counts(assets).join(n(albums, "albums")).join(n(collections, "collections")).join(n(people_.where("not deleted"), "people"))
+
+
+def variant_counts(variants: DataFrame) -> DataFrame:
+    """Versions by asset, of assets that have any."""
+    return variants.groupBy("asset_id").agg(F.count("*").alias("n"))
+
+
+def collections(collections_: DataFrame, items: DataFrame) -> DataFrame:
+    """Collections with their numbers of items, oldest first."""
+    own = items.withColumnRenamed("collection", "name").select("name")
+    return counted(collections_, own, "name", "count").orderBy("created", "name")
+
+
+def books(books_: DataFrame, pages: DataFrame) -> DataFrame:
+    """Books with their numbers of pages, by name."""
+    return counted(books_, pages.select(F.col("book").alias("name")), "name", "pages").orderBy("name")
+
+
 def record_counts(records: DataFrame) -> DataFrame:
     return records.where("not deleted").groupBy(F.coalesce("type", F.lit("tombstone")).alias("type")).agg(F.count("*").alias("n"))
 
@@ -40,10 +62,13 @@ def usage_by_version(cache: DataFrame) -> DataFrame:
     return cache.groupBy("version").agg(F.count("*").alias("files"), F.sum("bytes").cast("long").alias("bytes"), F.sum(F.when(F.col("pinned"), F.col("bytes")).otherwise(0)).cast("long").alias("pinned_bytes"))
 
 
-def index_counts(state: DataFrame, faces: DataFrame) -> DataFrame:
-    a = state.agg(F.count("*").alias("indexed"), F.count_if(F.col("clip_model").isNotNull()).alias("clip"), F.count_if(F.col("face_model").isNotNull()).alias("face"))
-    b = faces.agg(F.count("*").alias("faces"), F.count_if(F.col("person_id").isNotNull()).alias("assigned"), F.countDistinct("person_id").alias("people"))
-    return a.join(F.broadcast(b))  # one row each
+def index_counts(state: DataFrame, faces: DataFrame, assets: DataFrame, seeds: DataFrame) -> DataFrame:
+    """One row: indexed, images (that are not missing), faces, faces_named, seeds, seeded_people."""
+    a = state.agg(F.count("*").alias("indexed"))
+    b = assets.agg(F.count_if((F.col("kind") == "image") & F.col("missing_since").isNull()).alias("images"))
+    c = faces.agg(F.count("*").alias("faces"), F.count("person_id").alias("faces_named"))
+    d = seeds.agg(F.count("*").alias("seeds"), F.countDistinct("person_id").alias("seeded_people"))
+    return a.join(F.broadcast(b)).join(F.broadcast(c)).join(F.broadcast(d))  # one row each
 
 
 def top_per_group(df: DataFrame, group: str, n: int, *order) -> DataFrame:

@@ -42,6 +42,16 @@ def similar_to(vectors: DataFrame, ident, k: int, key: str, embedding: str = "em
     return vectors.join(F.broadcast(one)).withColumn("score", score).drop("__q").orderBy(F.desc("score"), key).limit(k)
 
 
+def put(vectors: DataFrame, new: DataFrame, key: str = "asset_id") -> DataFrame:
+    """Vectors with those of the assets in `new` replaced."""
+    return vectors.join(new.select(key), key, "left_anti").unionByName(new)
+
+
+def of(vectors: DataFrame, ident, key: str = "asset_id") -> DataFrame:
+    """The vector of an asset, or nothing."""
+    return vectors.where(F.col(key) == F.lit(ident)).limit(1)
+
+
 def _pairs(threshold: float):
     def go(table: pa.Table) -> pa.Table:
         first = table.filter(pa.compute.field("side") == 1)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import faces as faces_
-from ..operators import ingest, layout, lists, preflight, search, selection, summaries, vectors
+from ..operators import ingest, layout, lists, preflight, ranks, search, selection, summaries, vectors
 from ..sources import export
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,17 +100,32 @@ def search_date_window(spark: SparkSession, sf: str) -> DataFrame:
     return search.apply_filters(assets(spark, sf), f).groupBy(F.date_trunc("month", "taken").cast("timestamp_ntz").alias("period")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 
-@query("select d.doc_id, case when l.toxic = 1 then 'marked' when l.toxic = 0 then 'plain' else 'unknown' end as state from documents d left join labels l on d.doc_id = l.doc_id where (l.quality = 1) is not true")
+_TRI = "documents d left join labels l on d.doc_id = l.doc_id"
+
+
+@query(f"select d.doc_id, 'marked' as state from {_TRI} where toxic = 1 union all select d.doc_id, 'plain' from {_TRI} where toxic = 0 and quality = 1 union all select d.doc_id, 'unknown' from {_TRI} where toxic is null union all select d.doc_id, 'known' from {_TRI} where toxic is not null")
 def search_tri_state(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left")
-    state = F.when(F.col("toxic") == 1, "marked").when(F.col("toxic") == 0, "plain").otherwise("unknown")
-    return d.where(~F.coalesce(F.col("quality") == 1, F.lit(False))).select("doc_id", state.alias("state"))
+    d = d.select("doc_id", (F.col("toxic") == 1).alias("favorite"), (F.col("quality") == 1).alias("live"), F.col("toxic").cast("double").alias("latitude"))
+    asked = {"marked": search.Filters(favorite=True), "plain": search.Filters(favorite=False, live=True), "unknown": search.Filters(located=False), "known": search.Filters(located=True)}
+    parts = [search.apply_filters(d, f).select("doc_id", F.lit(name).alias("state")) for name, f in asked.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def _albums(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Nations as albums of the orders of their customers, in folders by region."""
+    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    albums = n.select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"), F.concat("r_name", F.lit("/"), "n_name").alias("fullname"))
+    members = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").cast("string").alias("album_id"), F.col("o_orderkey").alias("asset_id"))
+    return {"albums": albums, "album_assets": members}
 
 
-@query(f"select id, bytes from {ASSETS} where owner in (select c_custkey from customer join nation on c_nationkey = n_nationkey where n_name = 'FRANCE' or n_nationkey = 3)")
+@query(f"select id, bytes, 'name' as how from {ASSETS} where owner in (select c_custkey from customer join nation on c_nationkey = n_nationkey where n_name = 'FRANCE') union all select id, bytes, 'folder' from {ASSETS} where owner in (select c_custkey from customer join nation on c_nationkey = n_nationkey where n_name = 'CHINA') union all select id, bytes, 'id' from {ASSETS} where owner in (select c_custkey from customer where c_nationkey = 3)")
 def search_album(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).where((F.col("n_name") == "FRANCE") | (F.col("n_nationkey") == 3))
-    return search.membership(assets(spark, sf), c, "c_custkey", "owner").select("id", "bytes")
+    a, rel = assets(spark, sf), _albums(spark, sf)
+    asked = (("name", "FRANCE"), ("folder", "ASIA/CHINA"), ("id", "3"))
+    one, two, three = (search.apply_filters(a, search.Filters(album=v), rel).select("id", "bytes", F.lit(how).alias("how")) for how, v in asked)
+    return one.unionByName(two).unionByName(three)
 
 
 @query(f"select id, kind from {ASSETS} where id in (select l_orderkey from lineitem where l_suppkey in (1, 3, 5))")
@@ -124,14 +139,21 @@ def search_ids_empty(spark: SparkSession, sf: str) -> DataFrame:
     return search.apply_filters(assets(spark, sf), search.Filters(ids=())).agg(F.count("*").alias("n"))
 
 
-@query("select p_partkey, p_type from part where not (upper(p_type) like '%STEEL')")
+_NAMED = "(select p_partkey, case when p_partkey % 3 = 0 then p_name || '.png' when p_partkey % 3 = 1 then p_name || '.jpg' end as filename from part)"
+
+
+@query(f"select p_partkey, false as shot from {_NAMED} where upper(filename) not like '%.PNG' union all select p_partkey, true from {_NAMED} where upper(filename) like '%.PNG'")
 def not_suffix_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").where(~F.upper("p_type").like("%STEEL")).select("p_partkey", "p_type")
+    k = F.col("p_partkey") % 3
+    d = table(spark, sf, "part").select("p_partkey", F.when(k == 0, F.concat("p_name", F.lit(".png"))).when(k == 1, F.concat("p_name", F.lit(".jpg"))).alias("filename"))
+    one, two = (search.apply_filters(d, search.Filters(screenshots=want)).select("p_partkey", F.lit(want).alias("shot")) for want in (False, True))
+    return one.unionByName(two)
 
 
 @query(f"select id, taken, row_number() over (order by taken asc nulls last, id) rn from {ASSETS} where kind = 'P'")
 def dates_ascending(spark: SparkSession, sf: str) -> DataFrame:
-    return _ranked(search.apply_filters(assets(spark, sf), search.Filters(kind="P")).select("id", "taken"), F.asc_nulls_last("taken"), "id")
+    d = search.dates(search.apply_filters(assets(spark, sf), search.Filters(kind="P")))
+    return ranks.numbered(d, "rn", F.asc_nulls_last("taken"), F.asc("id"))
 
 
 @query("select k.i as place, o_orderkey as id, o_totalprice as total from orders join (values (1, 7), (2, 1), (3, 4)) k(i, x) on o_orderkey = k.x")
@@ -140,22 +162,26 @@ def many_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return search.lookup(rows, [7, 1, 4]).select(F.when(F.col("id") == 7, 1).when(F.col("id") == 1, 2).otherwise(3).alias("place"), "id", "total")
 
 
-@query("select c_custkey, regexp_replace(c_name, '[^A-Za-z0-9._-]', '_', 'g') as entry from customer where regexp_replace(c_name, '[^A-Za-z0-9._-]', '_', 'g') = 'Customer_000000007' or c_name = 'Customer#000000009'")
+@query("select c_name as id, c_custkey from customer where c_name in ('Customer#000000007', 'Customer#000000009')")
 def sanitised_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "customer").withColumn("entry", S.safe_name(F.col("c_name")))
-    return c.where((F.col("entry") == "Customer_000000007") | (F.col("c_name") == "Customer#000000009")).select("c_custkey", "entry")
+    c = table(spark, sf, "customer").select(F.col("c_name").alias("id"), "c_custkey")
+    return search.by_entry(c, "Customer_000000007").unionByName(search.by_entry(c, "Customer#000000009"))
 
 
-@query("select d.doc_id, e.label::bigint as label from documents d left join embeddings e on d.doc_id = e.vec_id where e.label is distinct from 3")
+@query("select d.doc_id as id, d.lang from documents d left join embeddings e on d.doc_id = e.vec_id where d.lang <> 'fr' and d.doc_id % 7 <> 0 and (e.label is distinct from 3 or e.vec_id % 2 = 0)")
 def unindexed(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "embeddings").select("vec_id", "label"), F.col("doc_id") == F.col("vec_id"), "left")
-    return d.where(~F.col("label").eqNullSafe(3)).select("doc_id", F.col("label").cast("long").alias("label"))
+    gone = F.when(F.col("doc_id") % 7 == 0, F.lit("gone"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", F.when(F.col("lang") == "fr", "movie").otherwise("image").alias("kind"), gone.alias("missing_since"))
+    state = table(spark, sf, "embeddings").select(F.col("vec_id").alias("asset_id"), F.col("label").cast("string").alias("clip_model"), F.when(F.col("vec_id") % 2 == 1, "f").alias("face_model"))
+    return search.unindexed(d, state, "3", "f").select("id", "lang")
 
 
-@query("select lang, count(*) n from documents d where not exists (select 1 from embeddings e where e.vec_id = d.doc_id) group by lang")
+@query("select lang, count(*) n from documents d where lang <> 'fr' and doc_id % 7 <> 0 and doc_id % 5 <> 0 and not exists (select 1 from embeddings e where e.vec_id = d.doc_id) group by lang")
 def refresh_todo(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").join(table(spark, sf, "embeddings").select("vec_id"), F.col("doc_id") == F.col("vec_id"), "left_anti")
-    return d.groupBy("lang").agg(F.count("*").alias("n"))
+    gone = F.when(F.col("doc_id") % 7 == 0, F.lit("gone"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", F.when(F.col("lang") == "fr", "movie").otherwise("image").alias("kind"), gone.alias("missing_since"), (F.col("doc_id") % 5 == 0).alias("hidden"))
+    state = table(spark, sf, "embeddings").select(F.col("vec_id").alias("asset_id"))
+    return search.never_indexed(d, state).groupBy("lang").agg(F.count("*").alias("n"))
 
 
 # --- joins and aggregations ----------------------------------------------------------
@@ -186,9 +212,26 @@ def usage_by_version(spark: SparkSession, sf: str) -> DataFrame:
     return summaries.usage_by_version(_cache(spark, sf))
 
 
-@query("select o_custkey as grp, count(*) as size, min(o_orderdate) as first, max(o_orderdate) as last from orders group by o_custkey having count(*) >= 5")
+_FACES = "(select l_orderkey * 10 + l_linenumber as id, l_orderkey as asset_id, l_partkey as cluster, case when l_returnflag <> 'N' then l_suppkey end as person_id, l_extendedprice as det, case when l_linenumber % 2 = 0 then round(l_discount * 10, 1) end as similarity from lineitem)"
+
+
+def _faces(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines as faces: the order is the picture, the part the group, the supplier the person."""
+    return table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("asset_id"), F.col("l_partkey").alias("cluster"), F.when(F.col("l_returnflag") != "N", F.col("l_suppkey")).alias("person_id"), F.col("l_extendedprice").alias("det"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.round(F.col("l_discount") * 10, 1)).alias("similarity"),
+    )
+
+
+@query(
+    f"with f as (select f.*, o_orderdate as taken from {_FACES} f join orders on o_orderkey = asset_id), g as (select cluster, count(*) as size, count(person_id) as named, min(taken) as first, max(taken) as last from f group by cluster having count(*) >= 5),"
+    " p as (select cluster, person_id from (select cluster, person_id, row_number() over (partition by cluster order by count(*) desc, person_id) r from f where person_id is not null group by 1, 2) where r = 1),"
+    " s as (select cluster, string_agg(id::varchar, ',' order by det desc, id) as sample from (select *, row_number() over (partition by cluster order by det desc, id) r from f) where r <= 3 group by cluster)"
+    " select g.cluster, size, named, first, last, person_id, sample from g left join p using (cluster) left join s using (cluster) where person_id is not null order by size desc, cluster limit 100"
+)
 def group_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("grp")).agg(F.count("*").alias("size"), F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last")).where("size >= 5")
+    a = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("taken"))
+    return faces_.groups(_faces(spark, sf), a, 100, named=True, min_size=5, sample=3).withColumn("sample", F.array_join(F.col("sample").cast("array<string>"), ","))
 
 
 @query("select grp, person, n from (select c_nationkey::bigint as grp, o_orderpriority as person, count(*) n, row_number() over (partition by c_nationkey order by count(*) desc, o_orderpriority) rn from orders join customer on o_custkey = c_custkey group by 1, 2, c_nationkey) where rn = 1")
@@ -203,13 +246,22 @@ def group_samples(spark: SparkSession, sf: str) -> DataFrame:
     return summaries.top_per_group(d, "grp", 8, F.desc("o_totalprice"), "id").select("grp", "id", "rn")
 
 
-@query("select o_orderkey as id, (select count(*) from lineitem where l_orderkey = o_orderkey) as n_lines, (select count(*) from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R') as n_returned, (select min(l_linenumber)::bigint from lineitem where l_orderkey = o_orderkey) as first_line from orders")
+@query(
+    "select o_orderkey as id, (select string_agg(l_linenumber || ':' || l_quantity::bigint || ':' || (l_returnflag = 'R'), ' ' order by l_linenumber, l_quantity::bigint, l_returnflag = 'R') from lineitem where l_orderkey = o_orderkey) as cached, n_nationkey || '=' || n_name as albums, case when o_orderstatus = 'P' then o_orderpriority || ':' || o_orderkey end as collections,"
+    " (select count(*) from lineitem where l_orderkey = o_orderkey and l_returnflag <> 'N') as named_faces from orders left join customer on c_custkey = o_custkey left join nation on n_nationkey = c_nationkey"
+)
 def info_nested(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_returnflag"))).alias("lines"))
-    d = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")).join(lines, F.col("id") == F.col("l_orderkey"), "left")
-    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    empty = F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType))
-    return d.select("id", size(empty).alias("n_lines"), size(F.filter(empty, lambda x: x.l_returnflag == "R")).alias("n_returned"), F.get(F.col("lines"), F.lit(0))["l_linenumber"].cast("long").alias("first_line"))
+    line = table(spark, sf, "lineitem")
+    cache = line.select(F.col("l_orderkey").alias("asset_id"), F.col("l_linenumber").alias("version"), F.col("l_quantity").cast("long").alias("bytes"), (F.col("l_returnflag") == "R").alias("pinned"))
+    items = assets(spark, sf).where("kind = 'P'").select(F.col("filename").alias("collection"), F.col("id").alias("asset_id"), F.col("id").alias("position"))
+    rel = _albums(spark, sf) | {"cache": cache, "collection_assets": items, "faces": _faces(spark, sf)}
+    d = search.info(assets(spark, sf).select("id"), rel)
+    joined = lambda name, form, by: F.when(F.size(name) > 0, F.array_join(F.transform(name, form), by))
+    text = lambda *c: F.concat_ws(":", *(x.cast("string") for x in c))
+    return d.select(
+        "id", joined("cached", lambda x: text(x.version, x.bytes, x.pinned), " ").alias("cached"), joined("albums", lambda x: F.concat_ws("=", x.album_id, x["name"]), " ").alias("albums"),
+        joined("collections", lambda x: text(x.collection, x.position), " ").alias("collections"), F.size(F.filter("faces", lambda x: x.person_id.isNotNull())).cast("long").alias("named_faces"),
+    )
 
 
 @query("select event_type, sum((json_extract_string(props, '$.k'))::bigint)::bigint as k, count(*) n from events group by event_type")
@@ -565,7 +617,7 @@ def preflight_findings(spark: SparkSession, sf: str) -> DataFrame:
     return preflight.findings(slots.join(F.broadcast(p))).withColumn("dpi", F.round("dpi", 6))  # one profile
 
 
-@query("select o_orderkey as id, strftime(o_orderdate, '%Y/%m') as folder, o_orderkey || '@' || 'IMG_' || o_orderkey || '.' || case when o_orderstatus = 'P' then 'dng' when o_orderstatus = 'F' then 'mov' else 'jpg' end as name, case when o_orderstatus = 'F' then 2 when o_orderstatus = 'P' then 3 else 1 end::bigint as file_type, epoch(o_orderdate)::bigint as taken_at from orders where o_orderpriority <> '5-LOW'")
+@query("select o_orderkey as id, strftime(o_orderdate, '%Y/%m') as folder, o_orderkey || '@' || 'IMG_' || o_orderkey || '.' || case when o_orderstatus = 'P' then 'DNG' when o_orderstatus = 'F' then 'MOV' else 'JPG' end as name, case when o_orderstatus = 'F' then 2 when o_orderstatus = 'P' then 3 else 1 end::bigint as file_type, epoch(o_orderdate)::bigint as taken_at from orders where o_orderpriority <> '5-LOW'")
 def export_files(spark: SparkSession, sf: str) -> DataFrame:
     suffix = F.when(F.col("o_orderstatus") == "P", "DNG").when(F.col("o_orderstatus") == "F", "MOV").otherwise("JPG")
     none = F.lit(None).cast("map<string, struct<bytes: bigint, width: int, height: int, type: string, filename: string>>")

@@ -6,31 +6,80 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_name
+from ..operators.ranks import numbered
 
 # File suffixes of raw pictures.
-RAW = ("dng cr2 cr3 nef nrw arw srf sr2 orf rw2 raf pef ptx rwl 3fr fff iiq mef mos mrw erf kdc dcr x3f raw").split()
+RAW = "3fr arw cr2 cr3 crw dcr dng erf iiq kdc mdc mef mos mrw nef nrw orf pef raf raw rw2 rwl sr2 srf srw".split()
+# Labels of formats that have several suffixes.
+LABELS = {"JPEG": "JPG", "JPE": "JPG", "JFIF": "JPG", "TIF": "TIFF", "MPG": "MPEG", "M4V": "MP4"}
 
 
 def file_type(kind, suffix):
-    """1 picture, 2 movie, 3 raw picture."""
-    return F.when(kind == "movie", 2).when(F.lower(suffix).isin(*RAW), 3).otherwise(1).cast("long")
+    """1 picture, 2 anything that isn't one, a null kind too, 3 raw picture."""
+    return F.when(~kind.eqNullSafe("image"), 2).when(F.lower(suffix).isin(*RAW), 3).otherwise(1).cast("long")
 
 
-def files(assets: DataFrame, open_version: str = "medium") -> DataFrame:
-    """A row per visible asset: folder by month in UTC, the chosen rendition, name, type and dates in seconds."""
+def format_label(suffix):
+    """The suffix in capitals, or the common label of its format; null without one."""
+    label = F.upper(suffix)
+    for old, new in LABELS.items():
+        label = F.when(F.upper(suffix) == old, new).otherwise(label)
+    return F.when(suffix != "", label)
+
+
+def files(assets: DataFrame, open_version: str = "medium", scanned: int | None = None) -> DataFrame:
+    """A row per visible asset: folder by month in UTC, the chosen rendition, name, type, label and dates in seconds.
+
+    A medium rendition is a JPEG whatever the original was.  scanned is the run's number
+    of milliseconds, by which rows of earlier runs are known as stale.
+    """
     seen = assets.where("missing_since is null and not hidden")
     when = F.coalesce(F.col("taken"), F.col("added"))
     v = F.col("versions")
     chosen = F.when(v[open_version].isNotNull(), F.lit(open_version)).when(v["medium"].isNotNull(), "medium").otherwise("original")
-    d = seen.withColumn("version", chosen).withColumn("suffix", F.lower(F.regexp_extract("filename", r"\.([^.]+)$", 1)))
-    stem = F.regexp_replace("filename", r"\.[^.]+$", "")
+    filename = F.coalesce(F.when(F.col("filename") != "", F.col("filename")), F.concat(F.col("id"), F.lit(".jpg")))
+    own = F.regexp_extract(filename, r"^.+(\.[^.]+)$", 1)
+    d = seen.withColumn("version", chosen).withColumn("suffix", F.when(F.col("version") == "medium", ".jpg").otherwise(own))
+    stem = F.regexp_replace(filename, r"(?<=.)\.[^.]+$", "")
+    bare = F.substring(F.col("suffix"), 2, 100)
     return d.select(
-        "id", F.coalesce(F.date_format(when, "yyyy/MM"), F.lit("1970/01")).alias("folder"), F.concat(safe_name(F.col("id")), F.lit("@"), stem, F.lit("."), F.col("suffix")).alias("name"),
-        file_type(F.col("kind"), F.col("suffix")).alias("file_type"), F.coalesce(F.unix_timestamp(when), F.lit(0)).alias("taken_at"), "version",
+        "id", F.coalesce(F.date_format(when, "yyyy/MM"), F.lit("1970/01")).alias("folder"), F.concat(safe_name(F.col("id")), F.lit("@"), stem, F.col("suffix")).alias("name"),
+        file_type(F.col("kind"), bare).alias("file_type"), format_label(bare).alias("format_label"), F.coalesce(F.unix_timestamp(when), F.lit(0)).alias("taken_at"), "version",
         F.col("versions")[F.col("version")]["width"].alias("width"), F.col("versions")[F.col("version")]["height"].alias("height"), "bytes", "favorite", "latitude", "longitude",
+        F.lit(scanned).cast("long").alias("scanned"),
     )
 
 
+def persons(people: DataFrame, faces: DataFrame, exported: DataFrame) -> DataFrame:
+    """person_id and person: the shown names of people with a face in an exported file, numbered by name."""
+    named = people.where("coalesce(name, '') <> ''").select(F.col("id").alias("person_id"), F.coalesce("display_name", "name").alias("person"))
+    seen = faces.join(exported.select(F.col("id").alias("asset_id")), "asset_id", "left_semi").select("person_id").distinct()
+    names = named.join(seen, "person_id", "left_semi").select("person").distinct()
+    return numbered(names, "person_id", F.asc("person"))
+
+
+def thumbs(exported: DataFrame, cache: DataFrame, kinds: DataFrame) -> DataFrame:
+    """id, path, error: cached thumbs; a movie with nothing cached has an error row, an image without a thumb none. kinds: id, kind."""
+    held = cache.select(F.col("asset_id").alias("id"), F.col("version").alias("held"), "path")
+    thumb = held.where("held = 'thumb'").groupBy("id").agg(F.min("path").alias("path"))
+    file = held.select("id", F.col("held").alias("version")).distinct().withColumn("__file", F.lit(True))
+    d = exported.select("id", "version").join(kinds, "id").join(thumb, "id", "left").join(file, ["id", "version"], "left")
+    lost = F.col("path").isNull() & F.col("__file").isNull() & ~F.col("kind").eqNullSafe("image")
+    return d.where(F.col("path").isNotNull() | lost).select("id", "path", lost.alias("error"))
+
+
+def merged(old: DataFrame, new: DataFrame, whole: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows after an export, rows that went): new rows replace those of their folder and name; a whole run drops what it didn't write."""
+    key = ["folder", "name"]
+    left = old.join(new.select(*key), key, "left_anti")
+    return (new, left) if whole else (left.unionByName(new, allowMissingColumns=True), left.limit(0))
+
+
+def without_orphans(rows: DataFrame, exported: DataFrame, key: str = "asset_id") -> DataFrame:
+    """Thumbs or faces whose file row is still there."""
+    return rows.join(exported.select(F.col("id").alias(key)), key, "left_semi")
+
+
 def folders(exported: DataFrame) -> DataFrame:
     n = exported.groupBy("folder").agg(F.count("*").alias("files"))
     return n.withColumn("folder_id", F.row_number().over(Window.orderBy("folder")).cast("long"))  # a row a month

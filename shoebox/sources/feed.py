@@ -1,25 +1,44 @@
 """A paged change feed as a streaming source.
 
 A feed is anything with `zones()`, own zone first, and `pages(zone, token)`, which yields
-(records, token).  The stream's offset is a token by zone, so a restart resumes each zone
-where its last committed batch ended.
+(records, token); the option `feed` names its class as module:Class, which is given the
+options.  The stream's offset holds a token by zone, so a restart resumes each zone where
+its last committed batch ended, and the errors of zones that didn't answer.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-from typing import Protocol
-
+import os
+import time
+from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
+from importlib import import_module
+from typing import Protocol, TypeVar
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 SCHEMA = "name string, type string, deleted boolean, modified timestamp, master_ref string, json string, zone string, seq bigint"
+#: The own zone, and how names of shared ones begin.
+OWN, SHARED = "PrimarySync", "SharedSync"
+T = TypeVar("T")
 
 
 class Feed(Protocol):
     def zones(self) -> list[str]: ...
 
-    def pages(self, zone: str, token: str | None) -> Iterator[tuple[list[tuple], str]]: ...
+    def pages(self, zone: str, token: str | None) -> Iterator[tuple[list[dict], str]]: ...
+
+
+def retried(call: Callable[[], T], delays: tuple[float, ...] = (1, 3, 8), sleep: Callable[[float], None] = time.sleep) -> T:
+    """What the call gives; after an error it is made again behind each delay, and the last error is raised."""
+    for pause in delays:
+        try:
+            return call()
+        except Exception:  # whatever a remote service throws
+            sleep(pause)
+    return call()
 
 
 def migrate_tokens(cursors: dict[str, str] | None, cursor: str | None, zones: list[str]) -> dict[str, str]:
@@ -30,57 +49,114 @@ def migrate_tokens(cursors: dict[str, str] | None, cursor: str | None, zones: li
 
 
 class JsonFeed:
-    """A feed in a folder: <zone>/<page>.json, arrays of records; the token is the number of pages read."""
+    """A feed in a folder: <zone>/<page>.json, arrays of records, and albums.json; the token is the number of pages read."""
 
-    def __init__(self, root: str) -> None:
-        self.root = root
+    def __init__(self, options: dict[str, str]) -> None:
+        self.root = options["path"]
 
     def zones(self) -> list[str]:
-        import os
-
-        names = sorted(os.listdir(self.root))
-        return sorted(names, key=lambda z: (z != "PrimarySync", z))
-
-    def pages(self, zone: str, token: str | None) -> Iterator[tuple[list[tuple], str]]:
-        import os
+        names = [n for n in os.listdir(self.root) if os.path.isdir(f"{self.root}/{n}")]
+        return sorted(names, key=lambda z: (z != OWN, z))
 
+    def pages(self, zone: str, token: str | None) -> Iterator[tuple[list[dict], str]]:
         at = int(token or 0)
         while os.path.exists(p := f"{self.root}/{zone}/{at}.json"):
             with open(p) as f:
                 yield json.load(f), str(at + 1)
             at += 1
 
+    def albums(self) -> list[dict]:
+        """id, name, fullname of each album."""
+        if not os.path.exists(p := f"{self.root}/albums.json"):
+            return []
+        with open(p) as f:
+            return json.load(f)
+
+
+def opened(options: dict[str, str]) -> Feed:
+    module, _, name = options.get("feed", f"{__name__}:JsonFeed").partition(":")
+    return getattr(import_module(module), name)(options)
+
+
+def zone_listing(spark: SparkSession, feed: Feed) -> DataFrame:
+    """place, zone, shared: zones in the order they are read."""
+    return spark.createDataFrame([(k, z, z.startswith(SHARED)) for k, z in enumerate(feed.zones())], "place int, zone string, shared boolean")
+
+
+def album_listing(spark: SparkSession, feed: JsonFeed) -> DataFrame:
+    return spark.createDataFrame([(a["id"], a["name"], a.get("fullname", a["name"])) for a in feed.albums()], "id string, name string, fullname string")
+
+
+def moment(value) -> datetime | None:
+    """A record's time: milliseconds since 1970 or ISO text."""
+    if value is None:
+        return None
+    if isinstance(value, (int, float)):
+        return datetime.fromtimestamp(value / 1000, timezone.utc)
+    at = datetime.fromisoformat(value.replace("Z", "+00:00"))
+    return at if at.tzinfo else at.replace(tzinfo=timezone.utc)
+
+
+def master_of(record: dict) -> str | None:
+    """The master that a record names, on its own or in its fields."""
+    if (own := record.get("master_ref")) is not None:
+        return own
+    fields = (record.get("fields") or {}).get("fields") or {}
+    ref = (fields.get("masterRef") or {}).get("value")
+    return ref.get("recordName") if isinstance(ref, dict) else None
+
 
 class _Reader(SimpleDataSourceStreamReader):
     def __init__(self, options: dict[str, str]) -> None:
-        self.feed = JsonFeed(options["path"])
+        self.feed = opened(options)
         self.start = json.loads(options.get("tokens", "{}"))
+        self.shared = options.get("shared", "true").lower() == "true"
 
     def initialOffset(self) -> dict:
-        return {"tokens": self.start, "seq": 0}
+        return {"tokens": self.start, "seq": 0, "errors": {}}
+
+    def _zones(self) -> list[str]:
+        return [z for z in self.feed.zones() if self.shared or not z.startswith(SHARED)]
+
+    def _page(self, zone: str, token: str | None, seq: int) -> tuple[list[tuple], str | None]:
+        page = next(self.feed.pages(zone, token), None)
+        if page is None:
+            return [], None
+        rows = []
+        for k, r in enumerate(page[0]):
+            fields = r.get("fields")
+            rows.append((r["name"], r.get("type"), bool(r.get("deleted")), moment(r.get("modified")), master_of(r), None if fields is None else json.dumps(fields), zone, seq + k))
+        return rows, page[1]
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        """One page of each zone; a zone that fails keeps its token, unless it is the own one."""
-        tokens, seq, rows = dict(start["tokens"]), start["seq"], []
-        for k, zone in enumerate(self.feed.zones()):
+        """One page of each zone; a zone that fails keeps its token and has its error in the offset, but the own one must answer."""
+        tokens, errors, rows = dict(start["tokens"]), {}, []
+        for k, zone in enumerate(self._zones()):
             try:
-                page = next(self.feed.pages(zone, tokens.get(zone)), None)
-            except Exception:
+                more, token = self._page(zone, tokens.get(zone), start["seq"] + len(rows))
+            except Exception as e:
                 if k == 0:
                     raise
+                errors[zone] = str(e)[:200]
                 continue
-            if page:
-                for r in page[0]:
-                    rows.append((r["name"], r.get("type"), bool(r.get("deleted")), None, r.get("master_ref"), json.dumps(r["fields"]) if r.get("fields") is not None else None, zone, seq))
-                    seq += 1
-                tokens[zone] = page[1]
-        return iter(rows), {"tokens": tokens, "seq": seq}
+            if token is not None:
+                rows += more
+                tokens[zone] = token
+        return iter(rows), {"tokens": tokens, "seq": start["seq"] + len(rows), "errors": errors}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        at, rows = start, []
-        while at != end:
-            more, at = self.read(at)
-            rows.extend(more)
+        """The same rows again: of each zone the pages up to its token in `end`, in rounds as they were read."""
+        at, rows = dict(start["tokens"]), []
+        left = [z for z in self._zones() if end["tokens"].get(z) != at.get(z)]
+        while left:
+            for zone in list(left):
+                more, token = self._page(zone, at.get(zone), start["seq"] + len(rows))
+                if token is None:
+                    raise ValueError(f"zone {zone} no longer has the pages up to {end['tokens'][zone]}")
+                rows += more
+                at[zone] = token
+                if token == end["tokens"][zone]:
+                    left.remove(zone)
         return iter(rows)
 
 

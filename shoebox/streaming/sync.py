@@ -6,11 +6,13 @@ is run again replaces what it wrote; current state is a fold of the log.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..model import SCHEMAS
-from ..operators.ingest import fold_records, pair
+from ..operators.ingest import crops_of, fold_records, pair, people_of, relations, sync_assets
 
 
 def append_batch(log: str):
@@ -33,7 +35,22 @@ def records(spark: SparkSession, log: str) -> DataFrame:
     return spark.read.schema(SCHEMAS["records"]).parquet(log)
 
 
+def zone_errors(query: StreamingQuery) -> dict[str, str]:
+    """What the zones that didn't answer in the last batch said."""
+    progress = query.lastProgress
+    if not progress or not progress["sources"]:
+        return {}
+    end = progress["sources"][0]["endOffset"]
+    return (json.loads(end) if isinstance(end, str) else end or {}).get("errors", {})
+
+
 def current(spark: SparkSession, log: str) -> tuple[DataFrame, DataFrame]:
     """Folded records, and live assets with their masters."""
     folded = fold_records(records(spark, log))
     return folded, pair(folded)
+
+
+def catalogue(spark: SparkSession, log: str, old: DataFrame, now) -> dict[str, DataFrame]:
+    """The tables that the log stands for: assets (old ones merged with it), people, face_crops, album_assets."""
+    folded = fold_records(records(spark, log))
+    return {"assets": sync_assets(old, folded, now), "people": people_of(folded), "face_crops": crops_of(folded), "album_assets": relations(folded)}
