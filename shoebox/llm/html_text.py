@@ -1,11 +1,12 @@
 """Main text of web pages by composite text density.
 
-Each node of the DOM has its characters, tags, link characters and link tags.  Its
-composite density is characters per tag, adjusted by how much of it is links; a node's
-density sum adds the densities of its children.  The subtree with the largest sum holds
-the article; the least density on the path from the body to it is the threshold below
-which other parts are boilerplate.  Elements that say what they are (nav, aside, footer,
-forms, adverts, notices, comments) never count as text.
+Each block of the DOM, and each run of loose text between blocks, has its characters,
+tags, link characters and link tags.  Its composite density is characters per tag,
+adjusted by how much of it is links; a block's density sum adds the densities of what it
+holds.  The block with the largest sum holds the article; the least density on the path
+from the body to it is the threshold that other parts must reach to be text as well.
+Names only take out: elements that say what they are (nav, aside, footer, forms, adverts,
+notices, comments) have no part in the choice.
 """
 
 from __future__ import annotations
@@ -19,18 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernels as K
+from . import markup
 from .spark_tools import ship
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_SLASH = re.compile(r"(?:^|[\s\"'])/\s*$")
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 _SPACE = re.compile(r"\s+")
 
 # Element names of the HTML standard by their role here.
 RAW = frozenset("script style noscript template textarea iframe svg math object canvas audio video select title".split())
-#: Of these, those that HTML ends at nothing but their end tag or the end of the page.
-TEXT_ONLY = frozenset("script style textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 NOISE = frozenset("nav aside footer form button menu dialog fieldset label head".split())
@@ -44,8 +42,13 @@ KEEP = frozenset("html body main article".split())
 ARTICLE_NOISE = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related recommended".split())
 
 
+#: Blocks of text, which are read with the part beside them.
+TEXT_BLOCKS = frozenset("p blockquote pre ul ol dl table figure figcaption details h1 h2 h3 h4 h5 h6 hgroup".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+
+
 class Node:
-    __slots__ = ("tag", "parent", "items", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total", "heading", "header")
+    __slots__ = ("tag", "parent", "items", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total", "heading", "header", "blocky", "scope")
 
     def __init__(self, tag: str, parent: Node | None, noise: bool) -> None:
         self.tag, self.parent, self.noise = tag, parent, noise
@@ -53,6 +56,9 @@ class Node:
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
         self.heading = self.header = False
+        self.blocky = tag in BLOCK
+        #: Open elements by name since the innermost container.
+        self.scope: dict[str, int] = {} if parent is None or tag in CONTAINER else parent.scope
 
 
 def _is_noise(tag: str, attributes: str) -> bool:
@@ -74,83 +80,77 @@ def _is_noise(tag: str, attributes: str) -> bool:
     return False
 
 
-def _ends(text: str, tag: str) -> dict[int, int]:
-    """Where the content of each element of this name begins, and where its own end tag ends; those without one are left out."""
-    out: dict[int, int] = {}
-    open_: list[int] = []
-    for m in re.finditer(rf"<!--.*?(?:-->|$)|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\b[^>]*>|$)|<(?P<end>/?){tag}(?![^\s/>])(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", text, re.S | re.I):
-        if m["end"] is None:
-            continue
-        if not m["end"]:
-            if not _SLASH.search(m["rest"]):
-                open_.append(m.end())
-        elif open_:
-            out[open_.pop()] = m.end()
-    return out
-
-
 def parse(text: str) -> Node:
-    """A tree from tags as browsers read them, near enough: implied ends, void and raw elements, stray end tags."""
-    root = Node("html", None, False)
-    node, at, n = root, 0, len(text)
-    ends: dict[str, dict[int, int]] = {}
-    while at < n:
-        m = _TAG.search(text, at)
-        if m is None:
-            node.items.append(text[at:])
-            break
-        if m.start() > at:
-            node.items.append(text[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            if m[0].startswith("<![CDATA["):
-                node.items.append(entities.escape(m[0][9:].removesuffix("]]>"), quote=False))
+    """A tree from tags as browsers read them, near enough: implied ends, void and raw elements, stray end tags.
+
+    Open elements are counted by container, so that what can't be closed is not looked for.
+    """
+    root = node = Node("html", None, False)
+    found = list(markup.tokens(text))
+    ends = markup.own_ends(text, found, RAW)
+    opened: dict[str, int] = {}
+
+    def leave(to: Node) -> Node:
+        """Close all open elements inside of `to`."""
+        x = node
+        while x is not to:
+            x.parent.scope[x.tag] -= 1
+            opened[x.tag] -= 1
+            x = x.parent
+        return to
+
+    k = -1
+    while (k := k + 1) < len(found):
+        t = found[k]
+        tag = t.name
+        if t.kind == markup.TEXT:
+            if not tag:
+                node.items.append(text[t.begin : t.end])
             continue
-        tag = tag.lower()
-        if m[1]:
-            x = node
-            while x is not None and x.tag != tag:
-                if x.tag in CONTAINER and tag not in BLOCK:
-                    x = None
-                    break
-                x = x.parent
+        if t.kind == markup.CDATA:
+            node.items.append(entities.escape(text[t.begin : t.end], quote=False))
+            continue
+        if t.kind == markup.END:
+            x = None
+            if opened.get(tag) if tag in BLOCK else node.scope.get(tag):
+                x = node
+                while x is not None and x.tag != tag:
+                    x = x.parent
             if x is not None and x.parent is not None:
-                node = x.parent
+                node = leave(x.parent)
             elif tag == "br":
                 node.items.append(Node("br", node, False))
             continue
-        attributes = m[3]
         if tag in RAW:
             node.items.append(Node(tag, node, True))
-            if tag in TEXT_ONLY:
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(text, at)
-                at = end.end() if end else n
-            elif not _SLASH.search(attributes):
-                # without an end tag of its own it has no content
-                if tag not in ends:
-                    ends[tag] = _ends(text, tag)
-                at = ends[tag].get(at, at)
+            # without an end tag of its own it has no content, but for text that only an end tag ends
+            k = ends.get(k, k)
             continue
         if tag == "html":
             continue
-        if tag in BLOCK:
+        scope = node.scope
+        if tag in BLOCK and (scope.get("p") or tag in HEADINGS and scope.get(tag)):
             x = node
-            while x is not None and x.tag not in CONTAINER:  # a block ends an open paragraph
-                if x.tag == "p" or x.tag in ("h1", "h2", "h3", "h4", "h5", "h6") and tag == x.tag:
-                    node = x.parent or root
+            while x.tag not in CONTAINER:  # a block ends an open paragraph
+                if x.tag == "p" or x.tag == tag and tag in HEADINGS:
+                    node = leave(x.parent)
                     break
                 x = x.parent
-        if tag in CLOSES:
-            x = node
-            while x is not None and (x.tag not in CONTAINER or x.tag in CLOSES[tag]):
-                if x.tag in CLOSES[tag] and x.parent is not None:
-                    node = x.parent
+        if closes := CLOSES.get(tag):
+            x, to = node, None
+            while x.parent is not None and (any(x.scope.get(c) for c in closes) or x.tag in closes) and (x.tag not in CONTAINER or x.tag in closes):
+                if x.tag in closes:
+                    to = x.parent
                 x = x.parent
+            if to is not None:
+                node = leave(to)
+        attributes = text[t.begin : t.end]
         child = Node(tag, node, _is_noise(tag, attributes))
         child.header = tag not in KEEP and "eader" in attributes and any("header" in _NAME.findall((a or b or c).lower()) for _, a, b, c in _ATTR.findall(attributes))
         node.items.append(child)
         if tag not in VOID and not attributes.rstrip().endswith("/") or tag in BLOCK - VOID:
+            node.scope[tag] = node.scope.get(tag, 0) + 1
+            opened[tag] = opened.get(tag, 0) + 1
             node = child
     return root
 
@@ -172,13 +172,46 @@ def _density(chars: int, tags: int, link_chars: int, link_tags: int, root: Node)
     return c / t * max(math.log(c / max(lc, 1) * t / max(lt, 1)), 0.0) / math.log(max(base, 1.5))
 
 
-def measure(root: Node) -> list[Node]:
-    """Densities of all nodes, in page order."""
+def _run(items: list, root: Node, skipped: set[int]) -> Node:
+    """Loose text and inline elements between two blocks, as a node of its own."""
+    run = Node("", root, False)
+    run.items = items
+    for c in items:
+        if isinstance(c, str):
+            run.chars += len(c) if not c.isspace() else 0
+        elif id(c) not in skipped:
+            run.chars += c.chars
+            run.tags += c.tags + 1
+            run.link_chars += c.link_chars
+            run.link_tags += c.link_tags + (c.tag == "a")
+    run.density = _density(run.chars, run.tags, run.link_chars, run.link_tags, root)
+    return run
+
+
+def parts(x: Node, root: Node, skipped: set[int]) -> list[Node]:
+    """What a block holds, in page order: blocks, inline elements that hold blocks, and runs of loose text."""
+    out: list[Node] = []
+    loose: list = []
+    for c in [*x.items, None]:
+        if c is not None and (isinstance(c, str) or not c.blocky):
+            loose.append(c)
+            continue
+        if loose:
+            run = _run(loose, root, skipped)
+            if run.chars:
+                out.append(run)
+            loose = []
+        if c is not None and id(c) not in skipped:
+            out.append(c)
+    return out
+
+
+def measure(root: Node) -> tuple[list[Node], set[int]]:
+    """Densities and density sums of all nodes, in page order, and the nodes that are left out by name with all they hold."""
     nodes = _in_order(root)
     for x in reversed(nodes):
         if x.tag in RAW:
             continue
-        link = x.tag == "a"
         for c in x.items:
             if isinstance(c, str):
                 x.chars += len(c) if not c.isspace() else 0
@@ -188,19 +221,18 @@ def measure(root: Node) -> list[Node]:
                 x.link_chars += c.link_chars
                 x.link_tags += c.link_tags + (c.tag == "a")
                 x.heading |= c.heading or c.tag in ("h1", "h2", "h3")
-        if link:
-            x.link_chars, x.link_tags = x.chars, x.link_tags
+                x.blocky |= c.blocky
+        if x.tag == "a":
+            x.link_chars = x.chars
+    skipped: set[int] = set()
     for x in nodes:
+        if x.parent is not None and id(x.parent) in skipped or x.noise or _header(x) or x.tag in RAW:
+            skipped.add(id(x))
         x.density = _density(x.chars, x.tags, x.link_chars, x.link_tags, root)
     for x in nodes:
-        x.total = sum(c.density for c in x.items if not isinstance(c, str) and not c.noise)
-    return nodes
-
-
-def _inside(x: Node, ancestor: Node) -> bool:
-    while x is not None and x is not ancestor:
-        x = x.parent
-    return x is not None
+        if x.blocky and id(x) not in skipped:
+            x.total = sum(c.density for c in parts(x, root, skipped))
+    return nodes, skipped
 
 
 def _header(x: Node) -> bool:
@@ -218,83 +250,56 @@ def main_text(text: str | None) -> str:
     if not text:
         return ""
     root = parse(text)
-    nodes = measure(root)
-    skipped: set[int] = set()
-    for x in nodes:
-        if x.parent is not None and id(x.parent) in skipped or x.noise or _header(x) or x.tag in RAW:
-            skipped.add(id(x))
-    live = [x for x in nodes if id(x) not in skipped]
-    best = max(live, key=lambda x: x.total, default=root)
-    # the article as a whole: semantic containers and neighbours as dense as the path
-    articles = [x for x in live if x.tag in ("article", "main") and (_inside(best, x) or _inside(x, best)) and x.chars]
-    around = [x for x in articles if _inside(best, x)]
-    if around:
-        top = next((x for x in around if x.tag == "article"), around[0])
-    elif articles:
-        top = max(articles, key=lambda x: x.chars)
-    else:
-        top = best
+    nodes, skipped = measure(root)
     # without a body element the root is the body
-    body = next((c for c in root.items if not isinstance(c, str) and c.tag == "body"), root)
+    body = next((c for c in root.items if not isinstance(c, str) and c.tag == "body" and id(c) not in skipped), root)
+    # of equal sums the outermost block
+    best = max((x for x in nodes if x.blocky and id(x) not in skipped and (x is not root or x is body)), key=lambda x: x.total, default=body)
     path, threshold, x = set(), math.inf, best
     while x is not None:
         path.add(id(x))
         if x.density and (x is not root or x is body):
             threshold = min(threshold, x.density)
         x = x.parent
-    if top is best and top.parent is not None and top.tag not in KEEP:
-        # a lone dense block: take what stands beside it and is as dense
-        up = top
-        while up.parent is not None and up.parent.tag not in ("body", "html"):
-            up = up.parent
-        rivals = [c for c in up.parent.items if not isinstance(c, str) and id(c) not in skipped and c.density >= threshold and c is not up] if up.parent is not None else []
-        if rivals and up.tag in ("p", "blockquote", "pre", "ul", "ol", "h1", "h2", "h3"):
-            top = up.parent
-        else:
-            return "\n".join(line for x in _dense(root, top, path, threshold, skipped) for line in blocks(x, skipped))
-    tops = [c for c in top.parent.items if not isinstance(c, str) and c.tag == "article" and id(c) not in skipped] if top.tag == "article" and top.parent is not None else [top]
-    return "\n".join(line for x in tops for line in blocks(x, skipped))
+    # tiny parts may all stay below the threshold
+    kept = _dense(root, best, body, path, threshold, skipped) or [best]
+    return "\n".join(line for x in kept for line in blocks(x, skipped))
+
+
+def _plain(x: Node) -> bool:
+    return x.link_chars <= 0.3 * x.chars
+
 
+def _dense(root: Node, best: Node, body: Node, path: set[int], threshold: float, skipped: set[int]) -> list[Node]:
+    """What is text, in page order: the best block, other largest parts that reach the threshold, headings in front of them, and blocks of text beside the best one.
 
-def _dense(root: Node, top: Node, path: set[int], threshold: float, skipped: set[int]) -> list[Node]:
-    """The top and, in page order, every other largest subtree, or run of loose text, that reaches the threshold."""
+    Where the best block is the body itself, its parts are judged one by one.
+    """
     out: list[Node] = []
+    ahead: list[Node] = []  # headings since the last text
+    beside = best if best is body else best.parent if best.parent is not body else None
+
+    def take(x: Node) -> None:
+        out.extend(ahead)
+        ahead.clear()
+        out.append(x)
+
     stack = [root]
     while stack:
         x = stack.pop()
-        if id(x) in skipped:
-            continue
-        if x is top or id(x) not in path and x.density and x.density >= threshold:
-            out.append(x)
-            continue
-        parts: list[Node] = []
-        run: Node | None = None
-        for c in x.items:
-            if not isinstance(c, str) and (c.tag in BLOCK or id(c) in path):
-                parts.append(c)
-                run = None
-                continue
-            if run is None:
-                run = Node("", None, False)
-                parts.append(run)
-            run.items.append(c)
-        for run in parts if x.tag else []:
-            if run.tag:
-                continue
-            for c in run.items:
-                if isinstance(c, str):
-                    run.chars += len(c) if not c.isspace() else 0
-                elif id(c) not in skipped:
-                    run.chars += c.chars
-                    run.tags += c.tags + 1
-                    run.link_chars += c.link_chars
-                    run.link_tags += c.link_tags + (c.tag == "a")
-            run.density = _density(run.chars, run.tags, run.link_chars, run.link_tags, root)
-        if x.tag:
-            stack.extend(reversed(parts))
-        else:
-            # inline elements of a sparse run may hold blocks
-            stack.extend(c for c in reversed(x.items) if not isinstance(c, str))
+        on_path = id(x) in path
+        if x is best and best is not body or not on_path and x.density and x.density >= threshold:
+            take(x)
+        elif x.parent is beside and not on_path and (x.tag in TEXT_BLOCKS or not x.tag) and _plain(x):
+            take(x)
+        elif x.tag in HEADINGS and x.parent is not None and id(x.parent) in path and _plain(x):
+            ahead.append(x)
+        elif x.tag and x.blocky:
+            within = parts(x, root, skipped)
+            for c in within:
+                if not c.tag:
+                    c.parent = x
+            stack.extend(reversed(within))
     return out
 
 
