@@ -1,8 +1,10 @@
 """Pages, WARC records and tool calls."""
 
 import base64
+import gzip
 import hashlib
 import json
+import time
 
 import pytest
 
@@ -87,7 +89,7 @@ def test_extract(spark):
 
 def test_warc_round_trip(spark):
     pages = spark.createDataFrame([(1, "http://a/\r\nX: y", PAGE, 0), (2, None, None, 0), (3, "http://b", "", 0)], "page_id long, url string, html string, block int")
-    rows = warc.derivatives(pages, with_response=True).collect()
+    rows = warc.derivatives(pages, with_source=True).collect()
     assert len(rows) == 9
     data = b"".join(warc.serialise(r["headers"], r["block"]) for r in rows)
     back = list(warc.read_records(data))
@@ -97,12 +99,11 @@ def test_warc_round_trip(spark):
     for (head, block), r in zip(back, rows, strict=True):
         assert block.decode() == r["block"] and int(head["Content-Length"]) == len(block) == r["content_length"]
         assert head["WARC-Block-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
-        if head["WARC-Type"] != "response":
+        if head["WARC-Type"] != "resource":
             assert head["WARC-Refers-To"] in ids
         assert "X" not in head
-    page = next(r for r in rows if r["page_id"] == 1 and r["record_type"] == "response")
-    http = page["block"].partition("\r\n\r\n")[2]
-    assert http == PAGE and page["payload_digest"] == warc.digest(PAGE.encode())
+    page = next(r for r in rows if r["page_id"] == 1 and r["record_type"] == "resource")
+    assert page["block"] == PAGE and page["payload_digest"] == warc.digest(PAGE.encode())
     text = next(r for r in rows if r["page_id"] == 1 and r["record_type"] == "conversion")
     assert TEXT.split("\n")[0] in text["block"] and "var a" not in text["block"] and text["source_digest"] == page["payload_digest"]
     meta = next(r for r in rows if r["page_id"] == 1 and r["record_type"] == "metadata")
@@ -112,11 +113,79 @@ def test_warc_round_trip(spark):
     assert warc.derivatives(pages.limit(0)).count() == 0
 
 
+def response(rid, uri, body, *fields, status="200 OK"):
+    block = f"HTTP/1.1 {status}\r\n".encode() + b"".join(f"{f}\r\n".encode() for f in fields) + b"\r\n" + body
+    head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{rid}>\r\nWARC-Target-URI: {uri}\r\nWARC-Date: 2020-02-0{rid}T00:00:00Z\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def test_responses_keep_their_heads(spark, tmp_path):
+    page = "<html lang=nl><title>é</title><p>één <a href='/x'>twee</a>".encode("latin-1")
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    chunked = b"".join(f"{len(c):x}\r\n".encode() + c + b"\r\n" for c in (b"<p>a", b"b</p>")) + b"0\r\n\r\n"
+    members = [
+        info, response(1, "http://a/", page, "Content-Type: text/html; charset=iso-8859-1", "Server: s", "Server: t"), response(2, "http://b/", gzip.compress(b"<p>packed"), "Content-Encoding: gzip", status="404 Not Found"),
+        response(3, "http://c/", b"\x89PNG", "Content-Type: image/png"), response(4, "http://d/", chunked, "Transfer-Encoding: chunked"), response(5, "http://e/", b"a < b", "Content-Type: text/plain"), response(6, "http://f/", b""),
+    ]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.warc.gz").write_bytes(b"".join(gzip.compress(m) for m in members))
+    (tmp_path / "in" / "2.warc").write_bytes(b"".join(members)[:-30])  # the last record is cut off
+    (tmp_path / "in" / "3.warc.gz").write_bytes(b"\x1f\x8bbroken")
+    (tmp_path / "in" / "4.warc").write_bytes(b"")
+    captured = warc.read(spark, str(tmp_path / "in"))
+    assert captured.count() == 13
+    rows = warc.response_derivatives(captured.where("path like '%1.warc.gz'")).collect()
+    got = {(r["target_uri"], r["record_type"]): r for r in rows}
+    assert len(rows) == len(got) == 11 and ("http://c/", "conversion") not in got
+    a = got["http://a/", "metadata"]
+    assert a["refers_to"] == "<urn:uuid:1>" and "WARC-Date: 2020-02-01T00:00:00Z" in a["headers"] and a["source_digest"] == warc.digest(page)
+    assert "sourceStatus: 200\r\nsourceHeader: Content-Type: text/html; charset=iso-8859-1\r\nsourceHeader: Server: s\r\nsourceHeader: Server: t\r\ntitle: é\r\nlanguage: nl\r\noutlink: /x L a/@href\r\n" in a["block"]
+    assert "sourceStatus: 404" in got["http://b/", "metadata"]["block"]
+    assert {u: got[f"http://{u}/", "conversion"]["block"] for u in "abdef"} == {"a": "één twee", "b": "packed", "d": "ab", "e": "a < b", "f": ""}
+    # and out to files and back
+    warc.write_files(warc.response_derivatives(captured), str(tmp_path / "out"))
+    back = warc.read(spark, str(tmp_path / "out")).collect()
+    assert sorted((r["record_id"], bytes(r["block"])) for r in back) == sorted((r["record_id"], r["block"].encode()) for r in warc.response_derivatives(captured).collect())
+    assert warc.response_derivatives(captured.limit(0)).count() == 0
+
+
 def test_warc_files(spark, tmp_path):
-    pages = spark.createDataFrame([(1, "u", PAGE)], "page_id long, url string, html string")
-    warc.write_files(warc.derivatives(pages), str(tmp_path / "w"))
-    data = b"".join(bytes(r["member"]) for r in spark.read.parquet(str(tmp_path / "w")).collect())
-    assert len(list(warc.read_records(data))) == 2
+    pages = spark.createDataFrame([(1, "u", PAGE), (2, None, None)], "page_id long, url string, html string")
+    warc.write_files(warc.derivatives(pages, with_source=True), str(tmp_path / "w"))
+    back = warc.read(spark, str(tmp_path / "w"))
+    assert back.count() == 6 and back.where("record_type = 'resource' and target_uri = 'u'").first()["block"] == PAGE.encode()
+
+
+BROKEN = {
+    "tags": "<a " * 330_000, "quotes": "<a b='" * 170_000, "quoted ends": "<a b='>' " * 110_000, "stray ends": "<b>" * 60_000 + "</i>" * 60_000, "titles": "<title>" * 140_000, "comments": "<!-- " * 200_000,
+    "raw": "<svg>" * 100_000, "lists": "<li><ul>" + "<b>" * 50_000 + "<hr>" * 50_000, "links": "<a href" * 140_000, "values": "<a href=" + " " * 900_000, "paragraphs": "<p><b>" * 50_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(BROKEN))
+def test_broken_pages_take_linear_time(name):
+    start = time.perf_counter()
+    html_text.main_text(BROKEN[name])
+    warc.records(1, "u", BROKEN[name])
+    assert time.perf_counter() - start < 20
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div", "section", "td", ""])
+def test_the_article_needs_no_name(tag):
+    inner = "<h2>A title</h2>" + "".join(f"<p>{p}</p>" for p in paragraphs("long", 6, 200)) + "<p>Short one.</p><ul><li>an item<li>another</ul>"
+    text = "\n".join(["A title", *paragraphs("long", 6, 200), "Short one.", "an item", "another"])
+    block = f"<{tag}>{inner}</{tag}>" if tag else inner
+    teasers = "<div>" + "".join(f"<div><a href=x>teaser number {k} of the site</a></div>" for k in range(8)) + "</div>"
+    got = html_text.main_text(f"<html><body>{teasers}{block}{teasers}<div>All rights <a href=z>reserved</a></div></body></html>")
+    assert got == text
+
+
+def test_names_do_not_choose_the_article():
+    """An article element of links loses to the dense part beside it."""
+    dense = paragraphs("dense", 5, 300)
+    links = "".join(f"<p><a href=x>link {k}</a></p>" for k in range(9))
+    page = f"<body><article>{links}</article><div>{''.join(f'<p>{p}</p>' for p in dense)}</div></body>"
+    assert html_text.main_text(page) == "\n".join(dense)
 
 
 SCHEMAS = [("add", "a", "integer", True), ("add", "b", "number", False), ("say", "text", "string", True), ("say", "opts", "object", False), ("say", "tags", "array", False), ("say", "loud", "boolean", False)]
