@@ -29,15 +29,13 @@ SCHEMA = "doc_id long, item_id long, distance long, item_words long, start_word
 
 def word_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     """Word hashes, their documents and the number of documents."""
-    table = K.letter_table().copy()
-    table[48:58] = True
     buf, off = K.texts_of(column)
     low = K.lower_table()[buf]
     # accented capitals of Latin-1 too
     wide = np.flatnonzero(low[:-1] == 0xC3) + 1
     wide = wide[(low[wide] <= 0x9E) & (low[wide] != 0x97)]
     low[wide] += 0x20
-    s, e, doc = K.runs(table[low], off)
+    s, e, doc = K.runs(K.letters(low, digits=True), off)
     return K.Hashes(low).of(s, e), doc, off.size - 1
 
 

@@ -113,6 +113,23 @@ def letter_table() -> np.ndarray:
     return t
 
 
+def letters(buf: np.ndarray, digits: bool = False) -> np.ndarray:
+    """True for the bytes of letters, and of digits if asked for: signs of U+0080-U+00BF and of U+2000-U+207F, as typographic quotes, dashes and no-break spaces, separate words like ASCII signs."""
+    table = letter_table()
+    if digits:
+        table = table.copy()
+        table[48:58] = True
+    mask = table[buf]
+    for lead, seconds, size in ((0xC2, None, 2), (0xE2, (0x80, 0x81), 3)):
+        at = np.flatnonzero(buf == lead)
+        if seconds is not None:
+            at = at[at + 1 < buf.size]
+            at = at[np.isin(buf[at + 1], seconds)]
+        for k in range(size):
+            mask[at[at + k < buf.size] + k] = False
+    return mask
+
+
 def runs(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and documents of the maximal runs of True that stay in a document."""
     n = mask.size

@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become symbols (insult, threat, target, negation, report, other, end of clause).
-Transducers rewrite them in turn: one marks what stands in a negation's scope, one what
-is reported speech, one what is aimed at someone.  Their composition reads a clause once
-and gives a class to each insult and threat, e.g. aimed and not negated.  The score is
-logistic in the weights that a document's clauses gather by class.
+Words become symbols (insult, threat, target, negation, report, other, pause, end of
+clause).  Transducers rewrite them in turn: one marks what stands in a negation's scope,
+one what is reported speech, one what comes behind a target.  Their composition reads a
+clause once; the machine of targets alone then reads it from its end, for insults with a
+target behind them.  Each insult and threat so gets a class, e.g. aimed and not negated.
+A colon is a pause: what is reported goes on behind it, while negations and targets end.
+The score is logistic in the weights that a document's clauses gather by class.
 
 Insults are learned from labelled rows: words, and openings of words for compounds and
 inflections, that toxic documents hold far more often than chance allows.  Each has the
@@ -32,8 +34,10 @@ from .spark_tools import saved, ship
 THRESHOLD = 0.7
 #: Labelled rows for the lexicon and the weights: toxic ones and others, at most.
 TOXIC_ROWS, OTHER_ROWS = 3_000, 9_000
-#: Entries of the lexicon, at most.
-LEXICON = 20_000
+#: Weight of a class at which more clauses of it begin to add less: w counts as SATURATION * (1 - exp(-w / SATURATION)).
+SATURATION = 4.0
+#: Strength of the prior belief in the class weights.
+BELIEF = 0.1
 #: Bytes of the openings that are tried besides whole words.
 OPENINGS = (4, 5, 6, 7, 8)
 #: Log-likelihood gain that an entry needs; chance gives one in exp(EVIDENCE).
@@ -42,7 +46,7 @@ PURITY = 0.93
 #: Hash functions whose least values tell copies in the samples.
 KEYS = 4
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, PAUSE, END = range(8)
 
 # Function words of the four languages, by their part in the grammar.
 WORDS = {
@@ -99,15 +103,24 @@ _HARM = [(k, *m) for k in (INSULT, THREAT) for m in ((), ("aimed",), ("negated",
 SCOPE = 3
 
 
+def _targets() -> Transducer:
+    """Marks insults and threats behind a target."""
+    return Transducer({(0, (TARGET,)): (1, (TARGET,))} | {(1, (x,)): (0, (x,)) for x in (PAUSE, END)} | {(1, x): (1, y) for x, y in _marks("aimed", _HARM).items()}, {})
+
+
 def grammar() -> Composed:
     """Negation, then reported speech, then a target earlier in the clause."""
-    negation = {(s, (NEGATION,)): (1, (NEGATION,)) for s in range(SCOPE + 1)} | {(s, (END,)): (0, (END,)) for s in range(SCOPE + 1)}
+    negation = {(s, (NEGATION,)): (1, (NEGATION,)) for s in range(SCOPE + 1)} | {(s, (x,)): (0, (x,)) for s in range(SCOPE + 1) for x in (PAUSE, END)}
     for s in range(1, SCOPE + 1):
         negation |= {(s, x): ((s + 1) % (SCOPE + 1), y) for x, y in _marks("negated", _HARM).items()}
     rest = {s: (s + 1) % (SCOPE + 1) for s in range(1, SCOPE + 1)}
     report = {(0, (REPORT,)): (1, (REPORT,)), (1, (END,)): (0, (END,))} | {(1, x): (1, y) for x, y in _marks("reported", _HARM).items()}
-    target = {(0, (TARGET,)): (1, (TARGET,)), (1, (END,)): (0, (END,))} | {(1, x): (1, y) for x, y in _marks("aimed", _HARM).items()}
-    return Composed(Transducer(negation, rest), Transducer(report, {}), Transducer(target, {}))
+    return Composed(Transducer(negation, rest), Transducer(report, {}), _targets())
+
+
+def backward_grammar() -> Composed:
+    """The machine that reads a clause from its end."""
+    return Composed(_targets())
 
 
 #: Classes of matched clauses and the weights believed in before any fit.
@@ -116,8 +129,8 @@ _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.!?;:\n]")
 _SYMBOL = {w: k for k, words in WORDS.items() for w in words.split()}
 
 
-def classes_of(symbols: list[tuple], weights: list[float], machine: Composed) -> dict[str, float]:
-    """What the clauses weigh, by class.  A target may also follow the insult: the clause is then read backwards."""
+def classes_of(symbols: list[tuple], weights: list[float], machine: Composed, backward: Composed) -> dict[str, float]:
+    """What the clauses weigh, by class."""
     out: dict[str, float] = {}
     begin = 0
     for k, x in enumerate(symbols):
@@ -125,14 +138,14 @@ def classes_of(symbols: list[tuple], weights: list[float], machine: Composed) ->
             continue
         clause = symbols[begin : k + 1]
         if any(c[0] in (INSULT, THREAT) for c in clause):
-            ahead = machine.read(clause)
-            aimed = any(c == (TARGET,) for c in clause)
-            for c, w in zip(ahead, weights[begin : k + 1], strict=True):
+            ahead, back = machine.read(clause), backward.read(clause[::-1])[::-1]
+            for c, b, w in zip(ahead, back, weights[begin : k + 1], strict=True):
                 if c[0] not in (INSULT, THREAT):
                     continue
+                marks = {*c[1:], *b[1:]}
                 kind = "insult" if c[0] == INSULT else "threat"
-                tail = " reported" if "reported" in c else " negated" if "negated" in c else " aimed" if "aimed" in c or aimed else ""
-                out[kind + tail] = out.get(kind + tail, 0.0) + w
+                kind += next((f" {m}" for m in ("reported", "negated", "aimed") if m in marks), "")
+                out[kind] = out.get(kind, 0.0) + w
         begin = k + 1
     return out
 
@@ -141,7 +154,7 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[np.ndarray],
     """Documents of the words (runs of letters), their hashes by kind of entry, starts and ends in the buffer."""
     buf, off = K.texts_of(column)
     low = K.lower_table()[buf]
-    s, e, doc = K.runs(K.letter_table()[low], off)
+    s, e, doc = K.runs(K.letters(low), off)
     h = K.Hashes(low)
     kinds = [h.of(s, e) ^ np.uint64(1)]
     for n in OPENINGS:
@@ -161,18 +174,14 @@ def _entries(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d[new], h[new]
 
 
-def _count_entries(wanted=None):
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = None if wanted is None else np.frombuffer(wanted.value, np.uint64)
-        for x in K.slices(batches):
-            _, h = _entries(x.column("text"))
-            if only is not None:
-                at = np.minimum(np.searchsorted(only, h), max(only.size - 1, 0))
-                h = h[only[at] == h] if only.size else h[:0]
-            u, n = np.unique(h, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(K.signed(u)), pa.array(n)], ["entry", "n"])
-
-    return go
+def _count_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per batch, each entry's number of texts by label."""
+    for x in K.slices(batches):
+        doc, h = _entries(x.column("text"))
+        y = x.column("y").to_numpy()[doc]
+        for label in (0, 1):
+            u, n = np.unique(h[y == label], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(K.signed(u)), pa.array(n * (label == 1)), pa.array(n * (label == 0))], ["entry", "toxic", "other"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +219,7 @@ class Model:
     def __post_init__(self) -> None:
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.entries >> np.uint64(44)).astype(np.int64)] = True
-        self.machine = grammar()
+        self.machine, self.backward = grammar(), backward_grammar()
 
     def classes(self, column: pa.Array) -> list[dict[str, float]]:
         """Of each text; empty where nothing is matched."""
@@ -248,16 +257,19 @@ class Model:
                 w = max((found[p] for p in places[bisect_left(places, place) : bisect_left(places, end)]), default=0.0)
             if w:
                 symbols.append((INSULT,))
-            elif token in ".!?;:\n":
+            elif token in ".!?;\n":
                 symbols.append((END,))
+            elif token == ":":
+                symbols.append((PAUSE,))
             else:
-                symbols.append((_SYMBOL.get(token.lower(), OTHER),))
+                symbols.append((_SYMBOL.get(token.lower().replace("’", "'"), OTHER),))
                 w = 1.0
             weights.append(w)
-        return classes_of([*symbols, (END,)], [*weights, 0.0], self.machine)
+        return classes_of([*symbols, (END,)], [*weights, 0.0], self.machine, self.backward)
 
     def features(self, column: pa.Array) -> np.ndarray:
-        return np.array([[min(c.get(k, 0.0), 4.0) for k in CLASSES] + [1.0] for c in self.classes(column)]).reshape(-1, len(CLASSES) + 1)
+        found = np.array([[c.get(k, 0.0) for k in CLASSES] for c in self.classes(column)]).reshape(-1, len(CLASSES))
+        return np.concatenate([SATURATION * -np.expm1(-found / SATURATION), np.ones((len(found), 1))], axis=1)
 
     def score(self, column: pa.Array) -> np.ndarray:
         w = np.array([*(self.weights[k] for k in CLASSES), self.bias])
@@ -276,26 +288,20 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -
     keep = learn.fold(folds=folds) != held_out
     toxic = learn.sample(labels.where("toxic = 1"), "toxic", TOXIC_ROWS, keep)
     other = learn.sample(labels.where("toxic = 0"), "toxic", OTHER_ROWS, keep)
-    rows = saved(_one_of_each(learn.with_labels(docs, toxic.unionByName(other).dropDuplicates(["doc_id"])).where("text <> ''")), "toxic_rows")
+    both = toxic.unionByName(other).groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("last")).where("y = last").drop("last")  # contradictory rows say nothing
+    rows = saved(_one_of_each(learn.with_labels(docs, both).where("text <> ''")), "toxic_rows")
     n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return Model(np.zeros(0, np.uint64), np.zeros(0), bias=math.log((n1 + 0.5) / (n0 + 0.5)))
     base = n1 / (n1 + n0)
-    least = math.ceil(EVIDENCE / -math.log(base)) if base < 1 else 1
-    ones = rows.where("y = 1").mapInArrow(_count_entries(), "entry long, n long").groupBy("entry").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    found = ones.orderBy(F.desc("n"), "entry").limit(16 * LEXICON).toPandas()
-    wanted = np.sort(found["entry"].to_numpy(np.int64).view(np.uint64))
-    zeros = rows.where("y = 0").mapInArrow(_count_entries(spark.sparkContext.broadcast(wanted.tobytes())), "entry long, n long").groupBy("entry").agg(F.sum("n").alias("n")).toPandas()
-    both = found.merge(zeros, on="entry", how="left", suffixes=("", "0")).fillna({"n0": 0})
-    a, b = both["n"].to_numpy(float), both["n0"].to_numpy(float)
-    p = a / (a + b)
-    gain = a * np.log(p / base) + np.where(b > 0, b * np.log(np.maximum(1 - p, 1e-12) / (1 - base)), 0)
-    pick = (gain >= EVIDENCE) & (p >= PURITY)
-    both, a, b = both[pick], a[pick], b[pick]
-    top = np.argsort(-a, kind="stable")[:LEXICON]
-    entries = both["entry"].to_numpy(np.int64).view(np.uint64)[top]
-    evidence = (a / (a + b + 1))[top]
+    a, b = F.col("toxic"), F.col("other")
+    gain = a * F.log(a / (a + b) / base) + F.when(b > 0, b * F.log(b / (a + b) / (1 - base))).otherwise(0.0)
+    counted = rows.mapInArrow(_count_entries, "entry long, toxic long, other long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).where("toxic > 0")
+    # the sample bounds them: each needs many of its toxic rows
+    found = counted.where((gain >= EVIDENCE) & (a / (a + b) >= PURITY)).toPandas()
+    entries = found["entry"].to_numpy(np.int64).view(np.uint64)
+    evidence = ((found["toxic"] + 0.5) / (found["toxic"] + found["other"] + 1)).to_numpy(float)
     order = np.argsort(entries)
     model = Model(entries[order], evidence[order])
 
@@ -306,7 +312,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -
     seen = rows.mapInArrow(features, "x array<double>, y int").toPandas()  # as many rows as the samples
     x, y = np.stack(seen["x"].to_numpy()), seen["y"].to_numpy()
     centre = np.array([*CLASSES.values(), -4.0])
-    w = learn.logistic(x, y, centre, np.array([*(0.5,) * len(CLASSES), 0.05]))
+    w = learn.logistic(x, y, centre, np.array([*(BELIEF,) * len(CLASSES), BELIEF / 10]))
     model.weights, model.bias = dict(zip(CLASSES, w[:-1].tolist(), strict=True)), float(w[-1])
     return model
 
@@ -314,7 +320,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, folds: int = 3, held_out: int = 1) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted.
 
-    Whole texts are read.  A text without a matched clause, an empty or null one too, has
+    Whole texts are read.  Rows of `labels` that contradict each other count for nothing
+    in the fit.  A text without a matched clause, an empty or null one too, has
     the score of no evidence.  Repeated rows each get their score; other columns are
     ignored; an empty table gives an empty one.
     """

@@ -420,6 +420,7 @@ def test_toxicity_on_the_held_out_fold(spark):
     rows = scored.join(labels, "doc_id").where("held_out").collect()
     assert auc([(r["score"], r["toxic"]) for r in rows]) > 0.85
     assert np.mean([r["predicted"] for r in rows if r["toxic"] == 0]) < 0.02
+    assert np.mean([r["predicted"] for r in rows if r["toxic"] == 1]) > 0.8  # some labels are wrong
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
 
 
@@ -427,7 +428,7 @@ def test_classifiers_on_odd_tables(spark):
     texts = [None, "", "!!!", "x" * 20_000, prose(50), "a"]
     docs = frame(spark, texts, y=3, score="clash")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    some = spark.createDataFrame([(k, k % 2, k % 2) for k in range(6)] + [(None, 1, 1), (2, None, None), (99, 1, 0)], "doc_id long, quality int, toxic int")
+    some = spark.createDataFrame([(k, k % 2, k % 2) for k in range(6)] + [(3, 0, 0)] + [(None, 1, 1), (2, None, None), (99, 1, 0)], "doc_id long, quality int, toxic int")
     for labels in (none, some, some.where("quality = 1")):
         for module in (quality, toxicity):
             got = module.score(docs, module.fit(docs, labels)).collect()
@@ -448,7 +449,7 @@ def test_scores_do_not_depend_on_neighbours():
 
 
 def symbols(*names):
-    kinds = {"insult": toxicity.INSULT, "threat": toxicity.THREAT, "you": toxicity.TARGET, "not": toxicity.NEGATION, "said": toxicity.REPORT, "x": toxicity.OTHER, ".": toxicity.END}
+    kinds = {"insult": toxicity.INSULT, "threat": toxicity.THREAT, "you": toxicity.TARGET, "not": toxicity.NEGATION, "said": toxicity.REPORT, "x": toxicity.OTHER, ":": toxicity.PAUSE, ".": toxicity.END}
     return [(kinds[n],) for n in names]
 
 
@@ -456,12 +457,18 @@ def symbols(*names):
     ("clause", "want"),
     [
         ("x insult x .", "insult"), ("you x insult .", "insult aimed"), ("insult x you .", "insult aimed"), ("you . insult .", "insult"), ("not x insult .", "insult negated"), ("not x x x insult .", "insult"),
-        ("said x you insult .", "insult reported"), ("said . insult .", "insult"), ("you not threat .", "threat negated"), ("threat x .", "threat"),
+        ("said x you insult .", "insult reported"), ("said . insult .", "insult"), ("said : you insult .", "insult reported"), ("not : insult .", "insult"), ("you : insult .", "insult"), ("insult : x you .", "insult"), ("not insult you .", "insult negated"), ("you not threat .", "threat negated"), ("threat x .", "threat"),
     ],
 )
 def test_grammar(clause, want):
     s = symbols(*clause.split())
-    assert toxicity.classes_of(s, [1.0] * len(s), toxicity.grammar()) == {want: 1.0}
+    assert toxicity.classes_of(s, [1.0] * len(s), toxicity.grammar(), toxicity.backward_grammar()) == {want: 1.0}
+
+
+def test_the_clause_decides_the_class_of_words():
+    m = toxicity.Model(np.sort(np.array([toxicity._hash_of("idiot")])), np.array([1.0]))
+    texts = {"He said: you are an idiot.": "insult reported", "You aren’t an idiot.": "insult negated", "An “idiot”": "insult", "the old—idiot you": "insult aimed", "idiot: you": "insult", "You idiot": "insult aimed"}
+    assert [list(c) for c in m.classes(pa.array(list(texts)))] == [[k] for k in texts.values()]
 
 
 def test_a_learned_insult_counts_in_any_form():
