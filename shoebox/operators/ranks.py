@@ -38,3 +38,20 @@ def summed_before(rows: DataFrame, value: str, name: str, *order: Column) -> Dat
     w = Window.partitionBy(PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     own = rows.withColumn(name, F.coalesce(F.sum(F.col(value).cast("long")).over(w), F.lit(0)))
     return own.join(F.broadcast(offsets(rows, F.sum(F.col(value).cast("long")), "__shift")), PART).withColumn(name, (F.col(name) + F.col("__shift")).cast("long")).drop(PART, "__shift")
+
+
+def numbered_within(rows: DataFrame, name: str, group: str, *order: Column) -> DataFrame:
+    """rows with their place, from 1, in the order among the rows of their group, however large a group is.
+
+    A range holds parts of other ranges' groups at its ends alone, so the counts that are
+    carried over are at most two a range.
+    """
+    rows = dealt(rows, F.asc(group), *order)
+    own = rows.withColumn(name, F.row_number().over(Window.partitionBy(PART, group).orderBy(*order)))
+    counts = rows.groupBy(PART, group).agg(F.count("*").alias("__own"))
+    spans = counts.groupBy(F.col(group).alias("__group")).agg(F.min(PART).alias("__a"), F.max(PART).alias("__b")).where("__a < __b").select("__group")
+    several = counts.join(spans, F.col(group).eqNullSafe(F.col("__group")))
+    before = F.coalesce(F.sum("__own").over(Window.partitionBy("__group").orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = several.select(F.col(PART).alias("__at"), "__group", before.alias("__shift"))
+    both = own.join(F.broadcast(shift), (F.col(PART) == F.col("__at")) & F.col(group).eqNullSafe(F.col("__group")), "left")
+    return both.withColumn(name, (F.col(name) + F.coalesce("__shift", F.lit(0))).cast("long")).drop(PART, "__at", "__group", "__shift")

@@ -124,6 +124,16 @@ def test_ranges_number_the_whole_table(spark):
     assert ranks.numbered(d.limit(0), "n", F.asc("id")).count() == 0
 
 
+def test_places_within_hot_groups(spark):
+    rnd = random.Random(5)
+    rows = [(k, rnd.choice([1, 1, 1, 1, 2, 3, None]), rnd.randrange(50)) for k in range(600)]
+    d = spark.createDataFrame(rows, "id long, g long, v long").repartition(6)
+    want = {}
+    for g in (1, 2, 3, None):
+        want |= {r[0]: n for n, r in enumerate(sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0])), 1)}
+    assert {r["id"]: r["n"] for r in ranks.numbered_within(d, "n", "g", F.asc("v"), F.asc("id")).collect()} == want
+
+
 def test_sessions_of_the_whole_table(spark):
     rnd = random.Random(3)
     at = dt.datetime(2020, 1, 1)
