@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chunks, decontaminate, html_text, minhash, packing, perplexity, quality, tool_calls, toxicity, warc
 
@@ -57,6 +58,13 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.linked(*tool_calls.from_chat(table(spark, sf_dir, "conversations")))
 
 
+def chat_call_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of calls that need later ones: each the next two of its block of four turns."""
+    calls = tool_calls.from_chat(table(spark, sf_dir, "conversations"))[0]
+    name = lambda k: F.when(F.floor((F.col("turn") + k) / 4) == F.floor(F.col("turn") / 4), F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") + k).cast("string")))
+    return tool_calls.ordered(calls.withColumn("after", F.array_compact(F.array(name(1), name(2))))).select("conv_id", "call_id", "topo_order")
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -73,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_quality_rules,
         op8_html_extraction,
         op9_chat_formatting,
+        chat_call_order,
         op10_benchmark_decontamination,
     )
 }
@@ -81,7 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _CHAT = """
 with asks as (select conv_id, turn, case role when 'user' then 'reply' else 'instruct' end as name, text from conversations where role in ('user', 'system')),
 answers as (select conv_id, turn, text, row_number() over (partition by conv_id, turn - 1 order by turn, text) as k from conversations where role = 'assistant')
-select a.conv_id, a.conv_id || ':' || a.turn as call_id, a.turn, case when r.conv_id is null then 'unanswered' else 'linked' end as status, a.turn as topo_order,
+select a.conv_id, a.conv_id || ':' || a.turn as call_id, a.turn, case when r.conv_id is null then 'unanswered' else 'linked' end as status, row_number() over (partition by a.conv_id order by a.turn, a.conv_id || ':' || a.turn, a.name, a.text) - 1 as topo_order,
   case when a.text is null then 'wrong type of prompt' else '' end as problems, a.text is not null as valid,
   '{"arguments":{"prompt":' || coalesce(to_json(a.text)::varchar, 'null') || ',"turn":' || a.turn || '},"id":"' || a.conv_id || ':' || a.turn || '","name":"' || a.name || '","result":' || coalesce(to_json(r.text)::varchar, 'null') || '}' as record
 from asks a left join answers r on r.conv_id = a.conv_id and r.turn = a.turn + 1 and r.k = 1
@@ -90,6 +99,16 @@ select r.conv_id, r.conv_id || ':' || (r.turn - 1), r.turn, 'orphan', null, '',
 from answers r where not exists (select 1 from asks a where a.conv_id = r.conv_id and a.turn = r.turn - 1)
 """
 
+_ORDER = """
+with recursive asks as (select conv_id, turn from conversations where role in ('user', 'system')),
+needs as (select a.conv_id, a.turn, b.turn as needed from asks a join asks b on a.conv_id = b.conv_id and b.turn in (a.turn + 1, a.turn + 2) and a.turn // 4 = b.turn // 4),
+walk(conv_id, turn, depth) as (select conv_id, turn, 0 from asks union select n.conv_id, n.turn, w.depth + 1 from walk w join needs n on n.conv_id = w.conv_id and n.needed = w.turn),
+level as (select conv_id, turn, max(depth) as depth from walk group by 1, 2),
+odd as (select distinct conv_id from needs)
+select a.conv_id, a.conv_id || ':' || a.turn as call_id, row_number() over (partition by a.conv_id order by case when a.conv_id in (select conv_id from odd) then depth else 0 end, a.turn) - 1 as topo_order
+from asks a join level l on l.conv_id = a.conv_id and l.turn = a.turn
+"""
+
 _NEAR = """
 with recursive words as (
   select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
@@ -103,4 +122,4 @@ least as (select x as doc_id, min(y) as component_id from reach group by x)
 select doc_id, n as n_shingles, component_id, doc_id = component_id as kept from least join sizes using (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op2_minhash_near_dedup": _NEAR, "op9_chat_formatting": _CHAT}
+ORACLE: dict[str, str] = {"op2_minhash_near_dedup": _NEAR, "op9_chat_formatting": _CHAT, "chat_call_order": _ORDER}

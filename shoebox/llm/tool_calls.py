@@ -2,7 +2,7 @@
 
 Calls and results are joined by conversation and identifier.  A call depends on others
 (its `after` list); the order that follows is topological: where every dependency points
-to an earlier turn the turn is such an order, else levels are found by rounds of joins.
+to an earlier turn it is that of turns, else levels are found by rounds of joins.
 Arguments are checked against the tool's schema and serialised as canonical JSON: keys
 sorted, no spaces.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark_tools import saved
+from .spark_tools import numbered_within, saved
 
 CALLS = "conv_id long, turn long, call_id string, name string, arguments string, after array<string>"
 RESULTS = "conv_id long, turn long, call_id string, content string"
@@ -34,9 +34,12 @@ def checked(calls: DataFrame, schemas: DataFrame) -> DataFrame:
 
     Types are string, integer, number, boolean, object, array and null.  Arguments that
     the schema doesn't name, missing required ones and other types are problems, as are
-    unknown tools and arguments that aren't a JSON object.
+    unknown tools and arguments that aren't a JSON object.  Repeated rows of a schema count
+    once, rows with a null tool or argument not at all, and a null type admits none.
     """
-    known = schemas.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("argument", F.struct("type", "required")))).alias("schema"))
+    # of several rows for an argument the first by type counts, and it is required if one says so
+    one = schemas.where("name is not null and argument is not null").groupBy("name", "argument").agg(F.min("type").alias("type"), F.coalesce(F.max("required"), F.lit(False)).alias("required"))
+    known = one.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("argument", F.struct("type", "required")))).alias("schema"))
     given = calls.withColumn("parsed", F.try_parse_json("arguments")).withColumn("kind", F.schema_of_variant("parsed"))
     given = given.withColumn("object", F.col("kind").startswith("OBJECT"))
     given = given.withColumn("given", F.when(F.col("object"), F.expr("cast(parsed as map<string, variant>)")))
@@ -62,32 +65,39 @@ def checked(calls: DataFrame, schemas: DataFrame) -> DataFrame:
 
 
 def ordered(calls: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """calls with topo_order: a call's is above those of the calls it depends on; null on a cycle and after one.
+    """calls with topo_order: a call's place among its conversation's calls, from 0, behind all that it depends on.
 
-    Dependencies on identifiers that no call has are left out.
+    Where every dependency of a conversation points to an earlier turn the calls go by
+    turn; else by levels, of calls that need nothing left, and then by turn.  Calls of one
+    level and turn go by identifier, name and arguments, repeated rows have places of their
+    own; calls on a cycle, and behind one, have null.  Dependencies on identifiers that no
+    call has are left out.
     """
     rows = calls.select("conv_id", "turn", "call_id", F.explode("after").alias("needed"))
     own = calls.groupBy("conv_id", "call_id").agg(F.min("turn").alias("needed_turn")).withColumnRenamed("call_id", "needed")
     edges = saved(rows.join(own, ["conv_id", "needed"]).select("conv_id", "call_id", "turn", "needed", "needed_turn"), "needs")
     odd = edges.where("needed_turn >= turn").select("conv_id").distinct()
-    if not odd.limit(1).count():
-        return calls.withColumn("topo_order", F.col("turn").cast("long"))
-    odd = saved(odd, "odd")
-    open_ = saved(edges.join(odd, "conv_id", "left_semi").select("conv_id", "call_id", "needed").distinct(), "open")
-    some = calls.join(odd, "conv_id", "left_semi").select("conv_id", "call_id").distinct()
-    level = saved(some.join(open_, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0).cast("long")), "level")
-    front = level
-    for k in range(1, max_rounds):
-        # what needs nothing open any more
-        met = front.select("conv_id", F.col("call_id").alias("needed"))
-        left = saved(open_.join(met, ["conv_id", "needed"], "left_anti"), "open")
-        front = saved(open_.select("conv_id", "call_id").distinct().join(left, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(k).cast("long")), "level")
-        if not front.limit(1).count():
-            break
-        level, open_ = level.unionByName(front), left
-    levels = level.select("conv_id", "call_id", "level")
-    flagged = calls.join(odd.withColumn("is_odd", F.lit(True)), "conv_id", "left").join(levels, ["conv_id", "call_id"], "left")
-    return flagged.withColumn("topo_order", F.when(F.col("is_odd"), F.col("level")).otherwise(F.col("turn").cast("long"))).drop("is_odd", "level")
+    leveled = calls.withColumn("level", F.lit(0).cast("long"))
+    if odd.limit(1).count():
+        odd = saved(odd, "odd")
+        open_ = saved(edges.join(odd, "conv_id", "left_semi").select("conv_id", "call_id", "needed").distinct(), "open")
+        some = calls.join(odd, "conv_id", "left_semi").select("conv_id", "call_id").distinct()
+        front = saved(some.join(open_, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0).cast("long")), "level")
+        level = front
+        for k in range(1, max_rounds):
+            # what needs nothing open any more
+            met = front.select("conv_id", F.col("call_id").alias("needed"))
+            left = saved(open_.join(met, ["conv_id", "needed"], "left_anti"), "open")
+            front = saved(open_.select("conv_id", "call_id").distinct().join(left, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(k).cast("long")), "level")
+            if not front.limit(1).count():
+                break
+            level, open_ = level.unionByName(front), left
+        flagged = calls.join(odd.withColumn("is_odd", F.lit(True)), "conv_id", "left").join(level.select("conv_id", "call_id", "level"), ["conv_id", "call_id"], "left")
+        # an identifier that is null needs nothing and is needed by nothing
+        free = F.col("is_odd").isNull() | F.col("call_id").isNull()
+        leveled = flagged.withColumn("level", F.when(free, F.lit(0).cast("long")).otherwise(F.col("level"))).drop("is_odd")
+    placed = numbered_within(leveled, "topo_order", "conv_id", F.asc_nulls_last("level"), F.asc("turn"), F.asc("call_id"), F.asc("name"), F.asc("arguments"))
+    return placed.withColumn("topo_order", F.when(F.col("level").isNotNull(), F.col("topo_order") - 1)).drop("level")
 
 
 def linked(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:

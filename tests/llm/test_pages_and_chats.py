@@ -216,6 +216,15 @@ def test_calls_link_validate_and_serialise(spark):
     assert got[1, "lost"]["status"] == "orphan" and len([k for k in got if k[0] == 2]) >= 2
 
 
+def test_repeated_schemas_and_calls(spark):
+    c = spark.createDataFrame([(1, 0, "c", "add", '{"a":1}', [])] * 2 + [(1, 1, "c", "add", '{"a":2,"z":0}', ["c"])], tool_calls.CALLS)
+    schemas = spark.createDataFrame([("add", "a", "integer", True), ("add", "a", "integer", None), ("add", "a", "string", False), ("add", "z", None, None), (None, "x", "string", True), ("add", None, "string", True)], tool_calls.SCHEMAS)
+    got = sorted((r["turn"], r["topo_order"], r["problems"]) for r in tool_calls.linked(c, spark.createDataFrame([], tool_calls.RESULTS), schemas).collect())
+    # a call that needs its own identifier, in whatever turn, needs itself
+    assert [(t, p) for t, _, p in got] == [(0, ""), (0, ""), (1, "unknown argument z")]
+    assert tool_calls.linked(c.limit(0), spark.createDataFrame([], tool_calls.RESULTS), schemas.limit(0)).count() == 0
+
+
 def test_order_is_topological(spark):
     calls = [(1, t, f"c{t}", "say", "{}", [f"c{p}" for p in after]) for t, after in ((0, [4]), (1, []), (2, [0, 1]), (3, [2]), (4, [1]), (5, [6]), (6, [5]), (7, [6, 1]), (8, [99]))]
     calls += [(2, t, f"c{t}", "say", "{}", [f"c{t - 1}"]) for t in range(5)]
@@ -225,7 +234,8 @@ def test_order_is_topological(spark):
         for p in after:
             if (conv, p) in order and order[conv, p] is not None and order[conv, name] is not None:
                 assert order[conv, p] < order[conv, name]
-    assert [order[1, f"c{k}"] for k in (5, 6, 7)] == [None] * 3 and order[1, "c8"] == 0
+    assert [order[1, f"c{k}"] for k in (5, 6, 7)] == [None] * 3 and order[1, "c1"] == 0 and order[1, "c8"] == 1
+    assert sorted(order[1, f"c{k}"] for k in (0, 1, 2, 3, 4, 8)) == list(range(6))
     assert all(order[1, f"c{k}"] is not None for k in range(5)) and [order[2, f"c{k}"] for k in range(5)] == [0, 1, 2, 3, 4]
 
 
