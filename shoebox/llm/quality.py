@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import learn
-from .spark_tools import ship
+from .spark_tools import saved, ship
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 20_000
@@ -81,6 +81,14 @@ def statistics(column: pa.Array) -> np.ndarray:
     return np.nan_to_num(out)
 
 
+def forward(lower: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The solution of lower @ u = b, row by row: the factor is a triangle."""
+    u = np.empty_like(b)
+    for k in range(len(lower)):
+        u[k] = (b[k] - lower[k, :k] @ u[:k]) / lower[k, k]
+    return u
+
+
 @dataclass
 class Model:
     centre: np.ndarray
@@ -98,8 +106,7 @@ class Model:
         z = (x - self.centre) / self.scale
         dens = []
         for mean, factor, log_det in self.classes:
-            u = np.linalg.solve(factor, (z - mean).T)
-            dens.append(-0.5 * ((u**2).sum(axis=0) + log_det))
+            dens.append(-0.5 * ((forward(factor, (z - mean).T) ** 2).sum(axis=0) + log_det))
         return dens[1] - dens[0]
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -114,29 +121,37 @@ def squash(z: np.ndarray) -> np.ndarray:
     return np.arcsinh(z / 4) * 4
 
 
-def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = np.zeros(2)
-    one, two = np.zeros((2, N_FEATURES)), np.zeros((2, N_FEATURES, N_FEATURES))
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for x in K.slices(batches):
-        f, y = statistics(x.column("text")), x.column("y").to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(statistics(x.column("text"))), pa.list_(pa.float64())), x.column("y")], ["x", "y"])
+
+
+def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By class: the number of rows, their sum and the sum of their outer products, in one list."""
+    sums = np.zeros((2, 1 + N_FEATURES + N_FEATURES**2))
+    for x in batches:
+        f, y = x.column("x").flatten().to_numpy().reshape(-1, N_FEATURES), x.column("y").to_numpy()
         for k in (0, 1):
             own = f[y == k]
-            n[k] += len(own)
-            one[k] += own.sum(axis=0)
-            two[k] += own.T @ own
-    yield pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array(n), pa.array(list(one)), pa.array(list(two.reshape(2, -1)))], ["y", "n", "one", "two"])
+            sums[k] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).reshape(-1)])
+    yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(list(sums))], ["y", "sums"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, folds: int = 5, held_out: int = 0) -> Model:
-    """A model of labels.quality from at most `size` labelled rows outside of the held-out fold."""
+    """A model of labels.quality from at most `size` labelled rows outside of the held-out fold.
+
+    Repeated and contradictory rows of `labels` each count.
+    """
     ship(docs.sparkSession)
-    rows = learn.with_labels(docs, learn.sample(labels, "quality", size, learn.fold(folds=folds) != held_out))
-    parts = rows.mapInArrow(_moments, "y long, n double, one array<double>, two array<double>").collect()
+    picked = learn.with_labels(docs, learn.sample(labels, "quality", size, learn.fold(folds=folds) != held_out))
+    # one scan of the documents: the statistics of the sample are kept
+    rows = saved(picked.mapInArrow(_featured, "x array<double>, y int"), "sample")
     n, one, two = np.zeros(2), np.zeros((2, N_FEATURES)), np.zeros((2, N_FEATURES, N_FEATURES))
-    for r in parts:
-        n[r["y"]] += r["n"]
-        one[r["y"]] += np.array(r["one"])
-        two[r["y"]] += np.array(r["two"]).reshape(N_FEATURES, N_FEATURES)
+    # sums by class and place, so the driver gets as many numbers as a class has, whatever the number of tasks
+    sums = rows.mapInArrow(_moments, "y int, sums array<double>").select("y", F.posexplode("sums").alias("at", "v")).groupBy("y", "at").agg(F.sum("v").alias("v"))
+    for r in sums.groupBy("y").agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("s")).select("y", F.expr("transform(s, x -> x.v)").alias("v")).collect():
+        v = np.array(r["v"])
+        n[r["y"]], one[r["y"]], two[r["y"]] = v[0], v[1 : 1 + N_FEATURES], v[1 + N_FEATURES :].reshape(N_FEATURES, N_FEATURES)
     total = n.sum()
     prior = float((n[1] + 1) / (total + 2))
     if n.min() < 2:
@@ -158,8 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, folds: int = 5,
     model = Model(centre, scale, classes, prior)
 
     def odds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in K.slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(model.log_odds(statistics(x.column("text")))), x.column("y")], ["z", "y"])
+        for x in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(model.log_odds(x.column("x").flatten().to_numpy().reshape(-1, N_FEATURES))), x.column("y")], ["z", "y"])
 
     seen = rows.mapInArrow(odds, "z double, y int").toPandas()  # as many rows as the sample
     z, y = squash(seen["z"].to_numpy()), seen["y"].to_numpy()
