@@ -36,9 +36,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names; only without one, as in tests, a local one."""
+    """The folder that the cluster names; only without one, in local mode as in tests, a local one."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not (folder := getattr(shared_folder, "own", None)):
         folder = shared_folder.own = tempfile.mkdtemp(prefix="shoebox_shared")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -46,15 +48,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it: the lineage ends there, and a lost executor costs nothing."""
+    """Write a table to the shared folder and read it: the lineage ends there, and a lost executor costs nothing.
+
+    The files go when `forget` is called, or with the driver.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/shoebox/{os.getpid()}-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
+    out = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    out.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(out)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a saved table that nothing reads any more."""
-    for f in df.inputFiles()[:1]:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of saved tables that nothing reads any more."""
+    for df in tables:
+        for f in df.inputFiles()[:1]:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f).getParent()
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
