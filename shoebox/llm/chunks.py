@@ -193,9 +193,14 @@ def _cut_texts(min_words: int):
 
 
 def _with_repeats(docs: DataFrame, min_words: int) -> DataFrame:
-    """docs and, per document, the digests of its windows that a smaller document has."""
+    """docs and, per document, the digests of its windows that a smaller document has.
+
+    A digest that very many documents have is one group of narrow rows in the join, which
+    Spark splits while adaptive execution is on.
+    """
     ship(docs.sparkSession)
     marks = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("text <> '' and doc_id is not null").mapInArrow(_digests(min_words), "digest long, doc_id long")
+    marks = saved(marks, "marks")
     shared = marks.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").drop("last")
     later = marks.join(shared, "digest").where("doc_id > first_doc_id").groupBy("doc_id").agg(F.collect_set(F.struct("digest", "first_doc_id")).alias("repeats"))
     return docs.join(later, "doc_id", "left")

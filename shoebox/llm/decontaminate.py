@@ -20,7 +20,7 @@ from . import kernels as K
 from .spark_tools import ship
 
 RATE = 0.15
-#: Items with fewer words must be found as they are.
+#: Items with fewer words must be found as they are: a few words with one changed are in many clean texts.
 MIN_FUZZY = 8
 #: Bytes of benchmark text sent to every worker at once; larger sets are scanned in blocks.
 BLOCK_BYTES = 8 << 20
@@ -74,7 +74,7 @@ def masks(words: list[int]) -> dict[int, int]:
 class Items:
     """The pieces of a block of test items, by length."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], rate: float) -> None:
+    def __init__(self, ids: list[int], texts: list[str | None], rate: float, min_fuzzy: int = MIN_FUZZY) -> None:
         words, doc, n = word_spans(pa.array(texts, pa.string()))
         bounds = np.searchsorted(doc, np.arange(n + 1))
         self.items: list[tuple[int, list[int], int]] = []
@@ -84,7 +84,7 @@ class Items:
             m = own.size
             if not m:
                 continue
-            k = int(rate * m) if m >= MIN_FUZZY else 0
+            k = int(rate * m) if m >= min_fuzzy else 0
             cuts = [p * m // (k + 1) for p in range(k + 2)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 by_length.setdefault(b - a, []).append((int(windows(own[a:b], b - a)[0]), len(self.items), a))
@@ -139,9 +139,9 @@ def matches(column: pa.Array, items: Items) -> list[tuple[int, int, int, int, in
     return [(d, items.items[i][0], *x[:1], len(items.items[i][1]), *x[1:]) for (d, i), x in sorted(best.items())]
 
 
-def _scan(sent, rate: float):
+def _scan(sent, rate: float, min_fuzzy: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(*sent.value, rate)
+        items = Items(*sent.value, rate, min_fuzzy)
         for x in K.slices(batches):
             found = matches(x.column("text"), items)
             if found:
@@ -151,30 +151,51 @@ def _scan(sent, rate: float):
     return go
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document and test item that it holds: doc_id, item_id, distance, item_words, start_word, end_word.
+def _clean(sent, rate: float, min_fuzzy: int):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(*sent.value, rate, min_fuzzy)
+        for x in K.slices(batches):
+            bad = np.zeros(x.num_rows, bool)
+            bad[[f[0] for f in matches(x.column("text"), items)]] = True
+            yield x.filter(pa.array(~bad))
 
-    The place is the best one, the first of equals.  Null and empty texts and items
-    match nothing; repeated rows each give their rows; no items or no documents give an
-    empty table.  The benchmark is sent to the workers in blocks of bounded size, each
-    a scan of the documents; one block holds some tens of thousands of items.
-    """
+    return go
+
+
+def _blocks(docs: DataFrame, benchmark: DataFrame, block_bytes: int) -> Iterator:
+    """The distinct items, sent to the workers in blocks of bounded size."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("text <> ''")
-    items = benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where("text <> ''")
+    items = benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where("text <> ''").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    out = None
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        sent = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-        found = docs.mapInArrow(_scan(sent, rate), SCHEMA)
+        yield spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES, min_fuzzy: int = MIN_FUZZY) -> DataFrame:
+    """One row per document and test item that it holds: doc_id, item_id, distance, item_words, start_word, end_word.
+
+    The place is the best one, the first of equals.  Items with fewer than min_fuzzy words
+    must be found as they are.  Null and empty texts and items match nothing; repeated
+    documents each give their rows, repeated items count once, and texts that share an
+    item_id are items of their own; no items or no documents give an empty table.  The
+    benchmark is sent to the workers in blocks of bounded size, each a scan of the
+    documents; one block holds some tens of thousands of items.
+    """
+    docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("text <> ''")
+    out = None
+    for sent in _blocks(docs, benchmark, block_bytes):
+        found = docs.mapInArrow(_scan(sent, rate, min_fuzzy), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The documents that hold no test item, with their columns."""
-    bad = contaminated(docs, benchmark, rate).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES, min_fuzzy: int = MIN_FUZZY) -> DataFrame:
+    """The rows whose text holds no test item, with their columns, whatever their doc_id; nothing is shuffled."""
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    schema = docs.schema
+    for sent in _blocks(docs, benchmark, block_bytes):
+        docs = docs.mapInArrow(_clean(sent, rate, min_fuzzy), schema)
+    return docs

@@ -151,7 +151,7 @@ def shingles(words: np.ndarray, doc: np.ndarray, n_docs: int, width: int) -> tup
     """Hash and document of each window of `width` words; a document with fewer words has one, of all its words."""
     counts = np.bincount(doc, minlength=n_docs)
     h = np.zeros(words.size, np.uint64)
-    for k in range(width):
+    for k in range(min(width, words.size)):
         part = words[k:] * np.uint64((2 * k + 3) * 0x9E3779B97F4A7C15 & (1 << 64) - 1 | 1)
         h[: words.size - k] += part if k == 0 else mix(part)
     first = np.cumsum(counts) - counts

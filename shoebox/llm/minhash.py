@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .spark_tools import components, saved, ship
+from .spark_tools import components, forget, saved, ship
 
 BANDS, ROWS = 40, 6
 #: A prime of at least BANDS * ROWS positions.
@@ -268,13 +268,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     classes = saved(full.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
     # an empty text is in no class and stands for itself
     own = sigs.select("doc_id", "n_shingles", "h1", "h2").join(classes.drop("bands"), ["n_shingles", "h1", "h2"], "left")
-    own = saved(own.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep")), "own")
+    own = saved(own.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("rep")), "doc_id")).otherwise(F.col("doc_id")).alias("rep")), "own")
     several = own.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("doc_id", "a")
     same = saved(own.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")), "same")
 
     met = classes.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
     crowded = met.groupBy("bucket").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("bucket", "first")
     members = saved(met.join(crowded, "bucket").where("rep <> first"), "members")
+    forget(sigs, classes)
     # each member with the smallest member of each of its buckets
     stars = saved(members.select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     wanted = saved(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
@@ -283,7 +284,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     sets = saved(passed.join(wanted, "id", "left_semi").dropDuplicates(["id", "shingles"]), "sets")
 
     nearest = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    edges = saved(links(nearest, sets, percent), "edges").unionByName(same)
+    linked = saved(links(nearest, sets, percent), "edges")
+    edges = linked.unionByName(same)
     labels = components(edges)
 
     def label(df: DataFrame, of: str, to: str) -> DataFrame:
@@ -305,6 +307,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         if more.limit(1).count():
             labels = components(edges.unionByName(more))
 
+    forget(members, stars, wanted, sets, linked, same, rest, open_)
     out = label(own, "rep", "component_id")
     kept = F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))
     return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))

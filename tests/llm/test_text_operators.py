@@ -113,6 +113,24 @@ def test_near_duplicates_of_nothing_and_of_repeated_rows(spark):
     assert Counter((r["doc_id"], r["component_id"]) for r in got) == {(0, 0): 2, (1, 1): 2}
 
 
+def test_fewer_words_than_a_shingle_has(spark):
+    for texts in (["a b c"], ["a"], ["a b c", "a b c"], ["", "a b"]):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(frame(spark, texts)).collect()}
+        assert got == brute_components(dict(enumerate(texts)), 5, 80)
+
+
+def test_repeated_and_null_ids_of_near_duplicates(spark):
+    a, b, c = prose(40), prose(40), prose(40)
+    rows = [(3, a), (5, a), (5, b), (7, b), (7, ""), (8, c), (8, c), (8, c + " x"), (None, a), (None, a), (9, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", n) for n, (k, t) in enumerate(rows)], DOCS)
+    got = minhash.near_duplicates(docs).collect()
+    # a document of several rows links with what any of them links with
+    assert Counter((r["doc_id"], r["component_id"], r["kept"]) for r in got) == {(3, 3, True): 1, (5, 3, False): 2, (7, 3, False): 2, (8, 8, True): 3, (None, None, True): 2, (9, 9, True): 1}
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted([(0, a), (0, a), (3, a), (8, c), (9, "")])
+
+
 def test_signatures_estimate_similarity():
     """Collisions of positions have the Jaccard similarity as their mean and less spread than independent ones."""
     r = np.random.default_rng(0)
@@ -354,6 +372,15 @@ def test_contamination_against_all_pairs(spark):
         assert plain_distance(word_list(items[i]), word_list(texts[d])[r["start_word"] : r["end_word"]])[0] == r["distance"]
     blocks = decontaminate.contaminated(docs, bench, block_bytes=300)
     assert {(r["doc_id"], r["item_id"]) for r in blocks.collect()} == set(want)
+    twice = bench.unionByName(bench).unionByName(spark.createDataFrame([(0, "another text of that number")], bench.schema))
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, twice).collect()) == sorted(want)
+    odd = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert decontaminate.clean_documents(odd, bench, block_bytes=300).count() == len(texts) - len({d for d, _ in want})
+    short = spark.createDataFrame([(1, "one two three four five six seven")], bench.schema)
+    near = frame(spark, ["x one two three 4 five six seven y"])
+    assert decontaminate.contaminated(near, short).count() == 0 and decontaminate.contaminated(near, short, min_fuzzy=1).count() == 1
+    quoted = frame(spark, ["x “one two—three… four\u00a0five six seven” y"])
+    assert decontaminate.contaminated(quoted, short).count() == 1
     clean = decontaminate.clean_documents(docs, bench)
     assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == set(range(len(texts))) - {d for d, _ in want}
     assert decontaminate.contaminated(empty(spark), bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
@@ -389,11 +416,12 @@ def with_keys(docs):
     return docs.withColumn("lang_key", F.when(F.col("lang").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("lang")))
 
 
-def test_kneser_ney_sums_to_one_and_counts_all(spark):
+def test_kneser_ney_sums_to_one_and_counts_all(spark, monkeypatch):
+    monkeypatch.setattr(perplexity, "WORD_SHARE", 1e-9)
     texts = [prose(80) for _ in range(30)] + [None, "", "ABC 123\n#é"]
     docs = with_keys(frame(spark, texts).withColumn("lang", F.when(F.col("doc_id") % 3 > 0, "en"))).repartition(5)
     named, tables, size = perplexity.train(docs)
-    # words, per language: all words of so small a corpus have ids
+    # all words have ids, those of two languages two
     words = {(k % 3 > 0, w.translate(LOW)) for k, t in enumerate(texts) for w in WORD.findall(t or "")}
     assert named[0].size >= len(words) and size == perplexity.OTHER + named[0].size + named[1].size
     grams = Counter()
@@ -402,7 +430,7 @@ def test_kneser_ney_sums_to_one_and_counts_all(spark):
         grams.update(((k % 3 > 0,) if a == "<s>" else a, (k % 3 > 0,) if b == "<s>" else b, c) for a, b, c in zip(w, w[1:], w[2:]))
     assert sorted(tables[2][1].tolist()) == sorted(grams.values())
     assert sorted(tables[1][1].tolist()) == sorted(Counter(g[1:] for g in grams).values())
-    assert sorted(tables[0][1].tolist()) == sorted(Counter(g[2] for g in grams).values())
+    assert sorted(tables[0][1].tolist()) == sorted(Counter(b for _, b in {g[1:] for g in grams}).values())
     for key, _, total, cut in tables:
         assert (np.diff(key) > 0).all() and (total >= 1).all() and (cut[1:] > 0).all()
     model, bits = perplexity.Model(tables, size), perplexity.BITS
