@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import dot, vector
 from ..session import ship
 
-#: Vectors of a block of the self-join; two blocks are in memory at once.
-BLOCK = 1024
+#: Vectors of a block of the self-join; two blocks are in memory at once, 66 MB of 512 doubles, and the products of ROWS vectors with a block.
+BLOCK, ROWS = 8192, 512
 
 
 def scored(vectors: DataFrame, query: list[float], embedding: str = "embedding") -> DataFrame:
@@ -52,23 +52,28 @@ def of(vectors: DataFrame, ident, key: str = "asset_id") -> DataFrame:
     return vectors.where(F.col(key) == F.lit(ident)).limit(1)
 
 
+def _matrix(t: pa.Table) -> np.ndarray:
+    v = t.column("v").combine_chunks()
+    return v.flatten().to_numpy().reshape(len(v), -1) if len(v) else np.zeros((0, 1))
+
+
 def _pairs(threshold: float):
     def go(table: pa.Table) -> pa.Table:
         first = table.filter(pa.compute.field("side") == 1)
         second = table.filter(pa.compute.field("side") == 2)
         if not second.num_rows:  # a block with itself
             second = first
-        a, b = (np.array(t.column("v").to_pylist(), np.float64).reshape(t.num_rows, -1) for t in (first, second))
+        a, b = _matrix(first), _matrix(second)
         p, q = first.column("key").to_numpy(), second.column("key").to_numpy()
-        if not a.size or not b.size:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        scores = np.round(a @ b.T, 6)
-        i, j = np.nonzero(scores >= threshold)
-        same = p[i] == q[j]
-        i, j = i[~same], j[~same]
-        lo, hi = np.minimum(p[i], q[j]), np.maximum(p[i], q[j])
-        keep = np.ones(lo.size, bool) if second is not first else p[i] < q[j]
-        return pa.table({"a": lo[keep], "b": hi[keep], "score": scores[i, j][keep]})
+        found = []
+        for at in range(0, len(a) if len(b) else 0, ROWS):
+            scores = np.round(a[at : at + ROWS] @ b.T, 6)
+            i, j = np.nonzero(scores >= threshold)
+            keep = p[at + i] != q[j] if second is not first else p[at + i] < q[j]
+            i, j = i[keep], j[keep]
+            found.append((np.minimum(p[at + i], q[j]), np.maximum(p[at + i], q[j]), scores[i, j]))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, t) for t in (np.int64, np.int64, float)]
+        return pa.table(dict(zip(("a", "b", "score"), columns, strict=True)))
 
     return go
 
@@ -76,13 +81,16 @@ def _pairs(threshold: float):
 def sim_edges(vectors: DataFrame, threshold: float, key: str, embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(a, b, score), a < b: all pairs of unit vectors with a cosine of at least the threshold.
 
-    Vectors are dealt to blocks by a hash, and each pair of blocks is one matrix product
-    in a task, so memory is two blocks whatever the library and every core has work.
-    Null vectors have no edges.  All vectors have one length.
+    Vectors are dealt to blocks by a hash, and a pair of blocks is multiplied in a task, so
+    memory is two blocks whatever the library.  A vector is copied once for each block, so
+    blocks are as large as memory lets them, but for a small library: it is dealt to about
+    as many pairs as there are cores.  Null vectors have no edges.  All vectors have one length.
     """
     ship(vectors.sparkSession)
     v = vectors.where(F.col(embedding).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(embedding).cast("array<double>").alias("v"))
-    n = max(1, -(-v.count() // block))
+    total = v.count()
+    cores = v.sparkSession.sparkContext.defaultParallelism
+    n = max(-(-total // block), min(int((2 * cores) ** 0.5), -(-total // ROWS)), 1)
     v = v.withColumn("h", F.pmod(F.xxhash64("key"), F.lit(n)))
     meet = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda x: F.struct(F.least("h", x).alias("i"), F.greatest("h", x).alias("j"), F.when(F.col("h") <= x, 1).otherwise(2).alias("side")))
     dealt = v.select("key", "v", F.explode(meet).alias("m")).select("key", "v", "m.*")

@@ -474,14 +474,36 @@ def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return selection.collapse(_pool(spark, sf)).select("id", "pool_rn")
 
 
-@query(None)
+_BASE = "(select vec_id as id, ts as taken, event_type = 'click' as favorite, embedding::double[] as e, 0.45 * (1 / (1 + exp(-(log10(greatest(value, 1.0)) - 2.08) * 3.2))) + 0.55 * (case when event_type = 'click' then 1.0 else 0.0 end) as q from embeddings join events on event_id = vec_id)"
+
+
+def _mmr_sql(n: int) -> str:
+    """One step a pick; no two vectors of the tables are so near that a burst collapses."""
+    sql = (
+        f"with pool as materialized (select * from (select id, e, strftime(taken, '%Y-%m-%d') as day, 0.75 * cos + 0.25 * q as rel, row_number() over (order by cos desc, taken desc, id desc) as rk"
+        f" from (select b.*, round(list_dot_product(b.e, a.embedding::double[]), 6) as cos from {_BASE} b, embeddings a where a.vec_id = 0) where cos >= 0) where rk <= {selection.pool_size(n)})"
+    )
+    for k in range(n):
+        seen = " union all ".join(f"select * from p{j}" for j in range(k))
+        like = f"(select max(list_dot_product(pool.e, s.e)) from ({seen}) s)" if k else "0"
+        again = f"(select count(*) from ({seen}) s where s.day = pool.day)" if k else "0"
+        free = f" where id not in (select id from ({seen}))" if k else ""
+        sql += f", p{k} as materialized (select id, e, day, rel, {k} as place from pool{free} order by 0.55 * rel - 0.45 * {like} - 0.5 * {again} desc, rk limit 1)"
+    return sql + " select id, place, round(rel, 4) as score from (" + " union all ".join(f"select * from p{j}" for j in range(n)) + ")"
+
+
+@query(_mmr_sql(12))
 def mmr_pick(spark: SparkSession, sf: str) -> DataFrame:
     d = _pool(spark, sf).select("id", "taken", "favorite", "sharpness")
     picks, _, _ = selection.run(d, vecs(spark, sf), d, 12, selection.Controls(spread="day"), anchor=first_vector(spark, sf))
     return picks
 
 
-@query(None)
+@query(
+    f"with f as (select *, strftime(taken, '%Y-%m-%d') as b from {_BASE} where not favorite), k as (select *, row_number() over (partition by b order by taken desc, id desc) as k from f), o as (select b, row_number() over (order by taken desc, id desc) as o from k where k = 1),"
+    f" p as (select * from k join o using (b) order by k, o limit {selection.pool_size(8)}), n as (select count(*) as n, count(*) filter (q >= {selection.SOFT}) as sharp from p), m as (select n, case when sharp > 0 then sharp else n end as left_ from n)"
+    f" select 0::bigint as place, 'library' as stage, count(*) as kept from {_BASE} union all select 1, 'filters', count(*) from f union all select 2, 'pool', n from m union all select 3, 'near-duplicates', n from m union all select 4, 'sharp only', left_ from m union all select 5, 'variety', least(8, left_) from m"
+)
 def funnel_stages(spark: SparkSession, sf: str) -> DataFrame:
     d = _pool(spark, sf).select("id", "taken", "favorite", "sharpness")
     _, stages, _ = selection.run(d, vecs(spark, sf), d.where("not favorite"), 8, selection.Controls(spread="day", sharp_only=True))
@@ -581,16 +603,51 @@ def hero_layout(spark: SparkSession, sf: str) -> DataFrame:
     return _slots(layout.hero(_photos(spark, sf), "page", "id", 1400.0, 933.0, 8.0))
 
 
-def _kernel(template: str):
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        p = _photos(spark, sf).withColumn("aspect", F.col("pw") / F.col("ph"))
-        return layout.by_page(p, template, "page", "id", "aspect", 1400.0, 933.0, 8.0)
+def _justified_sql(photos: str, width: str, height: str, gap: str) -> str:
+    """Rows end where the sum of aspects reaches their share; of all numbers of rows the one whose heights need least stretching, the fewest of equals."""
+    before = "rows between unbounded preceding and 1 preceding"
+    return (
+        f"(with p as (select page, id, pw / ph as a, row_number() over (partition by page order by id) - 1 as i, count(*) over (partition by page) as n from {photos}),"
+        " s as (select *, sum(a) over (partition by page order by id rows unbounded preceding) as s, sum(a) over (partition by page) as t from p), r as (select page, n, r from (select distinct page, n from p), range(1, 100) x(r) where r <= n),"
+        " f as (select r.page, r.r, k, min(i) as i from r, range(0, 100) y(k), s where k < r.r - 1 and s.page = r.page and s.s >= (k + 1) * s.t / r.r - 1e-12 group by all),"
+        " e as (select f.page, f.r, f.k, least(max(f.i - f.k) over (partition by f.page, f.r order by f.k) + f.k, r.n - f.r + f.k) as e from f join r on r.page = f.page and r.r = f.r),"
+        " w as (select s.page, s.id, s.i, s.a, r.r, (select count(*) from e where e.page = s.page and e.r = r.r and e.e < s.i) as row from s join r on r.page = s.page),"
+        f" l as (select page, r, row, count(*) as m, sum(a) as sa, ({width} - {gap} * (count(*) - 1)) / sum(a) as tall from w group by all),"
+        f" o as (select page, r, sum(tall) as tall, row_number() over (partition by page order by round(abs(sum(tall) + {gap} * (r - 1) - {height}), 9), r) as best from l group by page, r),"
+        f" h as (select l.*, l.tall * (({height} - {gap} * (l.r - 1)) / o.tall) as high from l join o on o.page = l.page and o.r = l.r and o.best = 1),"
+        f" y as (select *, coalesce(sum(high + {gap}) over (partition by page order by row {before}), 0) as y from h),"
+        f" z as (select w.page, w.id, y.y, y.high, y.row, ({width} - {gap} * (y.m - 1)) * (w.a / y.sa) as wide from w join y on y.page = w.page and y.r = w.r and y.row = w.row)"
+        f" select page, id, coalesce(sum(wide + {gap}) over (partition by page, row order by id {before}), 0) as x, y, wide as w, high as h from z)"
+    )
 
-    run.__name__ = f"{template}_layout"
-    return query(None)(run)
 
+_ROUNDED = "round(x, 6) as x, round(y, 6) as y, round(w, 6) as w, round(h, 6) as h"
+_HALVES = f"(select page, id, pw, ph, n, case when i <= (n + 1) // 2 then 0 else 1 end as half from (select *, row_number() over (partition by page order by id) i, count(*) over (partition by page) n from {_PHOTOS}))"
 
-justified_layout, scatter_layout, spread_layout = map(_kernel, ("justified", "scatter", "spread"))
+
+def _kernel(spark: SparkSession, sf: str, template: str) -> DataFrame:
+    p = _photos(spark, sf).withColumn("aspect", F.col("pw") / F.col("ph"))
+    return layout.by_page(p, template, "page", "id", "aspect", 1400.0, 933.0, 8.0)
+
+
+@query(f"select page, id, {_ROUNDED} from {_justified_sql(_PHOTOS, '1400.0::double', '933.0::double', '8.0::double')}")
+def justified_layout(spark: SparkSession, sf: str) -> DataFrame:
+    return _slots(_kernel(spark, sf, "justified"))
+
+
+@query(
+    f"select page // 2 as page, id, {_ROUNDED} from (select page, id, x + case when page % 2 = 1 then 724.5::double else 0 end as x, y, w, h from {_justified_sql(f'(select page * 2 + half as page, id, pw, ph from {_HALVES} where n > 1)', '675.5::double', '933.0::double', '8.0::double')})"
+    f" union all select page, id, {_ROUNDED} from {_justified_sql(f'(select page, id, pw, ph from {_HALVES} where n = 1)', '1400.0::double', '933.0::double', '8.0::double')}"
+)
+def spread_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """The gutter is 49 pixels: 3.5 % of the page."""
+    return _slots(_kernel(spark, sf, "spread"))
+
+
+@query(None)
+def scatter_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """Its tilts are pseudo-random numbers, which SQL can't make."""
+    return _kernel(spark, sf, "scatter")
 
 
 @query(
