@@ -93,18 +93,25 @@ def windows(buf: np.ndarray, off: np.ndarray, min_words: int) -> tuple[np.ndarra
     return s[first], e[last], doc[first]
 
 
+def digests(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each window, and its length and byte sum in 32 bits: texts are not compared, so one in some 10**24 pairs of different windows passes for equal."""
+    sums = np.concatenate([[0], np.cumsum(buf, dtype=np.int64)])
+    return K.signed(K.Hashes(buf).of(s, e)), (((e - s) & 0x7FFF) << 16 | (sums[e] - sums[s]) & 0xFFFF).astype(np.int32)
+
+
 def _digests(min_words: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in K.slices(batches):
             buf, off = K.texts_of(x.column("text"))
             s, e, doc = windows(buf, off, min_words)
-            h = K.Hashes(buf).of(s, e)
+            h, size = digests(buf, s, e)
             # once per document is enough: repeats inside are found again when they are cut
-            order = np.lexsort((h, doc))
+            order = np.lexsort((size, h, doc))
+            key = np.stack([h, size, doc])[:, order]
             first = np.ones(h.size, bool)
-            first[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+            first[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
             pick = order[first]
-            yield pa.RecordBatch.from_arrays([pa.array(K.signed(h[pick])), x.column("doc_id").take(pa.array(doc[pick]))], ["digest", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[pick]), pa.array(size[pick]), x.column("doc_id").take(pa.array(doc[pick]))], ["digest", "size", "doc_id"])
 
     return go
 
@@ -117,7 +124,7 @@ def _spans(min_words: int):
         s, e, doc = windows(buf, off, min_words)
         if not s.size:
             return []
-        h = K.signed(K.Hashes(buf).of(s, e))
+        h, size = digests(buf, s, e)
         start = word_starts(buf, off)
         starts = np.concatenate([[0], np.cumsum(start)])
         inside = K.word_table()[buf] & ~start
@@ -128,18 +135,20 @@ def _spans(min_words: int):
             a, b = bounds[d], bounds[d + 1]
             if a == b:
                 continue
-            own = h[a:b]
-            order = np.argsort(own, kind="stable")
+            own, sizes = h[a:b], size[a:b]
+            order = np.lexsort((sizes, own))
             again = np.zeros(b - a, bool)
-            again[order[1:]] = own[order[1:]] == own[order[:-1]]
+            again[order[1:]] = (own[order[1:]] == own[order[:-1]]) & (sizes[order[1:]] == sizes[order[:-1]])
             known = lists[d].as_py() or []
-            source = dict.fromkeys(own[again].tolist(), ids[d])
-            source |= {r["digest"]: r["first_doc_id"] for r in known}
-            at = np.flatnonzero(again | np.isin(own, np.array([r["digest"] for r in known], np.int64)))
+            source = dict.fromkeys(zip(own[again].tolist(), sizes[again].tolist(), strict=True), ids[d])
+            source |= {(r["digest"], r["size"]): r["first_doc_id"] for r in known}
+            maybe = np.flatnonzero(again | np.isin(own, np.array([r["digest"] for r in known], np.int64)))
+            keys = list(zip(own[maybe].tolist(), sizes[maybe].tolist(), strict=True))
+            at = maybe[np.array([k in source for k in keys], bool)] if maybe.size else maybe
             if not at.size:
                 continue
             left, right = s[a + at], np.maximum.accumulate(e[a + at])
-            firsts = [source[key] for key in own[at].tolist()]
+            firsts = [source[k] for k in keys if k in source]
             # windows that share text make one passage, and those that touch if one document has both
             split = [k for k in range(1, at.size) if left[k] > right[k - 1] or left[k] == right[k - 1] and firsts[k] != firsts[k - 1]]
             for p, q in zip([0, *split], [*split, at.size], strict=True):
@@ -199,10 +208,11 @@ def _with_repeats(docs: DataFrame, min_words: int) -> DataFrame:
     Spark splits while adaptive execution is on.
     """
     ship(docs.sparkSession)
-    marks = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("text <> '' and doc_id is not null").mapInArrow(_digests(min_words), "digest long, doc_id long")
+    marks = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("text <> '' and doc_id is not null").mapInArrow(_digests(min_words), "digest long, size int, doc_id long")
     marks = saved(marks, "marks")
-    shared = marks.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").drop("last")
-    later = marks.join(shared, "digest").where("doc_id > first_doc_id").groupBy("doc_id").agg(F.collect_set(F.struct("digest", "first_doc_id")).alias("repeats"))
+    key = ["digest", "size"]
+    shared = marks.groupBy(*key).agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").drop("last")
+    later = marks.join(shared, key).where("doc_id > first_doc_id").groupBy("doc_id").agg(F.collect_set(F.struct(*key, "first_doc_id")).alias("repeats"))
     return docs.join(later, "doc_id", "left")
 
 
