@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .spark_tools import saved, ship
+from .spark_tools import ship
 
 #: Chunks end after one white space in so many and, in words of more than LONG bytes, after one byte in so many.
 WORDS, BYTES, LONG = 5, 256, 64
@@ -205,11 +205,11 @@ def _with_repeats(docs: DataFrame, min_words: int) -> DataFrame:
     """docs and, per document, the digests of its windows that a smaller document has.
 
     A digest that very many documents have is one group of narrow rows in the join, which
-    Spark splits while adaptive execution is on.
+    Spark splits while adaptive execution is on.  Digests are made twice, for the counts and
+    for the join: written down they would take more disk than a second scan takes time.
     """
     ship(docs.sparkSession)
     marks = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("text <> '' and doc_id is not null").mapInArrow(_digests(min_words), "digest long, size int, doc_id long")
-    marks = saved(marks, "marks")
     key = ["digest", "size"]
     shared = marks.groupBy(*key).agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").drop("last")
     later = marks.join(shared, key).where("doc_id > first_doc_id").groupBy("doc_id").agg(F.collect_set(F.struct(*key, "first_doc_id")).alias("repeats"))
