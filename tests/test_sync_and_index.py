@@ -256,3 +256,14 @@ def test_index_pass(spark):
 def test_laplacian():
     flat, sharp = np.full((20, 20), 7), np.indices((20, 20)).sum(axis=0) % 2 * 255
     assert index.laplacian(flat) == 0 and index.laplacian(sharp) > 1e5
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from shoebox.session import shared_folder
+
+    named = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda key, other: folder), sparkContext=SimpleNamespace(master=master))
+    assert shared_folder(named("spark://x", "s3://b/c/")) == "s3://b/c" and shared_folder(named("local[2]", None)).startswith("file://")
+    with pytest.raises(RuntimeError):
+        shared_folder(named("spark://x", None))
