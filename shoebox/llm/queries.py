@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, decontaminate, html_text, minhash, packing, perplexity, quality, tool_calls, toxicity, warc
+from . import alignment, chunks, decontaminate, html_text, lloyd, minhash, packing, perplexity, pieces, quality, tool_calls, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,24 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def piece_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op12_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), piece_path())
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), piece_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -83,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_chat_formatting,
         chat_call_order,
         op10_benchmark_decontamination,
+        op11_centroid_clustering,
+        op12_sentencepiece_codec,
+        op13_tokenizer_alignment,
     )
 }
 
@@ -122,4 +143,22 @@ least as (select x as doc_id, min(y) as component_id from reach group by x)
 select doc_id, n as n_shingles, component_id, doc_id = component_id as kept from least join sizes using (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op2_minhash_near_dedup": _NEAR, "op9_chat_formatting": _CHAT, "chat_call_order": _ORDER}
+#: Assignment to centroids c{k}, and the centroids that follow from it.
+_ASSIGNED = """
+a{k} as materialized (select r, any_value(vec_id) as vec_id, any_value(v) as v, min({{'d': d, 'c': c}}) as b from (select r, vec_id, v, c, list_sum(list_transform(range(1, 65), lambda i: (v[i] - m[i]) * (v[i] - m[i])))::bigint as d from kept, c{k}) group by r)"""
+_MOVED = """
+c{n} as materialized (select o.c, coalesce(n.m, o.m) as m from c{k} o left join (
+  select c, list(((s - ((s % n + n) % n)) // n)::bigint order by i) as m from (select b.c as c, i, sum(v[i]) as s, count(*) as n from a{k}, range(1, 65) t(i) group by 1, 2) group by c) n using (c))"""
+_LLOYD = (
+    """
+with kept as materialized (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+c0 as materialized (select row_number() over (order by sha256('1:' || vec_id), v) - 1 as c, v as m from kept order by c limit 16),"""
+    + ",".join(_ASSIGNED.format(k=k) + ("," + _MOVED.format(k=k, n=k + 1) if k < 3 else "") for k in range(4))
+    + """
+select vec_id, b.c::int as cluster, b.d as distance, (sum(b.d) over (partition by b.c))::bigint as cluster_inertia, (sum(b.d) over ())::bigint as inertia, sha256(array_to_string(m, ',')) as centroid_sha256
+from a3 join c3 on c3.c = b.c
+"""
+)
+
+ORACLE: dict[str, str] = {"op2_minhash_near_dedup": _NEAR, "op11_centroid_clustering": _LLOYD, "op9_chat_formatting": _CHAT, "chat_call_order": _ORDER}
