@@ -2,10 +2,10 @@
 
 Where no piece holds a white-space marker behind another character, segmentation never
 crosses the start of a marked word (a run of markers and the characters up to the next
-run).  So a corpus is coded first: blocks of documents as codes of their distinct words.
-The words of all blocks are dealt by a hash, each distinct one is segmented in the one task
-that it is dealt to, and the ids come back to the block, where codes join them by position.
-A very common word is one row a block, however often it stands there.
+run).  So the texts of a block become codes of their distinct words; those that the task's
+table doesn't hold yet are segmented and decoded in one call, and each document's codes
+join what the table says of its words, by position.  Nothing is shuffled: dealing the words
+of all blocks by a hash, to segment each once in the corpus, moves more bytes than it saves.
 """
 
 from __future__ import annotations
@@ -16,16 +16,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import kernels as K
-from .spark_tools import saved, ship
+from .spark_tools import ship
 
-#: Bytes of text of a block, and words that a task keeps while it segments.
-BLOCK, HELD = 16 << 20, 1 << 20
-CODED = "block long, shard int, words binary, doc_id long, codes binary"
+#: Bytes of text of a block, and words beyond which a task begins its table anew.
+BLOCK, HELD = 16 << 20, 1 << 19
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 SPACE, MARK = b" ", "▁".encode()
 
@@ -103,82 +100,31 @@ class Pieces:
         return gather(flat, (np.cumsum(size) - size)[codes], each), np.concatenate([[0], np.cumsum(each)])[at]
 
 
-def _code(model, shards: int):
+def _digests(model):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model.value)
-        block = TaskContext.get().partitionId() << 32
+        known: dict[bytes, tuple[int, bytes, bytes]] = {}  # of a word: ids, written in decimal, decoded
         for batch in K.slices(batches, "text", BLOCK):
             words, codes, at = pieces.coded(*K.texts_of(spaced(batch.column("text"))))
-            buf, off = K.texts_of(words)
-            h = (K.Hashes(buf).of(off[:-1], off[1:]) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(h, kind="stable")
-            place = np.empty(order.size, np.int32)
-            place[order] = np.arange(order.size, dtype=np.int32)
-            raw = memoryview(place[codes]).cast("B")
-            own = [bytes(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), batch.column("doc_id"), pa.array(own, pa.binary())], ["block", "shard", "words", "doc_id", "codes"])
-            present, first = np.unique(h[order], return_index=True)
-            last = np.append(first[1:], order.size)
-            dealt = words.take(pa.array(order)).to_pylist()
-            lists = [packed(dealt[a:b]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-            n = present.size
-            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(present.astype(np.int32)), pa.array(lists, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], ["block", "shard", "words", "doc_id", "codes"])
-            block += 1
-
-    return go
-
-
-def packed(words: list[bytes]) -> bytes:
-    """The number of words, their sizes and their bytes."""
-    return np.array([len(words), *map(len, words)], "<u4").tobytes() + b"".join(words)
-
-
-def unpacked(raw: bytes) -> list[bytes]:
-    n = int(np.frombuffer(raw, "<u4", 1)[0])
-    off = np.cumsum(np.append(4 * n + 4, np.frombuffer(raw, "<u4", n, 4).astype(np.int64)))
-    return [raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-
-
-def _segment(model):
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model.value)
-        kind = np.dtype("<u2" if pieces.sizes.size <= 1 << 16 else "<i4")
-        known: dict[bytes, bytes] = {}
-        for batch in batches:
-            lists = [unpacked(w) for w in batch.column("words").to_pylist()]
+            words = words.to_pylist()
             if len(known) > HELD:
-                known = {}
-            new = list({w for ws in lists for w in ws if w not in known})
-            known |= {w: np.array(x, kind).tobytes() for w, x in zip(new, pieces.segment(new), strict=True)}
-            ids = [packed([known[w] for w in ws]) for ws in lists]
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("shard"), pa.array(ids, pa.binary())], ["block", "shard", "ids"])
-
-    return go
-
-
-def _joined(model):
-    held: dict[str, Pieces] = {}
-
-    def go(docs: pa.Table, words: pa.Table) -> pa.Table:
-        if "p" not in held:
-            held["p"] = Pieces(model.value)
-        pieces = held["p"]
-        kind = np.dtype("<u2" if pieces.sizes.size <= 1 << 16 else "<i4")
-        rows = sorted(zip(words.column("shard").to_pylist(), words.column("ids").to_pylist(), strict=True))
-        by_code = [np.frombuffer(x, kind).tolist() for _, raw in rows for x in unpacked(raw)]
-        sizes = np.fromiter(map(len, by_code), np.int64, len(by_code))
-        decimal = [",".join(map(str, x)).encode() for x in by_code]
-        # the model takes away the marker that each word begins with
-        shown = [t.encode() for t in pieces.sp.decode(by_code)] if by_code else []
-        n, ids, decoded = [], [], []
-        for raw in docs.column("codes").to_pylist():
-            codes = np.frombuffer(raw, "<i4")
-            at = codes.tolist()
-            n.append(int(sizes[codes].sum()))
-            ids.append(hashlib.sha256(b",".join([decimal[c] for c in at])).hexdigest())
-            decoded.append(hashlib.sha256(b" ".join([shown[c] for c in at])).hexdigest())
-        return pa.table([docs.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                known.clear()
+            new = [w for w in words if w not in known]
+            ids = pieces.segment(new)
+            for w, x, t in zip(new, ids, pieces.sp.decode(ids) if ids else [], strict=True):
+                known[w] = (len(x), ",".join(map(str, x)).encode(), t.encode())
+            rows = [known[w] for w in words]
+            size = np.array([r[0] for r in rows] or [0], np.int64)
+            decimal, shown = [r[1] for r in rows], [r[2] for r in rows]
+            n, written, decoded = [], [], []
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                own = codes[a:b]
+                n.append(int(size[own].sum()) if b > a else 0)
+                own = own.tolist()
+                written.append(hashlib.sha256(b",".join([decimal[c] for c in own])).hexdigest())
+                # the model takes away the marker that each word begins with
+                decoded.append(hashlib.sha256(b" ".join([shown[c] for c in own])).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(written, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return go
 
@@ -191,15 +137,10 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     an empty table gives an empty one; columns other than doc_id and text are ignored.
     A model with other rules (pieces across markers, another normaliser, symbols of its
     own) has each distinct text segmented whole.  A task holds a block of 16 MB of text, or
-    one document.
+    one document, and its table of words.
     """
     spark = docs.sparkSession
     ship(spark)
     with open(model_path, "rb") as f:
         model = spark.sparkContext.broadcast(f.read())  # one file of a fixed vocabulary
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    coded = saved(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_code(model, shards), CODED), "coded")
-    words = coded.where("shard is not null").select("block", "shard", "words").repartition(shards, "shard")
-    ids = words.mapInArrow(_segment(model), "block long, shard int, ids binary")
-    own = coded.where("shard is null").select("block", "doc_id", "codes")
-    return own.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_joined(model), SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_digests(model), SCHEMA)
