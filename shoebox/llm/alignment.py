@@ -25,6 +25,8 @@ from .spark_tools import saved, ship
 
 #: Rows of pairs that are sent to every task at most; beyond it the counts are joined by a shuffle.
 BROADCAST_ROWS = 4 << 20
+#: Bytes of text aligned at once; the written groups and their places take some hundred times as much.
+SLICE = 1 << 20
 LOW = (1 << 32) - 1
 ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pair array<long>, n array<long>"
 
@@ -124,7 +126,8 @@ def _align(vocabulary, model) -> Callable:
         row = TaskContext.get().partitionId() << 40
         for f in frames:
             batch = pa.RecordBatch.from_arrays([pa.array(f["doc_id"], pa.int64(), from_pandas=True), pa.array(f["text"], pa.large_string(), from_pandas=True)], ["doc_id", "text"])
-            for part in K.slices([batch]):
+            del f
+            for part in K.slices([batch], limit=SLICE):
                 n_a, n_b, groups, digests, pair, times, per = aligned(*K.texts_of(spaced(part.column("text"))), bpe, pieces, a, b, text)
                 cut = list(zip(per[:-1].tolist(), per[1:].tolist(), strict=True))
                 yield pd.DataFrame({"row": row + np.arange(part.num_rows), "doc_id": part.column("doc_id").to_pandas(integer_object_nulls=True), "n_a": n_a, "n_b": n_b, "n_groups": groups, "n_links": groups, "groups_sha256": digests, "pair": [pair[x:y] for x, y in cut], "n": [times[x:y] for x, y in cut]})
