@@ -65,11 +65,12 @@ def upsert_status(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -
     return a.join(b, key, "full").select(key, status.alias("status"))
 
 
-def upsert_assets(old: DataFrame, new: DataFrame, now) -> DataFrame:
+def upsert_assets(old: DataFrame, new: DataFrame, now, status: str | None = None) -> DataFrame:
     """Current assets after a batch of derived ones; `new` has id, fingerprint, zone, deleted and data columns.
 
     An unchanged asset only gets a new last_seen; one that came back unchanged stays
-    missing.  first_seen stays; a null zone keeps the old one.
+    missing.  first_seen stays; a null zone keeps the old one.  The column `status`, if
+    named, says new, changed or same, and is null for an asset that isn't among the new ones.
     """
     data = [c for c in new.columns if c not in ("id", "zone", "deleted")]
     o, n = old.alias("o"), new.alias("n")
@@ -86,6 +87,8 @@ def upsert_assets(old: DataFrame, new: DataFrame, now) -> DataFrame:
         F.when(here, now).otherwise(F.col("o.last_seen")).alias("last_seen"),
         F.when(~take, F.col("o.missing_since")).when(F.col("n.deleted"), F.coalesce("o.missing_since", now)).alias("missing_since"),
     ]
+    if status:
+        cols.append(F.when(here & ~there, "new").when(take, "changed").when(here, "same").alias(status))
     return both.select(*cols)
 
 
@@ -203,9 +206,19 @@ def mark_missing(assets: DataFrame, folded: DataFrame, now) -> DataFrame:
     return d.withColumn("missing_since", F.when(F.col("__gone"), F.coalesce("missing_since", F.lit(now).cast("timestamp"))).otherwise(F.col("missing_since"))).drop("__gone")
 
 
-def sync_assets(old: DataFrame, folded: DataFrame, now) -> DataFrame:
+def touched(folded: DataFrame, names: DataFrame) -> DataFrame:
+    """The folded records that a run's names concern: those of the names, the assets of a named master, and the masters of all these."""
+    own = folded.join(names.select("name").distinct(), "name", "left_semi")
+    masters = own.where("type = 'CPLMaster'").select(F.col("name").alias("master_ref"))
+    more = folded.where("type = 'CPLAsset'").join(masters, "master_ref", "left_semi")
+    assets = own.where("type = 'CPLAsset'").unionByName(more).dropDuplicates(["name"])
+    rest = folded.where("type = 'CPLMaster'").join(assets.select(F.col("master_ref").alias("name")).distinct(), "name", "left_semi")
+    return assets.unionByName(rest).unionByName(own.where("type is null or type not in ('CPLAsset', 'CPLMaster')"))
+
+
+def sync_assets(old: DataFrame, folded: DataFrame, now, status: str | None = None) -> DataFrame:
     """Current assets after a run: payloads of live pairs merged into the old rows, tombstones marked."""
     new = derived_assets(pair(folded))
     data = [c for c in new.columns if c not in ("deleted", "zone")]
     old = old.select(*data, *(c for c in ("zone", "first_seen", "last_seen", "missing_since")))
-    return mark_missing(upsert_assets(old, new, now), folded, now)
+    return mark_missing(upsert_assets(old, new, now, status), folded, now)

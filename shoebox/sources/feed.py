@@ -1,9 +1,17 @@
 """A paged change feed as a streaming source.
 
-A feed is anything with `zones()`, own zone first, and `pages(zone, token)`, which yields
-(records, token); the option `feed` names its class as module:Class, which is given the
-options.  The stream's offset holds a token by zone, so a restart resumes each zone where
-its last committed batch ended, and the errors of zones that didn't answer.
+A feed is anything with `zones()`, own zone first, `ends(zone, token)`, which yields the
+token behind each page that follows, and `pages(zone, token)`, which yields (records,
+token); the option `feed` names its class as module:Class, which is given the options.
+
+The driver asks for tokens alone.  A micro-batch has a range of pages of each zone, ranges
+are dealt to input partitions, and executors read the pages.  The stream's offset holds a
+token and a number of pages by zone, so a restart resumes each zone where its last
+committed batch ended, and the errors of zones that gave no token.  A record's position
+`seq` follows from the numbers of pages alone: the same range gives the same positions.
+
+A shared zone whose pages can't be read leaves a row of type `zone_error` with the range,
+which `again` reads later at the positions that it had.
 """
 
 from __future__ import annotations
@@ -12,33 +20,51 @@ import json
 import os
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import asdict, dataclass
 from datetime import datetime, timezone
 from importlib import import_module
+from itertools import islice
 from typing import Protocol, TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "name string, type string, deleted boolean, modified timestamp, master_ref string, json string, zone string, seq bigint"
 #: The own zone, and how names of shared ones begin.
 OWN, SHARED = "PrimarySync", "SharedSync"
+#: Type of the row that stands for pages that couldn't be read.
+ERROR = "zone_error"
+#: A page has at most 2**PAGE_BITS records.
+PAGE_BITS = 24
+#: Seconds before each new attempt.
+DELAYS = (2.0, 5.0, 15.0, 45.0, 120.0)
 T = TypeVar("T")
 
 
+class FeedError(Exception):
+    """The feed's service answered with something that can't be used, or no longer answers."""
+
+
 class Feed(Protocol):
     def zones(self) -> list[str]: ...
 
+    def ends(self, zone: str, token: str | None) -> Iterator[str]: ...
+
     def pages(self, zone: str, token: str | None) -> Iterator[tuple[list[dict], str]]: ...
 
 
-def retried(call: Callable[[], T], delays: tuple[float, ...] = (1, 3, 8), sleep: Callable[[float], None] = time.sleep) -> T:
-    """What the call gives; after an error it is made again behind each delay, and the last error is raised."""
-    for pause in delays:
+def retried(call: Callable[[], T], what: str, delays: tuple[float, ...] = DELAYS, sleep: Callable[[float], None] = time.sleep) -> T:
+    """What the call gives; after an error it is made again behind each delay, and then a FeedError says so. A FeedError is raised at once."""
+    for pause in (*delays, None):
         try:
             return call()
-        except Exception:  # whatever a remote service throws
+        except FeedError:
+            raise
+        except Exception as e:  # whatever a remote service throws
+            if pause is None:
+                raise FeedError(f"{what}: no answer in {len(delays) + 1} attempts: {e}") from e
             sleep(pause)
-    return call()
+    raise AssertionError
 
 
 def migrate_tokens(cursors: dict[str, str] | None, cursor: str | None, zones: list[str]) -> dict[str, str]:
@@ -58,6 +84,12 @@ class JsonFeed:
         names = [n for n in os.listdir(self.root) if os.path.isdir(f"{self.root}/{n}")]
         return sorted(names, key=lambda z: (z != OWN, z))
 
+    def ends(self, zone: str, token: str | None) -> Iterator[str]:
+        at = int(token or 0)
+        while os.path.exists(f"{self.root}/{zone}/{at}.json"):
+            at += 1
+            yield str(at)
+
     def pages(self, zone: str, token: str | None) -> Iterator[tuple[list[dict], str]]:
         at = int(token or 0)
         while os.path.exists(p := f"{self.root}/{zone}/{at}.json"):
@@ -106,58 +138,142 @@ def master_of(record: dict) -> str | None:
     return ref.get("recordName") if isinstance(ref, dict) else None
 
 
-class _Reader(SimpleDataSourceStreamReader):
+@dataclass
+class Pages(InputPartition):
+    """`count` pages of a zone behind a token, the first of which is the feed's page number `first`."""
+
+    zone: str
+    token: str | None
+    count: int
+    first: int
+
+
+def _in_order(zones) -> list[str]:
+    return sorted(zones, key=lambda z: (z.startswith(SHARED), z != OWN, z))
+
+
+class _Access:
+    """A feed with the settings that all readers share: delays, and pages a partition."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.options = options
+        self.delays = tuple(float(x) for x in options.get("delays", ",".join(map(str, DELAYS))).split(",") if x)
+        self.each = int(options.get("pages_per_partition", "16"))
+
+    @property
+    def feed(self) -> Feed:
+        if "_feed" not in self.__dict__:
+            self._feed = opened(self.options)
+        return self._feed
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_feed"}  # executors open their own
+
+    def ends(self, zone: str, token: str | None, most: int) -> list[str]:
+        return retried(lambda: list(islice(self.feed.ends(zone, token), most)), f"tokens of {zone}", self.delays)
+
+    def dealt(self, pages: Pages, end: str | None = None) -> list[Pages]:
+        """The same pages as partitions of `each` at most."""
+        ends = self.ends(pages.zone, pages.token, pages.count)
+        if len(ends) < pages.count or end is not None and ends[-1] != end:
+            raise ValueError(f"zone {pages.zone} no longer has the pages up to {end or pages.count}")
+        return [Pages(pages.zone, ends[k - 1] if k else pages.token, min(self.each, pages.count - k), pages.first + k) for k in range(0, pages.count, self.each)]
+
+    def rows(self, pages: Pages) -> Iterator[tuple]:
+        """The records of the pages with their positions; of a shared zone that fails a row that says what is left."""
+        source, token = self.feed.pages(pages.zone, pages.token), pages.token
+        for k in range(pages.count):
+
+            def one():
+                nonlocal source
+                try:
+                    return next(source, None)
+                except Exception:
+                    source = self.feed.pages(pages.zone, token)  # a generator ends with its error
+                    raise
+
+            at = pages.first + k << PAGE_BITS
+            try:
+                page = retried(one, f"pages of {pages.zone}", self.delays)
+                if page is None:
+                    raise FeedError(f"zone {pages.zone} ends before page {pages.first + k}")
+                if len(page[0]) >> PAGE_BITS:
+                    raise FeedError(f"a page of {len(page[0])} records")
+                rows = [_row(r, pages.zone, at + n) for n, r in enumerate(page[0])]
+            except Exception as e:
+                if not pages.zone.startswith(SHARED):
+                    raise
+                left = Pages(pages.zone, token, pages.count - k, pages.first + k)
+                yield (None, ERROR, False, None, None, json.dumps(asdict(left) | {"error": str(e)[:200]}), pages.zone, at)
+                return
+            yield from rows
+            token = page[1]
+
+
+def _row(r: dict, zone: str, seq: int) -> tuple:
+    fields = r.get("fields")
+    return (r["name"], r.get("type"), bool(r.get("deleted")), moment(r.get("modified")), master_of(r), None if fields is None else json.dumps(fields), zone, seq)
+
+
+class _StreamReader(DataSourceStreamReader):
+    """`at` is how far batches were planned: the engine plans the last batch first when a query restarts."""
+
     def __init__(self, options: dict[str, str]) -> None:
-        self.feed = opened(options)
+        self.access = _Access(options)
         self.start = json.loads(options.get("tokens", "{}"))
         self.shared = options.get("shared", "true").lower() == "true"
+        self.most = int(options.get("pages_per_batch", "4096"))
+        #: Pages of older state, which come before the first one; they stand under a zone without a name.
+        self.before = {"": int(options["first"])} if int(options.get("first", "0")) else {}
+        self.at: dict | None = None
 
     def initialOffset(self) -> dict:
-        return {"tokens": self.start, "seq": 0, "errors": {}}
-
-    def _zones(self) -> list[str]:
-        return [z for z in self.feed.zones() if self.shared or not z.startswith(SHARED)]
-
-    def _page(self, zone: str, token: str | None, seq: int) -> tuple[list[tuple], str | None]:
-        page = next(self.feed.pages(zone, token), None)
-        if page is None:
-            return [], None
-        rows = []
-        for k, r in enumerate(page[0]):
-            fields = r.get("fields")
-            rows.append((r["name"], r.get("type"), bool(r.get("deleted")), moment(r.get("modified")), master_of(r), None if fields is None else json.dumps(fields), zone, seq + k))
-        return rows, page[1]
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        """One page of each zone; a zone that fails keeps its token and has its error in the offset, but the own one must answer."""
-        tokens, errors, rows = dict(start["tokens"]), {}, []
-        for k, zone in enumerate(self._zones()):
+        return {"tokens": self.start, "pages": self.before, "errors": {}}
+
+    def latestOffset(self) -> dict:
+        """The next pages of each zone, so many at most; a zone that fails keeps its token and has its error in the offset, but the own one must answer."""
+        self.at = self.at or self.initialOffset()
+        tokens, pages, errors = dict(self.at["tokens"]), dict(self.at["pages"]), {}
+        zones = retried(self.access.feed.zones, "zones", self.access.delays)
+        for k, zone in enumerate(z for z in zones if self.shared or not z.startswith(SHARED)):
             try:
-                more, token = self._page(zone, tokens.get(zone), start["seq"] + len(rows))
+                ends = self.access.ends(zone, tokens.get(zone), self.most)
             except Exception as e:
                 if k == 0:
                     raise
                 errors[zone] = str(e)[:200]
                 continue
-            if token is not None:
-                rows += more
-                tokens[zone] = token
-        return iter(rows), {"tokens": tokens, "seq": start["seq"] + len(rows), "errors": errors}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        """The same rows again: of each zone the pages up to its token in `end`, in rounds as they were read."""
-        at, rows = dict(start["tokens"]), []
-        left = [z for z in self._zones() if end["tokens"].get(z) != at.get(z)]
-        while left:
-            for zone in list(left):
-                more, token = self._page(zone, at.get(zone), start["seq"] + len(rows))
-                if token is None:
-                    raise ValueError(f"zone {zone} no longer has the pages up to {end['tokens'][zone]}")
-                rows += more
-                at[zone] = token
-                if token == end["tokens"][zone]:
-                    left.remove(zone)
-        return iter(rows)
+            if ends:
+                tokens[zone], pages[zone] = ends[-1], pages.get(zone, 0) + len(ends)
+        self.at = {"tokens": tokens, "pages": pages, "errors": errors}
+        return self.at
+
+    def partitions(self, start: dict, end: dict) -> list[Pages]:
+        self.at = self.at or end
+        number, out = sum(start["pages"].values()), []
+        for zone in _in_order(end["pages"]):
+            count = end["pages"][zone] - start["pages"].get(zone, 0)
+            if count:
+                out += self.access.dealt(Pages(zone, start["tokens"].get(zone), count, number), end["tokens"][zone])
+            number += count
+        return out
+
+    def read(self, partition: Pages) -> Iterator[tuple]:
+        return self.access.rows(partition)
+
+
+class _RangeReader(DataSourceReader):
+    """A batch of page ranges, which the option `ranges` lists."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.access = _Access(options)
+        self.ranges = [Pages(x["zone"], x["token"], x["count"], x["first"]) for x in json.loads(options["ranges"])]
+
+    def partitions(self) -> list[Pages]:
+        return [p for r in self.ranges for p in self.access.dealt(r)]
+
+    def read(self, partition: Pages) -> Iterator[tuple]:
+        return self.access.rows(partition)
 
 
 class ChangeFeed(DataSource):
@@ -170,5 +286,13 @@ class ChangeFeed(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return _Reader(dict(self.options))
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _StreamReader(dict(self.options))
+
+    def reader(self, schema) -> DataSourceReader:
+        return _RangeReader(dict(self.options))
+
+
+def again(spark: SparkSession, ranges: list[dict], options: dict[str, str]) -> DataFrame:
+    """The records of page ranges that failed before, at the positions that they had."""
+    return spark.read.format(ChangeFeed.name()).options(**options, ranges=json.dumps(ranges)).load()

@@ -3,6 +3,8 @@
 import datetime as dt
 import io
 import json
+import os
+import pickle
 import random
 
 import numpy as np
@@ -10,10 +12,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoebox.functions import scalars as S
-from shoebox.operators import index, layout, ranks, selection
+from shoebox.model import SCHEMAS
+from shoebox.operators import index, ingest, layout, ranks, selection
 from shoebox.operators.components import components, union_find
+from shoebox.sources import catalogue as state
 from shoebox.sources import feed, settings
-from shoebox.streaming import sync
+from shoebox.streaming import pairing, sync
 
 
 def write(zone, n, rows):
@@ -25,29 +29,94 @@ def record(name, **more):
     return {"name": name, "type": "CPLAsset", "modified": 1_500_000_000_000, "fields": {"fields": {"masterRef": {"value": {"recordName": "M" + name}}}}} | more
 
 
+def reader(folder, **options):
+    return feed._StreamReader({"path": str(folder), "delays": "", **options})
+
+
+def read(r, start, end):
+    return [x for p in r.partitions(start, end) for x in r.read(pickle.loads(pickle.dumps(p)))]
+
+
+class SilentFeed(feed.JsonFeed):
+    """A zone with a file `silent` gives no tokens."""
+
+    def ends(self, zone, token):
+        if os.path.exists(f"{self.root}/{zone}/silent"):
+            raise OSError("silent")
+        return super().ends(zone, token)
+
+    def pages(self, zone, token):
+        for p in super().pages(zone, token):
+            READ.append((zone, p[1]))
+            yield p
+
+
+READ = []
+SILENT = {"feed": f"{__name__}:SilentFeed"}
+
+
 def test_replay_ends_where_a_zone_failed_before(tmp_path):
     own, other = tmp_path / "PrimarySync", tmp_path / "SharedSync-1"
     write(own, 0, [record("a"), record("b")])
     write(own, 1, [record("c")])
-    write(other, 0, "broken")
-    r = feed._Reader({"path": str(tmp_path)})
+    write(other, 0, [record("x")])
+    (other / "silent").touch()
+    r = reader(tmp_path, pages_per_batch="1", **SILENT)
     start = r.initialOffset()
-    rows, end = r.read(start)
-    first = list(rows)
-    assert [x[0] for x in first] == ["a", "b"] and list(end["errors"]) == ["SharedSync-1"] and end["tokens"] == {"PrimarySync": "1"}
+    READ.clear()
+    end = r.latestOffset()
+    assert list(end["errors"]) == ["SharedSync-1"] and end["tokens"] == {"PrimarySync": "1"} and READ == []  # no page was read for an offset
+    first = read(r, start, end)
+    assert [(x[0], x[7]) for x in first] == [("a", 0), ("b", 1)]
     assert first[0][3] == dt.datetime(2017, 7, 14, 2, 40, tzinfo=dt.timezone.utc) and first[0][4] == "Ma"
-    write(other, 0, [record("x")])  # the zone answers now, but not in that batch
-    assert list(r.readBetweenOffsets(start, end)) == first
-    rows, last = r.read(end)
-    second = list(rows)
-    assert [(x[0], x[7]) for x in second] == [("c", 2), ("x", 3)] and last["errors"] == {}
-    assert list(r.readBetweenOffsets(end, last)) == second
-    assert [x[0] for x in r.readBetweenOffsets(start, last)] == ["a", "b", "x", "c"]
-    assert list(r.readBetweenOffsets(last, last)) == []
-    write(own, 2, "broken")
+    (other / "silent").unlink()  # the zone answers now, but not in that batch
+    assert read(r, start, end) == first
+    last = r.latestOffset()
+    second = read(r, end, last)
+    assert [(x[0], x[7]) for x in second] == [("c", 1 << 24), ("x", 2 << 24)] and last["errors"] == {}
+    again = reader(tmp_path, **SILENT)
+    assert again.partitions(end, last) == r.partitions(end, last) and again.latestOffset() == last  # a restart goes on behind the last batch
+    assert [x[0] for x in read(r, start, last)] == ["a", "b", "c", "x"]
+    assert read(r, last, last) == []
+    (own / "silent").touch()
+    with pytest.raises(feed.FeedError):
+        r.latestOffset()
+    r = reader(tmp_path, shared="false")
+    assert list(r.latestOffset()["tokens"]) == ["PrimarySync"]
+    (own / "1.json").unlink()
     with pytest.raises(ValueError):
-        r.read(last)
-    assert [z for z in feed._Reader({"path": str(tmp_path), "shared": "false"})._zones()] == ["PrimarySync"]
+        r.partitions(start, last)
+
+
+def test_pages_are_dealt_to_partitions(tmp_path):
+    for zone in ("PrimarySync", "SharedSync-1"):
+        for k in range(10):
+            write(tmp_path / zone, k, [record(f"{zone}{k}-{n}") for n in range(k % 3)])
+    r = reader(tmp_path, pages_per_partition="4", first="7")
+    start, end = r.initialOffset(), r.latestOffset()
+    parts = r.partitions(start, end)
+    assert [(p.token, p.count, p.first) for p in parts] == [(None, 4, 7), ("4", 4, 11), ("8", 2, 15), (None, 4, 17), ("4", 4, 21), ("8", 2, 25)]
+    rows = read(r, start, end)
+    assert len(rows) == 18 and [x[7] for x in rows] == sorted({x[7] for x in rows})
+
+
+def test_pages_of_a_shared_zone_that_fail_are_read_later(tmp_path):
+    own, other = tmp_path / "PrimarySync", tmp_path / "SharedSync-1"
+    write(own, 0, [record("a")])
+    for k in range(3):
+        write(other, k, [record(f"x{k}")])
+    write(other, 1, "broken")
+    r = reader(tmp_path)
+    rows = read(r, r.initialOffset(), r.latestOffset())
+    assert [(x[0], x[1]) for x in rows] == [("a", "CPLAsset"), ("x0", "CPLAsset"), (None, feed.ERROR)]
+    left = json.loads(rows[2][5])
+    assert (left["zone"], left["token"], left["count"], left["first"]) == ("SharedSync-1", "1", 2, 2) and left["error"]
+    write(other, 1, [record("x1")])
+    late = feed._RangeReader({"path": str(tmp_path), "ranges": json.dumps([left])})
+    assert [(x[0], x[7]) for p in late.partitions() for x in late.read(p)] == [("x1", 2 << 24), ("x2", 3 << 24)]
+    write(own, 0, "broken")
+    with pytest.raises(feed.FeedError):
+        read(reader(tmp_path), r.initialOffset(), reader(tmp_path).latestOffset())
 
 
 def test_stream_restarts_after_a_failing_zone(spark, tmp_path):
@@ -56,17 +125,105 @@ def test_stream_restarts_after_a_failing_zone(spark, tmp_path):
     write(other, 0, "broken")
     spark.dataSource.register(feed.ChangeFeed)
     log, check = str(tmp_path / "log"), str(tmp_path / "check")
-    go = lambda: sync.sync(spark.readStream.format("change_feed").load(str(tmp_path / "feed")), log, check)
+    go = lambda: sync.sync(spark.readStream.format("change_feed").option("delays", "").load(str(tmp_path / "feed")), log, check)
     go()
-    assert [r["name"] for r in sync.records(spark, log).collect()] == ["a"]
+    assert [r["name"] for r in sync.records(spark, log).where("name is not null").collect()] == ["a"]
     write(other, 0, [record("x")])
     write(own, 1, [record("a", deleted=True, type=None, fields=None)])
+    gaps = [json.loads(r["json"]) for r in sync.records(spark, log).where("name is null").collect()]
+    assert sync.fill(spark, log, gaps, {"path": str(tmp_path / "feed"), "delays": ""}, ["SharedSync-1"])["zone SharedSync-1"] == 1
     go()
     got = {r["name"]: (r["zone"], r["deleted"]) for r in sync.current(spark, log)[0].collect()}
     assert got == {"a": ("PrimarySync", True), "x": ("SharedSync-1", False)}
     assert sync.records(spark, log).where("modified is not null").count() == 3
 
 
+def pairs(k, when=0, **more):
+    """A master and its asset."""
+    a = record(f"a{k}", fields={"fields": {"masterRef": {"value": {"recordName": f"m{k}"}}, "isFavorite": {"value": when}}}, **more)
+    return [a, {"name": f"m{k}", "type": "CPLMaster", "fields": {"fields": {"resOriginalRes": {"value": {"size": 5}}}}}]
+
+
+def test_runs_say_what_they_did(spark, tmp_path):
+    own, other, root = tmp_path / "feed" / "PrimarySync", tmp_path / "feed" / "SharedSync-1", str(tmp_path / "root")
+    options = {"path": str(tmp_path / "feed"), "delays": ""}
+    value = lambda **f: {"fields": {k: {"value": v} for k, v in f.items()}}
+    write(own, 0, pairs(1) + pairs(2) + [{"name": "w", "type": "CPLMemory"}])
+    write(own, 1, pairs(3) + [{"name": "r", "type": "CPLContainerRelation", "fields": value(containerId="l", itemId="a1")}, {"name": "p", "type": "CPLPerson", "fields": value(personType=1)}, {"name": "c", "type": "CPLFaceCrop", "fields": value(type=1)}])
+    write(other, 0, "broken")
+    (tmp_path / "feed" / "albums.json").write_text(json.dumps([{"id": "l", "name": "Trip"}]))
+    short = lambda s: {k: v for k, v in s.items() if k not in ("started", "finished", "zones")}
+    s = sync.run(spark, options, root)
+    none = {"new": 0, "changed": 0, "same": 0, "missing": 0, "relations": 0, "people": 0, "face_crops": 0, "tombstones": 0, "resumed": False, "albums": 1}
+    assert short(s) == none | {"mode": "full", "pages": 2, "records": 10, "new": 3, "relations": 1, "people": 1, "face_crops": 1}
+    assert s["zones"]["PrimarySync"] == {"records": 10, "new": 3, "shared": False} and "error" in s["zones"]["SharedSync-1"]
+    assert s["started"] <= s["finished"] and len(s) == 16
+    write(other, 0, pairs(9))
+    s = sync.run(spark, options, root)  # the gap is read at last
+    assert short(s) == none | {"mode": "changes", "pages": 1, "records": 2, "new": 1} and s["zones"]["SharedSync-1"] == {"records": 2, "new": 1, "shared": True}
+    s = sync.run(spark, options, root)
+    assert short(s) == none | {"mode": "changes", "pages": 0, "records": 0}
+    write(own, 2, pairs(1, 1)[:1] + pairs(2)[:1] + [{"name": "a3", "type": None, "deleted": True}, {"name": "zz", "deleted": True}])
+    write(own, 3, pairs(4)[:1])  # waits for its master
+    s = sync.run(spark, options, root)
+    assert short(s) == none | {"mode": "changes", "pages": 2, "records": 5, "changed": 1, "same": 1, "missing": 1, "tombstones": 2}
+    write(own, 4, pairs(4)[1:])
+    state.set_meta(spark, root, 2**62, running="1")  # as a run that died leaves it
+    assert short(sync.run(spark, options, root)) == none | {"mode": "changes", "pages": 1, "records": 1, "new": 1, "resumed": True}
+    rows = {r["id"]: (r["favorite"], r["missing_since"] is not None, r["zone"]) for r in sync.assets(spark, root).collect()}
+    assert rows == {"a1": (True, False, "PrimarySync"), "a2": (False, False, "PrimarySync"), "a3": (False, True, "PrimarySync"), "a4": (False, False, "PrimarySync"), "a9": (False, False, "SharedSync-1")}
+    whole = {tuple(r) for r in sync.current(spark, f"{root}/log")[0].collect()}
+    assert {tuple(r) for r in sync.snapshot(spark, root).collect()} == whole
+    before = sync._manifest(spark, root)["buckets"]
+    assert len(set(before.values())) > 1 and sync.vacuum(spark, root)
+    assert {tuple(r) for r in sync.snapshot(spark, root).collect()} == whole
+
+
+def test_snapshots_read_only_buckets_of_new_records(spark, tmp_path):
+    rnd, root, log = random.Random(8), str(tmp_path), str(tmp_path / "log")
+    seq = 0
+    for batch in range(4):
+        rows = []
+        for _ in range(40 if batch == 0 else 3):
+            seq += 1
+            gone = rnd.random() < 0.3
+            rows.append((f"n{rnd.randrange(30)}", None if gone else "CPLAsset", gone, None, None if gone else f"m{rnd.randrange(3)}", None if gone else str(seq), "z", seq))
+        spark.createDataFrame(rows, SCHEMAS["records"]).write.parquet(f"{log}/batch={batch}")
+        was = sync._manifest(spark, root)["buckets"]
+        assert sync.refold(spark, root, log, buckets=16) is not None
+        now = sync._manifest(spark, root)["buckets"]
+        names = {r[0] for r in spark.createDataFrame(rows, SCHEMAS["records"]).select((F.pmod(F.xxhash64("name"), F.lit(16))).cast("string")).collect()}
+        assert {b for b in now if now[b] != was.get(b)} == names
+        assert {tuple(r) for r in sync.snapshot(spark, root).collect()} == {tuple(r) for r in sync.current(spark, log)[0].collect()}
+    assert sync.refold(spark, root, log) is None
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_stream_pairs_like_a_fold_of_the_log(spark, tmp_path, seed):
+    rnd, rows = random.Random(seed), []
+    for q in range(150):
+        k, kind = rnd.randrange(20), rnd.random()
+        if kind < 0.4:
+            rows.append((f"M{k % 8}", "CPLMaster", False, None, None, f"m{q}", "z", q))
+        elif kind < 0.6:
+            rows.append((rnd.choice([f"M{k % 8}", f"A{k}"]), None, True, None, None, None, None, q))
+        else:  # an asset may move to another master, or name none
+            rows.append((f"A{k}", "CPLAsset", False, None, rnd.choice([f"M{rnd.randrange(8)}", None]) if rnd.random() < 0.3 else f"M{k % 8}", f"a{q}", "z", q))
+    d = spark.createDataFrame(rows, SCHEMAS["records"])
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        cuts = [0, *sorted(rnd.sample(range(1, 150), 2)), 150]
+        for a, b in zip(cuts, cuts[1:]):
+            d.where(f"seq >= {a} and seq < {b}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            changes = pairing.paired(spark.readStream.schema(SCHEMAS["records"]).parquet(f"{tmp_path}/in"))
+            changes.writeStream.option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+            now = {tuple(r) for r in pairing.latest(spark.read.parquet(f"{tmp_path}/out")).select("name", "json", "master_id", "master_json").collect()}
+            want = {tuple(r) for r in ingest.pair(ingest.fold_records(d.where(f"seq < {b}"))).select("name", "json", "master_id", "master_json").collect()}
+            assert now == want and want
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
 def test_listings_and_retries(spark, tmp_path):
     for z in ("SharedSync-1", "PrimarySync"):
         (tmp_path / z).mkdir()
@@ -83,9 +240,16 @@ def test_listings_and_retries(spark, tmp_path):
             raise OSError("later")
         return 7
 
-    assert feed.retried(call, (1, 3), slept.append) == 7 and slept == [1, 3]
-    with pytest.raises(ZeroDivisionError):
-        feed.retried(lambda: 1 / 0, (1,), slept.append)
+    assert feed.retried(call, "x", (1, 3), slept.append) == 7 and slept == [1, 3]
+    with pytest.raises(feed.FeedError, match="x: no answer in 2 attempts"):
+        feed.retried(lambda: 1 / 0, "x", (1,), slept.append)
+
+    def refused():
+        raise feed.FeedError("no")
+
+    with pytest.raises(feed.FeedError, match="^no$"):
+        feed.retried(refused, "x", (1,), slept.append)
+    assert slept == [1, 3, 1] and feed.DELAYS == (2, 5, 15, 45, 120)
 
 
 def test_settings(tmp_path, spark):
