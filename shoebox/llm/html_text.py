@@ -3,9 +3,10 @@
 Each block of the DOM, and each run of loose text between blocks, has its characters,
 tags, link characters and link tags.  Its composite density is characters per tag,
 adjusted by how much of it is links; a block's density sum adds the densities of what it
-holds.  The block with the largest sum holds the article; the least density on the path
-from the body to it is the threshold that other parts must reach to be text as well.
-Names only take out: elements that say what they are (nav, aside, footer, forms, adverts,
+holds.  The block with the largest sum holds the article's longest part; the blocks around
+it, as long as most of their text is prose, are the article, with all that they hold but
+menus.  The least density on the path from the body is the threshold that parts elsewhere
+must reach to be text as well.  Names only take out: elements that say what they are (nav, aside, footer, forms, adverts,
 notices, comments) have no part in the choice.
 """
 
@@ -44,16 +45,19 @@ ARTICLE_NOISE = frozenset("ad ads advert advertisement sponsored promo comment c
 
 #: Blocks of text, which are read with the part beside them.
 TEXT_BLOCKS = frozenset("p blockquote pre ul ol dl table figure figcaption details h1 h2 h3 h4 h5 h6 hgroup".split())
+LISTS = frozenset("ul ol dl table".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total", "heading", "header", "blocky", "scope")
+    __slots__ = ("tag", "parent", "items", "noise", "chars", "tags", "link_chars", "link_tags", "text", "links", "density", "total", "heading", "header", "blocky", "scope")
 
     def __init__(self, tag: str, parent: Node | None, noise: bool) -> None:
         self.tag, self.parent, self.noise = tag, parent, noise
         self.items: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
+        #: Characters, and those in links, without what is left out by name.
+        self.text = self.links = 0
         self.density = self.total = 0.0
         self.heading = self.header = False
         self.blocky = tag in BLOCK
@@ -229,6 +233,10 @@ def measure(root: Node) -> tuple[list[Node], set[int]]:
         if x.parent is not None and id(x.parent) in skipped or x.noise or _header(x) or x.tag in RAW:
             skipped.add(id(x))
         x.density = _density(x.chars, x.tags, x.link_chars, x.link_tags, root)
+    for x in reversed(nodes):
+        if id(x) not in skipped:
+            x.text = sum((len(c) if not c.isspace() else 0) if isinstance(c, str) else c.text for c in x.items)
+            x.links = x.text if x.tag == "a" else sum(c.links for c in x.items if not isinstance(c, str))
     for x in nodes:
         if x.blocky and id(x) not in skipped:
             x.total = sum(c.density for c in parts(x, root, skipped))
@@ -261,11 +269,48 @@ def main_text(text: str | None) -> str:
         if x.density and (x is not root or x is body):
             threshold = min(threshold, x.density)
         x = x.parent
+    top = _around(best, body, skipped)
     # tiny parts may all stay below the threshold
-    kept = _dense(root, best, body, path, threshold, skipped) or [best]
+    kept = _dense(root, top, body, path, threshold, skipped) or [top]
     return "\n".join(line for x in kept for line in blocks(x, skipped))
 
 
+def _listed(x: Node, skipped: set[int]) -> bool:
+    """Whether what is linked in a block stands in lists or tables, as sources do and teasers don't."""
+    stack = [x]
+    while stack:
+        y = stack.pop()
+        if y.tag in LISTS or id(y) in skipped or not y.links:
+            continue
+        if y.tag == "a" or not y.blocky:
+            return False
+        stack.extend(c for c in y.items if not isinstance(c, str))
+    return True
+
+
+def _around(best: Node, body: Node, skipped: set[int]) -> Node:
+    """The outermost block around the best one, below the body, up to which text is mostly prose: the article with its short sections.
+
+    What is mostly links there goes (it is added to `skipped`) if it comes before any text,
+    as menus do, or isn't a list.
+    """
+    top = best
+    while top is not body and top.parent is not None and top.parent is not body and top.parent.parent is not None:
+        up = top.parent
+        if 2 * up.links > up.text:
+            break
+        begun = False
+        for c in up.items:
+            if isinstance(c, str) or id(c) in skipped or not c.text:
+                continue
+            if c is top or c.links <= 0.3 * c.text:
+                begun = True
+            elif c.blocky and not (begun and _listed(c, skipped)):
+                skipped.add(id(c))
+        top = up
+    return top
+
+
 def _plain(x: Node) -> bool:
     return x.link_chars <= 0.3 * x.chars
 
@@ -303,16 +348,9 @@ def _dense(root: Node, best: Node, body: Node, path: set[int], threshold: float,
     return out
 
 
-def _in_article(x: Node | None) -> bool:
-    while x is not None and x.tag not in ("article", "main"):
-        x = x.parent
-    return x is not None
-
-
 def blocks(top: Node, skipped: set[int]) -> list[str]:
     out: list[str] = []
     held: list[str] = []
-    within = _in_article(top)
 
     def close() -> None:
         line = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
@@ -333,10 +371,6 @@ def blocks(top: Node, skipped: set[int]) -> list[str]:
         elif x.tag == "br":
             held.append(" ")
         elif x.tag in BLOCK:
-            # outside of an article, lists of links are menus whatever they are called
-            if not within and x.tag in ("ul", "ol", "dl", "table") and x.link_chars > 0.6 * x.chars and x.link_tags > 2:
-                close()
-                continue
             close()
             stack.append(None)
             stack.extend(reversed(x.items))

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import json
+import random
 import time
 
 import pytest
@@ -80,6 +81,46 @@ def test_link_lists_inside_an_article_stay():
     assert html_text.main_text(page) == "\n".join(["text", *(f"source {k}" for k in range(5))])
 
 
+def nested(r, depth=0):
+    """A random part of an article, as markup and as its blocks; noise between the parts."""
+    words = lambda n: " ".join(r.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n)) + "."
+    markup, want = "", []
+    for _ in range(r.randrange(1, 5)):
+        kind = r.choice(["p", "p", "short", "h2", "list", "box", "box", "noise", "sources"])
+        if kind == "box" and depth < 4:
+            inner, more = nested(r, depth + 1)
+            tag = r.choice(["div", "section", "blockquote"])
+            markup, want = markup + f"<{tag}>{inner}</{tag}>", want + more
+        elif kind == "noise":
+            markup += r.choice(["<nav><a href=x>n</a></nav>", "<div class='ad-box'>buy buy</div>", "<script>var x='<p>no</p>'</script>", "<aside>side text</aside>", "<form><p>Name</p></form>", "<div id=share-bar>share</div>"])
+        elif kind == "list":
+            items = [words(3) for _ in range(3)]
+            markup, want = markup + "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>", want + items
+        elif kind == "sources" and want:  # behind text
+            items = [f"source {k}" for k in range(4)]
+            markup, want = markup + "<ul>" + "".join(f"<li><a href=x>{x}</a></li>" for x in items) + "</ul>", want + items
+        else:
+            tag, text = {"h2": ("h2", words(2))}.get(kind, ("p", words(3 if kind == "short" else 40)))
+            markup, want = markup + f"<{tag}>{text}</{tag}>", want + [text]
+    return markup, want
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div", "section"])
+def test_every_block_of_a_random_article_stays(tag):
+    r = random.Random(tag)
+    for _ in range(150):
+        inner, want = nested(r)
+        long = [" ".join(["long"] * 60) + str(k) for k in range(3)]
+        head, tail = "<h1>Title</h1>", "".join(f"<p>{x}</p>" for x in long)
+        menu = "<ul>" + "".join(f"<li><a href=x>page {k}</a></li>" for k in range(6)) + "</ul>"
+        article = f"<{tag}>{head}{inner}<section>{tail}</section></{tag}>" if r.random() < 0.5 else f"<{tag}>{head}<div>{tail}</div>{inner}</{tag}>"
+        want = ["Title", *want, *long] if article.endswith(f"</section></{tag}>") and f"</h1><div><p>{long[0]}" not in article else ["Title", *long, *want]
+        page = f"<body><div class=navbar>{menu}</div><div>{menu}</div>{article}<div>{menu}</div><div class=comments><p>reader {long[0]}</p></div><footer>foot</footer></body>"
+        assert html_text.main_text(page).split("\n") == want
+        wrapped = f"<body><div><div>{menu}</div><div>{article}</div></div></body>"
+        assert html_text.main_text(wrapped).split("\n") == want
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "x")], "page_id long, url string, html string, text string")
     rows = html_text.extract(pages).collect()
