@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ascii_lower, unit
 from ..session import ship
 from .components import components
-from .ranks import numbered
-from .vectors import capped, sim_edges
+from .ranks import numbered, numbered_within
+from .vectors import top_edges
 
 #: Bytes of seed vectors sent to every worker; more are scanned block by block.
 SEED_BYTES = 64 << 20
@@ -20,15 +20,17 @@ SEED_BYTES = 64 << 20
 def _match(ids: list, seeds: np.ndarray, people: list, threshold: float, schema: str):
     def go(batches):
         for x in batches:
-            v = x.column("embedding").to_pylist()
-            some = [k for k, e in enumerate(v) if e is not None]
-            best, who = [None] * len(v), [None] * len(v)
-            if some and len(ids):
-                scores = np.round(np.array([v[k] for k in some], np.float64) @ seeds.T, 6)
-                at = scores.argmax(axis=1)
-                for k, s, p in zip(some, scores[np.arange(len(some)), at].tolist(), at.tolist(), strict=True):
-                    best[k], who[k] = s, p
-            yield pa.RecordBatch.from_arrays([x.column("id"), pa.array([None if w is None else ids[w] for w in who], pa.string()), pa.array(best, pa.float64())], ["id", "seed", "similarity"])
+            v = x.column("embedding")
+            some = np.flatnonzero(v.is_valid().to_numpy(zero_copy_only=False)) if len(ids) else np.zeros(0, np.int64)
+            best, who = np.zeros(len(v)), np.zeros(len(v), np.int64)
+            if some.size:
+                scores = np.round(v.drop_null().flatten().to_numpy().reshape(some.size, -1) @ seeds.T, 6)
+                who[some] = scores.argmax(axis=1)
+                best[some] = scores[np.arange(some.size), who[some]]
+            none = np.ones(len(v), bool)
+            none[some] = False
+            seed = pa.array(ids, pa.string()).take(pa.array(who, mask=none)) if len(ids) else pa.nulls(len(v), pa.string())
+            yield pa.RecordBatch.from_arrays([x.column("id"), seed, pa.array(best, mask=none)], ["id", "seed", "similarity"])
 
     return go
 
@@ -111,11 +113,10 @@ def build(faces: DataFrame, threshold: float = 0.62, min_size: int = 2, top: int
     a vector, or with a zero one, and groups below min_size have no row.
     """
     v = faces.select(key, unit(F.col("embedding")).alias("embedding")).where("embedding is not null")
-    links = capped(sim_edges(v, threshold, key), top)
+    links = top_edges(v, threshold, key, top)
     labels = components(links.select(F.col("source").alias("a"), F.col("target").alias("b")))
     sizes = labels.groupBy("label").agg(F.count("*").alias("size"), F.min("node").alias("first")).where(F.col("size") >= min_size)
-    numbered = sizes.withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("size"), "first")).cast("long"))  # one row a group
-    return labels.join(numbered, "label").select(F.col("node").alias(key), "cluster", "size")
+    return labels.join(numbered(sizes, "cluster", F.desc("size"), F.asc("first")), "label").select(F.col("node").alias(key), "cluster", "size")
 
 
 def build_statistics(faces: DataFrame, clusters: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
@@ -162,13 +163,14 @@ def unname_group(faces: DataFrame, seeds: DataFrame, cluster: int) -> tuple[Data
 def stride(rows: DataFrame, n: int, *order, group: str | None = None) -> DataFrame:
     """Every step-th row in order, n at most, step = max(1, rows // n); with a group, of each group."""
     if group:
-        w = Window.partitionBy(group)
-        rows = rows.withColumn("__n", F.count("*").over(w)).withColumn("__at", F.row_number().over(w.orderBy(*order)).cast("long") - 1)
+        rows = numbered_within(rows, "__place", group, *(F.asc(o) if isinstance(o, str) else o for o in order)).withColumn("__place", F.col("__place") - 1)
+        sizes = rows.groupBy(F.col(group).alias("__group")).agg(F.count("*").alias("__n"))
+        rows = rows.join(sizes, F.col(group).eqNullSafe(F.col("__group"))).drop("__group")
     else:
         total = rows.agg(F.count("*").alias("__n"))
-        rows = numbered(rows, "__at", *(F.asc(o) if isinstance(o, str) else o for o in order)).withColumn("__at", F.col("__at") - 1).join(F.broadcast(total))  # one row
+        rows = numbered(rows, "__place", *(F.asc(o) if isinstance(o, str) else o for o in order)).withColumn("__place", F.col("__place") - 1).join(F.broadcast(total))  # one row
     rows = rows.withColumn("__step", F.greatest(F.lit(1).cast("long"), F.floor(F.col("__n") / n)))
-    return rows.where((F.col("__at") % F.col("__step") == 0) & (F.floor(F.col("__at") / F.col("__step")) < n)).drop("__step", "__at", "__n")
+    return rows.where((F.col("__place") % F.col("__step") == 0) & (F.floor(F.col("__place") / F.col("__step")) < n)).drop("__step", "__place", "__n")
 
 
 def unassigned(faces: DataFrame, assets: DataFrame, least: float, limit: int) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import unit
@@ -55,10 +55,51 @@ def todo(assets: DataFrame, source: str = "thumb") -> DataFrame:
 
 def laplacian(picture: np.ndarray) -> float:
     """Variance of the four-neighbour Laplacian of a grey picture, edges mirrored: small where it is out of focus."""
-    p = np.pad(picture.astype(float), 1, mode="reflect")
+    p = np.pad(picture.astype(float), 1, mode="reflect" if min(picture.shape) > 1 else "edge")
     return float((p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * p[1:-1, 1:-1]).var())
 
 
+#: The longer side that pictures are measured at.
+SIDE = 512
+
+
+def shrunk(picture: np.ndarray, side: int = SIDE) -> np.ndarray:
+    """A grey picture whose longer side is at most `side`, by linear interpolation between the centres of pixels."""
+    if max(picture.shape) <= side:
+        return picture.astype(float)
+    k, out = side / max(picture.shape), picture.astype(float)
+    for axis in (0, 1):
+        old = picture.shape[axis]
+        new = max(1, int(old * k))
+        at = np.clip((np.arange(new) + 0.5) * old / new - 0.5, 0, old - 1)
+        low = np.minimum(at.astype(int), max(old - 2, 0))
+        part = (at - low).reshape((-1, 1) if axis == 0 else (1, -1))
+        out = np.take(out, low, axis) * (1 - part) + np.take(out, np.minimum(low + 1, old - 1), axis) * part
+    return out
+
+
+def files(spark: SparkSession, path: str, most: int = 64 << 20, pattern: str | None = None) -> DataFrame:
+    """path, bytes, data of the picture files below a folder; a file over `most` bytes has null data, so none fills a task."""
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    d = (read.option("pathGlobFilter", pattern) if pattern else read).load(path)
+    small = d.where(F.col("length") <= most).select("path", F.col("length").alias("bytes"), F.col("content").alias("data"))
+    return small.unionByName(d.where(F.col("length") > most).select("path", F.col("length").alias("bytes"), F.lit(None).cast("binary").alias("data")))
+
+
+def sharpness(pictures: DataFrame, decode: Callable[[bytes], np.ndarray]) -> DataFrame:
+    """asset_id and sharpness of pictures (asset_id, data); null where there is no data or `decode`, which gives a grey picture, fails."""
+
+    def measure(data: list[bytes]) -> list[float]:
+        return [laplacian(shrunk(np.asarray(decode(d)))) for d in data]
+
+    return applied(pictures, measure, "double", "sharpness")
+
+
+def with_sharpness(assets: DataFrame, measured: DataFrame) -> DataFrame:
+    """Rows of the selection funnel (id and more) with what was measured; null where nothing was."""
+    return assets.drop("sharpness").join(measured.select(F.col("asset_id").alias("id"), "sharpness"), "id", "left")
+
+
 def run(pictures: DataFrame, tables: dict[str, DataFrame], embed: Embed, detect: Detect, clip_model: str, face_model: str, threshold: float, now, source: str = "thumb") -> dict[str, DataFrame]:
     """clip, faces and index_state after a pass over pictures (asset_id, data, version).
 

@@ -2,28 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .ranks import summed_before
+from .ranks import numbered_within, summed_before
+
+#: Parts of the time between the first and the last use, and rows of one that a task sorts.
+BUCKETS, LARGE = 4096, 1 << 20
 
 
 class CacheFull(Exception):
     """What would have to stay doesn't fit the budget."""
 
 
-def eviction_plan(cache: DataFrame, needed: int, budget: int, keep: tuple | None = None, used: str = "used", size: str = "bytes") -> DataFrame:
+def _place(cache: DataFrame, used: str) -> Column | None:
+    """The order's first column as a whole number, if it is a time or a number."""
+    kind = cache.schema[used].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return F.unix_micros(F.col(used).cast("timestamp"))
+    return F.col(used).cast("long") if isinstance(kind, T.IntegralType) else None
+
+
+def eviction_plan(cache: DataFrame, needed: int, budget: int, keep: tuple | None = None, used: str = "used", size: str = "bytes", large: int = LARGE) -> DataFrame:
     """Rows to evict, least recently used first, until `needed` more fit: those before which too much is still held.
 
-    Pinned rows and the entry being written are never evicted.  The running sum is over
-    whole numbers, range by range of the order.
+    freed_before is how much the rows before each free.  Pinned rows and the entry being
+    written are never evicted.  A histogram of the bytes over the time of use says up to
+    which bucket rows go; only these are sorted, each bucket on its own.  Buckets of more
+    than `large` rows, as of very many rows of one time, are sorted range by range.
     """
-    total = cache.agg(F.coalesce(F.sum(F.col(size).cast("long")), F.lit(0)).alias("__total"))
     free = cache.where(~F.col("pinned"))
     if keep:
         free = free.where(~((F.col("asset_id") == F.lit(keep[0])) & (F.col("version") == F.lit(keep[1]))))
-    before = summed_before(free, size, "freed_before", F.asc_nulls_first(used), F.asc("asset_id"), F.asc("version"))
-    return before.join(F.broadcast(total)).where(F.col("__total") - F.col("freed_before") + needed > budget).drop("__total")
+    order = (F.asc_nulls_first(used), F.asc("asset_id"), F.asc("version"))
+    amount, at = F.col(size).cast("long"), _place(cache, used)
+    held = cache.agg(F.coalesce(F.sum(amount), F.lit(0)).alias("total"), *([F.min(at).alias("lo"), F.max(at).alias("hi")] if at is not None else [])).first()
+    excess = held.total + needed - budget
+    if excess <= 0:
+        return free.limit(0).withColumn("freed_before", F.lit(0).cast("long"))
+    if at is None:
+        return summed_before(free, size, "freed_before", *order).where(F.col("freed_before") < excess)
+    width = ((held.hi or 0) - (held.lo or 0)) // BUCKETS + 1
+    free = free.withColumn("__bucket", F.coalesce(1 + F.floor((at - (held.lo or 0)) / width).cast("long"), F.lit(0).cast("long")))
+    shift, big, gone, in_big = [], [], 0, 0
+    for r in free.groupBy("__bucket").agg(F.coalesce(F.sum(amount), F.lit(0)).alias("own"), F.count("*").alias("n")).orderBy("__bucket").collect():  # at most BUCKETS + 2 rows
+        if gone >= excess:
+            break
+        # rows of large buckets are summed together, so what they hold themselves is taken off
+        shift.append((r["__bucket"], gone - (in_big if r.n > large else 0)))
+        if r.n > large:
+            big.append(r["__bucket"])
+            in_big += r.own
+        gone += r.own
+    some = free.join(F.broadcast(cache.sparkSession.createDataFrame(shift, "__bucket long, __over long")), "__bucket")
+    w = Window.partitionBy("__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = some.where(~F.col("__bucket").isin(big)).withColumn("freed_before", F.coalesce(F.sum(amount).over(w), F.lit(0).cast("long")))
+    if big:
+        rows = rows.unionByName(summed_before(some.where(F.col("__bucket").isin(big)), size, "freed_before", *order))
+    return rows.withColumn("freed_before", F.col("freed_before") + F.col("__over")).where(F.col("freed_before") < excess).drop("__bucket", "__over")
 
 
 def make_room(cache: DataFrame, needed: int, budget: int, keep: tuple | None = None) -> tuple[DataFrame, DataFrame, bool]:
@@ -53,6 +90,28 @@ def cache_pin(cache: DataFrame, asset, version=None, pinned: bool = True) -> Dat
     return cache.withColumn("pinned", F.when(own, F.lit(pinned)).otherwise(F.col("pinned")))
 
 
+def cached(cache: DataFrame, asset, version, files: DataFrame, now) -> tuple[DataFrame, DataFrame]:
+    """(the entry if its file is there, the cache after looking): an entry that is there has been used now, one whose file is gone goes. files: path."""
+    own = (F.col("asset_id") == F.lit(asset)) & (F.col("version") == F.lit(version))
+    dead = cache.where(own).join(files.select("path"), "path", "left_anti").select("path", F.lit(True).alias("__dead"))  # a row at most
+    left = cache.join(F.broadcast(dead), "path", "left").where(~own | F.col("__dead").isNull()).select(*cache.columns)
+    after = cache_touch(left, asset, version, now)
+    return after.where(own), after
+
+
+def peek(cache: DataFrame, asset, version, files: DataFrame) -> DataFrame:
+    """The entry if its file is there; the cache stays as it is."""
+    own = (F.col("asset_id") == F.lit(asset)) & (F.col("version") == F.lit(version))
+    return cache.where(own).join(files.select("path"), "path", "left_semi")
+
+
+def cache_rows(cache: DataFrame, asset=None, unpinned_only: bool = False, oldest_first: bool = False) -> DataFrame:
+    """Entries, of one asset if asked for, by asset and version or by the time of use."""
+    rows = cache if asset is None else cache.where(F.col("asset_id") == F.lit(asset))
+    rows = rows.where(~F.col("pinned")) if unpinned_only else rows
+    return rows.orderBy(*(["used"] if oldest_first else []), "asset_id", "version")
+
+
 def evict(cache: DataFrame, asset=None, version=None, include_pinned: bool = False) -> DataFrame:
     """What is left."""
     gone = F.lit(True)
@@ -143,6 +202,11 @@ def append(items: DataFrame, new: DataFrame, owner: str = "collection", item: st
     return items.unionByName(fresh.drop("n", "__last"), allowMissingColumns=True)
 
 
+def fill(items: DataFrame, new: DataFrame, value, replace: bool = False, owner: str = "collection") -> DataFrame:
+    """items with new ones of one owner behind its own, or instead of them."""
+    return append(items.where(F.col(owner) != F.lit(value)) if replace else items, new, owner)
+
+
 def remove(items: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return items.join(gone.select(*keys), keys, "left_anti")
 
@@ -154,7 +218,7 @@ def collection_items(items: DataFrame, assets: DataFrame, name: str) -> DataFram
 
 def renumber(pages: DataFrame, owner: str = "book", place: str = "position", ident: str = "id") -> DataFrame:
     """Places 1..n in each owner, in the old order."""
-    return pages.withColumn(place, F.row_number().over(Window.partitionBy(owner).orderBy(place, ident)).cast("long"))
+    return numbered_within(pages.withColumnRenamed(place, "__old"), place, owner, F.asc("__old"), F.asc(ident)).select(*pages.columns)
 
 
 def move(pages: DataFrame, owner_value, at: int, to: int, owner: str = "book", place: str = "position", ident: str = "id") -> DataFrame:

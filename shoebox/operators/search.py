@@ -29,8 +29,8 @@ class Filters:
     person: object = None
     people: tuple | None = None
     ids: tuple | None = None
-    include_missing: bool = True
-    include_hidden: bool = True
+    include_missing: bool = False
+    include_hidden: bool = False
 
 
 def membership(assets: DataFrame, members: DataFrame, key: str = "asset_id", id_: str = "id") -> DataFrame:
@@ -42,13 +42,14 @@ def apply_filters(assets: DataFrame, f: Filters, relations: dict[str, DataFrame]
     """The one place that builds predicates, so that search, count and dates agree.
 
     Row predicates come before the semi-joins, so they reach the scan.  A null filename
-    is neither a screenshot nor not one.
+    is neither a screenshot nor not one.  Missing and hidden assets are left out unless
+    they are asked for; a table without the column of either has none.
     """
     rel = relations or {}
     where = []
-    if not f.include_missing:
+    if not f.include_missing and "missing_since" in assets.columns:
         where.append(F.col("missing_since").isNull())
-    if not f.include_hidden:
+    if not f.include_hidden and "hidden" in assets.columns:
         where.append(~F.col("hidden"))
     if f.text is not None:
         where.append(contains_like(F.col("filename"), f.text) | contains_like(F.col("caption"), f.text))

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot, vector
-from ..session import ship
+from ..session import saved, ship
+from . import pivots
 
 #: Vectors of a block of the self-join; two blocks are in memory at once, 66 MB of 512 doubles, and the products of ROWS vectors with a block.
 BLOCK, ROWS = 8192, 512
+#: From so many vectors on, joins are pruned by pivots.
+PRUNED = 1 << 17
 
 
 def scored(vectors: DataFrame, query: list[float], embedding: str = "embedding") -> DataFrame:
@@ -52,49 +58,98 @@ def of(vectors: DataFrame, ident, key: str = "asset_id") -> DataFrame:
     return vectors.where(F.col(key) == F.lit(ident)).limit(1)
 
 
-def _matrix(t: pa.Table) -> np.ndarray:
-    v = t.column("v").combine_chunks()
-    return v.flatten().to_numpy().reshape(len(v), -1) if len(v) else np.zeros((0, 1))
+def _products(table: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, keys, scores) of the pairs of two blocks, or of one with itself, that reach the threshold, by some rows of the first at a time."""
+    first = table.filter(pa.compute.field("side") == 1)
+    second = table.filter(pa.compute.field("side") == 2)
+    if not second.num_rows:  # a block with itself
+        second = first
+    a, b = pivots.matrix(first.column("v")), pivots.matrix(second.column("v"))
+    p, q = first.column("key").to_numpy(), second.column("key").to_numpy()
+    for at in range(0, len(a) if len(b) else 0, ROWS):
+        scores = np.round(a[at : at + ROWS] @ b.T, 6)
+        i, j = np.nonzero(scores >= threshold)
+        keep = p[at + i] != q[j] if second is not first else p[at + i] < q[j]
+        i, j = i[keep], j[keep]
+        yield p[at + i], q[j], scores[i, j]
 
 
 def _pairs(threshold: float):
     def go(table: pa.Table) -> pa.Table:
-        first = table.filter(pa.compute.field("side") == 1)
-        second = table.filter(pa.compute.field("side") == 2)
-        if not second.num_rows:  # a block with itself
-            second = first
-        a, b = _matrix(first), _matrix(second)
-        p, q = first.column("key").to_numpy(), second.column("key").to_numpy()
-        found = []
-        for at in range(0, len(a) if len(b) else 0, ROWS):
-            scores = np.round(a[at : at + ROWS] @ b.T, 6)
-            i, j = np.nonzero(scores >= threshold)
-            keep = p[at + i] != q[j] if second is not first else p[at + i] < q[j]
-            i, j = i[keep], j[keep]
-            found.append((np.minimum(p[at + i], q[j]), np.maximum(p[at + i], q[j]), scores[i, j]))
+        found = [(np.minimum(p, q), np.maximum(p, q), s) for p, q, s in _products(table, threshold)]
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, t) for t in (np.int64, np.int64, float)]
         return pa.table(dict(zip(("a", "b", "score"), columns, strict=True)))
 
     return go
 
 
-def sim_edges(vectors: DataFrame, threshold: float, key: str, embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """(a, b, score), a < b: all pairs of unit vectors with a cosine of at least the threshold.
+def _best(source: np.ndarray, target: np.ndarray, score: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best `top` rows of each source, by score, then target."""
+    order = np.lexsort((target, -score, source))
+    source, target, score = source[order], target[order], score[order]
+    first = np.flatnonzero(np.concatenate([[True], source[1:] != source[:-1]])) if source.size else np.zeros(0, np.int64)
+    keep = np.arange(source.size) - np.repeat(first, np.diff(np.append(first, source.size))) < top
+    return source[keep], target[keep], score[keep]
+
 
-    Vectors are dealt to blocks by a hash, and a pair of blocks is multiplied in a task, so
-    memory is two blocks whatever the library.  A vector is copied once for each block, so
-    blocks are as large as memory lets them, but for a small library: it is dealt to about
-    as many pairs as there are cores.  Null vectors have no edges.  All vectors have one length.
+def _tops(threshold: float, top: int):
+    def go(table: pa.Table) -> pa.Table:
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for p, q, s in _products(table, threshold):
+            both = (np.concatenate([held[0], p, q]), np.concatenate([held[1], q, p]), np.concatenate([held[2], s, s]))
+            held = _best(*both, top)
+        return pa.table(dict(zip(("source", "target", "score"), held, strict=True)))
+
+    return go
+
+
+def _met(vectors: DataFrame, threshold: float, key: str, embedding: str, block: int, count: int | None) -> DataFrame | None:
+    """(key, v, i, j, side): the vectors of each pair of blocks that may hold a pair; None without vectors.
+
+    count: pivots of a pruned join; None chooses, 0 compares all blocks.
     """
     ship(vectors.sparkSession)
     v = vectors.where(F.col(embedding).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(embedding).cast("array<double>").alias("v"))
     total = v.count()
+    if count is None:
+        count = min(pivots.PIVOTS, total // block) if total >= PRUNED else 0
+    if count:
+        some = pivots.choose(v, count)
+        if not len(some):
+            return None
+        dealt, spans = pivots.blocks(vectors, key, embedding, some, block)
+        pairs = saved(pivots.admitted(spans, threshold), "admitted")
+        own = lambda side, number: pairs.select(F.col(side).alias("block"), "i", "j", F.lit(number).alias("side"))
+        return dealt.join(own("i", 1).unionByName(own("j", 2).where("i < j")), "block").select("key", "v", "i", "j", "side")
     cores = v.sparkSession.sparkContext.defaultParallelism
     n = max(-(-total // block), min(int((2 * cores) ** 0.5), -(-total // ROWS)), 1)
     v = v.withColumn("h", F.pmod(F.xxhash64("key"), F.lit(n)))
     meet = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda x: F.struct(F.least("h", x).alias("i"), F.greatest("h", x).alias("j"), F.when(F.col("h") <= x, 1).otherwise(2).alias("side")))
-    dealt = v.select("key", "v", F.explode(meet).alias("m")).select("key", "v", "m.*")
-    return dealt.groupBy("i", "j").applyInArrow(_pairs(threshold), "a long, b long, score double")
+    return v.select("key", "v", F.explode(meet).alias("m")).select("key", "v", "m.*")
+
+
+def sim_edges(vectors: DataFrame, threshold: float, key: str, embedding: str = "embedding", block: int = BLOCK, count: int | None = None) -> DataFrame:
+    """(a, b, score), a < b: all pairs of unit vectors with a cosine of at least the threshold.
+
+    Vectors are dealt to blocks, and a pair of blocks is multiplied in a task, so memory is
+    two blocks whatever the library.  A vector is copied once for each block that its own
+    one meets.  In a library of less than PRUNED vectors, blocks are dealt by a hash and all
+    meet, as large as memory lets them be; in a larger one, or if `count` pivots are asked
+    for, only those that the pivots don't rule out.  Null vectors have no edges.  All
+    vectors have one length.
+    """
+    met = _met(vectors, threshold, key, embedding, block, count)
+    if met is None:
+        return vectors.sparkSession.createDataFrame([], "a long, b long, score double")
+    return met.groupBy("i", "j").applyInArrow(_pairs(threshold), "a long, b long, score double")
+
+
+def top_edges(vectors: DataFrame, threshold: float, key: str, top: int = 24, embedding: str = "embedding", block: int = BLOCK, count: int | None = None) -> DataFrame:
+    """The rows of `capped(sim_edges(...), top)`: a pair of blocks gives each vector's best `top` alone, so rows don't grow with the square of a group of copies."""
+    met = _met(vectors, threshold, key, embedding, block, count)
+    if met is None:
+        return vectors.sparkSession.createDataFrame([], "source long, target long, score double, rn long")
+    return _ranked(met.groupBy("i", "j").applyInArrow(_tops(threshold, top), "source long, target long, score double"), top)
 
 
 def directed(edges: DataFrame) -> DataFrame:
@@ -102,9 +157,13 @@ def directed(edges: DataFrame) -> DataFrame:
     return edges.selectExpr("a source", "b target", "score").unionByName(edges.selectExpr("b source", "a target", "score"))
 
 
-def capped(edges: DataFrame, top: int = 24) -> DataFrame:
-    """The best `top` edges of each source with their rank; an edge may stay in one direction alone."""
+def _ranked(edges: DataFrame, top: int) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("source").orderBy(F.desc("score"), "target")
-    return directed(edges).withColumn("rn", F.row_number().over(w).cast("long")).where(F.col("rn") <= top)
+    return edges.withColumn("rn", F.row_number().over(w).cast("long")).where(F.col("rn") <= top)
+
+
+def capped(edges: DataFrame, top: int = 24) -> DataFrame:
+    """The best `top` edges of each source with their rank; an edge may stay in one direction alone."""
+    return _ranked(directed(edges), top)

@@ -466,12 +466,7 @@ def _pool(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("taken"), (F.col("event_type") == "click").alias("favorite"), F.col("value").alias("sharpness"))
     d = vecs(spark, sf).join(t, "id").withColumn("embedding", F.col("embedding").cast("array<double>"))
     d = d.withColumn("q", S.quality(F.col("sharpness"), F.col("favorite")))
-    return _ranked(d, F.desc("taken"), F.desc("id")).withColumnRenamed("rn", "pool_rn")
-
-
-@query(None)
-def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    return selection.collapse(_pool(spark, sf)).select("id", "pool_rn")
+    return ranks.numbered(d, "pool_rn", F.desc("taken"), F.desc("id"))
 
 
 _BASE = "(select vec_id as id, ts as taken, event_type = 'click' as favorite, embedding::double[] as e, 0.45 * (1 / (1 + exp(-(log10(greatest(value, 1.0)) - 2.08) * 3.2))) + 0.55 * (case when event_type = 'click' then 1.0 else 0.0 end) as q from embeddings join events on event_id = vec_id)"

@@ -34,7 +34,7 @@ _LIBRARY = f"(select id, taken, filename, bytes, owner, case when kind = 'F' the
 
 @query(f"select id, kind from {_LIBRARY} where not hidden and missing_since is null")
 def search_visible(spark: SparkSession, sf: str) -> DataFrame:
-    return search.apply_filters(_library(spark, sf), search.Filters(include_missing=False, include_hidden=False)).select("id", "kind")
+    return search.apply_filters(_library(spark, sf), search.Filters()).select("id", "kind")
 
 
 @query(f"select id, 'items' as how from {ASSETS} where id in (select l_orderkey from lineitem where l_partkey = 5) union all select id, 'person' from {ASSETS} where id in (select asset_id from {_FACES} where person_id = 3)")
@@ -260,7 +260,7 @@ def _log(spark: SparkSession, sf: str) -> DataFrame:
     key, none = F.col("o_orderkey"), F.lit(None).cast("string")
     name = lambda prefix, k: F.concat(F.lit(prefix), k.cast("string"))
     size = F.struct(F.floor("o_totalprice").cast("long").alias("size"))
-    master = payload(filenameEnc=b64(F.concat(F.lit("IMG_"), key.cast("string"))), itemType=F.when(F.col("o_orderstatus") == "F", "com.apple.quicktime-movie").otherwise("public.jpeg"), resOriginalRes=size, resOriginalWidth=F.lit(40), resOriginalHeight=F.lit(30))
+    master = payload(filenameEnc=b64(F.concat(F.lit("IMG_"), key.cast("string"))), itemType=F.when(F.col("o_orderstatus") == "F", "quicktime-movie").otherwise("public.jpeg"), resOriginalRes=size, resOriginalWidth=F.lit(40), resOriginalHeight=F.lit(30))
     asset = payload(isFavorite=(key % 3 == 0).cast("int"), isHidden=(key % 4 == 0).cast("int"), assetDate=F.unix_millis(F.col("o_orderdate").cast("timestamp")), captionEnc=b64("o_orderpriority"))
     rel = payload(containerId=F.col("o_custkey").cast("string"), itemId=name("A", key))
     person = payload(personFullNameEnc=b64("c_name"), verifiedType=(F.col("c_custkey") % 2).cast("int"), personType=F.lit(1))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_name
-from ..operators.ranks import numbered
+from ..operators.ranks import numbered, numbered_within
+from ..session import saved
 
 # File suffixes of raw pictures.
 RAW = "3fr arw cr2 cr3 crw dcr dng erf iiq kdc mdc mef mos mrw nef nrw orf pef raf raw rw2 rwl sr2 srf srw".split()
@@ -108,4 +111,91 @@ def covers(faces: DataFrame) -> DataFrame:
 def collection_rows(items: DataFrame, exported: DataFrame, now: int) -> DataFrame:
     """Items in order with added_at = now + place; items that weren't exported have no row."""
     d = items.join(exported.select(F.col("id").alias("asset_id")), "asset_id", "left_semi")
-    return d.withColumn("added_at", now + F.row_number().over(Window.partitionBy("collection").orderBy("position")).cast("long") - 1)
+    return numbered_within(d, "added_at", "collection", F.asc("position"), F.asc("asset_id")).withColumn("added_at", F.col("added_at") + now - 1)
+
+
+# --- the eight tables, with keys that last ------------------------------------------------
+
+
+def keyed(names: DataFrame, known: DataFrame) -> DataFrame:
+    """known (name, id) with the new ones of `names` numbered behind the largest id, by name; a name keeps its id when it goes and comes again."""
+    new = names.select("name").distinct().join(known, "name", "left_anti")
+    last = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__last"))
+    fresh = numbered(new, "id", F.asc("name")).join(F.broadcast(last)).select("name", (F.col("id") + F.col("__last")).alias("id"))  # one row
+    return saved(known.select("name", "id").unionByName(fresh), "keys")
+
+
+#: Tables of names and their ids that the next export needs.
+KEYS = ("folders", "files", "thumbs", "persons", "faces", "collections")
+
+
+def library(catalogue: dict[str, DataFrame], album: str, root: str, now: datetime, known: dict[str, DataFrame] | None = None, open_version: str = "original") -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """The eight tables of the other application's library, and the ids by name that the next export needs (`KEYS`).
+
+    `catalogue` has assets, cache, faces, people, index_state, collections and
+    collection_assets.  Ids of `known` stay, so a second export gives what has the same
+    name the same id; rows of what is gone are not among the tables, and so neither are
+    thumbs, faces and items that hang on them.  Folders are the album's, one a year and one
+    a month in UTC.
+    """
+    spark = catalogue["assets"].sparkSession
+    none = spark.createDataFrame([], "name string, id long")
+    known = {k: (known or {}).get(k, none) for k in KEYS}
+    ms = int(now.timestamp() * 1000)
+    of = lambda kind, name, id_: keys[kind].select(F.col("name").alias(name), F.col("id").alias(id_))
+    shown = files(catalogue["assets"], open_version, scanned=ms)
+    shown = shown.withColumn("path", F.concat(F.lit(f"{root}/"), F.col("folder"))).withColumn("__file", F.concat_ws("/", "path", "name"))
+    months = shown.select("path").distinct()
+    paths = months.unionByName(months.select(F.regexp_replace("path", "/[^/]*$", "").alias("path"))).unionByName(spark.createDataFrame([(root,)], "path string")).distinct()
+    keys = {"folders": keyed(paths.withColumnRenamed("path", "name"), known["folders"]), "files": keyed(shown.select(F.col("__file").alias("name")), known["files"])}
+    ided = shown.withColumnRenamed("id", "asset_id").join(of("files", "__file", "id"), "__file").join(of("folders", "path", "folder_id"), "path")
+    of_asset = ided.select("asset_id", F.col("id").alias("file_id"))
+    named = persons(catalogue["people"], catalogue["faces"], ided.select(F.col("asset_id").alias("id"))).select(F.col("person").alias("name"))
+    own_faces = catalogue["faces"].join(of_asset, "asset_id", "left_semi").join(catalogue["assets"].where("kind = 'image'").select(F.col("id").alias("asset_id")), "asset_id", "left_semi")
+    held = thumbs(ided.select(F.col("asset_id").alias("id"), "version"), catalogue["cache"], catalogue["assets"].select("id", "kind")).withColumnRenamed("id", "asset_id").join(of_asset, "asset_id")
+    keys |= {
+        "persons": keyed(named, known["persons"]), "faces": keyed(own_faces.select(F.col("id").cast("string").alias("name")), known["faces"]),
+        "thumbs": keyed(held.select(F.col("file_id").cast("string").alias("name")), known["thumbs"]), "collections": keyed(catalogue["collections"].select("name"), known["collections"]),
+    }
+    size = lambda version: F.col("versions")[version]
+    seen = F.coalesce(F.col("source"), F.lit("thumb"))
+    ratio = own_faces.select("id", "asset_id", "source").join(catalogue["assets"].select(F.col("id").alias("asset_id"), "versions"), "asset_id").join(ided.select("asset_id", "version"), "asset_id")
+    whole = lambda side: F.when((size(F.col("version"))["width"] > 0) & (size(F.col("version"))["height"] > 0) & (size(seen)["width"] > 0) & (size(seen)["height"] > 0), size(F.col("version"))[side] / size(seen)[side]).otherwise(1.0)
+    scale = ratio.select("id", whole("width").alias("sx"), whole("height").alias("sy"))
+    people = catalogue["people"].where("coalesce(name, '') <> ''").select(F.col("id").alias("person_id"), F.coalesce("display_name", "name").alias("person"))
+    box = lambda k, s: F.col("box")[k] * F.col(s)
+    bbox = F.to_json(F.struct(box(0, "sx").alias("x"), box(1, "sy").alias("y"), ((F.col("box")[2] - F.col("box")[0]) * F.col("sx")).alias("width"), ((F.col("box")[3] - F.col("box")[1]) * F.col("sy")).alias("height"), F.coalesce("det", F.lit(0.0)).alias("confidence")))
+    face = own_faces.withColumn("name", F.col("id").cast("string")).join(scale, "id").drop("id").join(keys["faces"], "name").join(of_asset, "asset_id").join(people, "person_id", "left").join(of("persons", "person", "__person"), "person", "left")
+    face = face.select("id", "file_id", bbox.alias("bbox"), "embedding", F.col("__person").alias("person_id"), F.lit(ms // 1000).alias("created_at"), "box", "sx", "sy")
+    area = (F.col("box")[2] - F.col("box")[0]) * F.col("sx") * (F.col("box")[3] - F.col("box")[1]) * F.col("sy")
+    cover = face.where("person_id is not null").groupBy("person_id").agg(F.max_by("id", F.struct(area.alias("a"), (-F.col("id")).alias("i"))).alias("cover_face_id")).withColumnRenamed("person_id", "id")
+    flags = has_faces(ided.select(F.col("asset_id").alias("id")), catalogue["index_state"], own_faces).withColumnRenamed("id", "asset_id")
+    source = catalogue["assets"].select(F.col("id").alias("asset_id"), F.col("caption").alias("comments"), F.col("width").alias("__w"), F.col("height").alias("__h"))
+    afiles = ided.join(flags, "asset_id").join(source, "asset_id").select(
+        "id", "folder_id", "name", F.coalesce("bytes", F.lit(0)).alias("size"), "file_type", "format_label", F.col("taken_at").alias("created_at"), F.col("taken_at").alias("modified_at"), F.col("taken_at").alias("taken_date"), F.col("__w").alias("width"), F.col("__h").alias("height"),
+        F.col("favorite").cast("int").alias("is_favorite"), "comments", F.col("latitude").alias("gps_latitude"), F.col("longitude").alias("gps_longitude"), "has_faces", F.col("scanned").alias("last_scan_time"), "asset_id",
+    )
+    part = F.regexp_extract("path", "[^/]*$", 0)
+    items = numbered_within(catalogue["collection_assets"].join(of_asset, "asset_id"), "__n", "collection", F.asc("position"), F.asc("asset_id"))
+    first = Window.partitionBy("collection_id", "file_id").orderBy("__n")  # repeats of one item
+    total = afiles.agg(F.count("*").alias("total"))
+    out = {
+        "albums": total.select(F.lit(1).cast("long").alias("id"), F.lit(album).alias("name"), F.lit(root).alias("path"), "total", F.lit(1).alias("indexed"), F.lit(ms).alias("last_scan_time"), F.lit(ms // 1000).alias("modified_at")),
+        "afolders": paths.join(of("folders", "path", "id"), "path").select("id", F.lit(1).cast("long").alias("album_id"), part.alias("name"), "path", (~F.col("path").rlike("/[0-9]{4}/[0-9]{2}$")).cast("int").alias("has_subfolders")),
+        "afiles": afiles, "athumbs": held.withColumn("name", F.col("file_id").cast("string")).join(keys["thumbs"], "name").select("id", "file_id", F.col("error").cast("int").alias("error_code"), F.col("path").alias("thumb_path"), F.lit(ms // 1000).alias("updated_at")),
+        "persons": named.join(keys["persons"], "name").join(cover, "id", "left").select("id", "name", "cover_face_id"), "faces": face.drop("box", "sx", "sy"),
+        "acollections": catalogue["collections"].join(keys["collections"], "name").select("id", "name", F.unix_timestamp("created").alias("created_at"), F.lit(ms // 1000).alias("updated_at")),
+        "acollections_files": items.join(of("collections", "collection", "collection_id"), "collection").withColumn("__k", F.row_number().over(first)).where("__k = 1").select("collection_id", "file_id", (F.lit(ms // 1000) + F.col("__n") - 1).alias("added_at")),
+    }
+    return out, keys
+
+
+def write_library(tables: dict[str, DataFrame], keys: dict[str, DataFrame], path: str) -> None:
+    """Write tables and keys below a folder of this export; `read_keys` gives the keys to the next one."""
+    for kind, own in (("tables", tables), ("keys", keys)):
+        for name, df in own.items():
+            df.write.mode("overwrite").parquet(f"{path}/{kind}/{name}")
+
+
+def read_keys(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    return {k: spark.read.schema("name string, id long").parquet(f"{path}/keys/{k}") for k in KEYS}

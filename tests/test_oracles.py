@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__
 from shoebox.plans import queries as catalogue
+from shoebox.plans import state, whole  # noqa: F401  add their queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
