@@ -31,7 +31,7 @@ def ids(df):
 
 def test_filters(spark):
     a = assets(spark)
-    f = lambda **k: ids(search.apply_filters(a, search.Filters(**k)))
+    f = lambda **k: ids(search.apply_filters(a, search.Filters(**{"include_missing": True, "include_hidden": True} | k)))
     assert f(text="BEACH") == ["A004"]
     assert f(text="über") == []  # only ASCII is folded
     assert f(text="ÜBER 1__%") == ["Z2"]  # wildcards are live
@@ -39,7 +39,8 @@ def test_filters(spark):
     assert f(located=True) == ["A005"]
     assert f(screenshots=True) == ["Z1"] and "Z2" not in f(screenshots=False)
     assert f(ids=()) == [] and f(ids=("Z1",)) == ["Z1"]
-    assert len(f(include_missing=False, include_hidden=False)) == 9
+    assert len(f()) == 10 and ids(search.apply_filters(a, search.Filters())) == f(include_missing=False, include_hidden=False) and len(f(include_missing=False, include_hidden=False)) == 9
+    assert len(ids(search.apply_filters(a.drop("hidden", "missing_since"), search.Filters()))) == 10
     since, until = (S.parse_date(x, e).replace(tzinfo=None) for x, e in (("2019-07-22", False), ("2019-07-23", True)))
     assert f(since=since, until=until) == ["A002", "A003"]
 
