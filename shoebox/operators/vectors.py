@@ -16,6 +16,8 @@ from . import pivots
 
 #: Vectors of a block of the self-join; two blocks are in memory at once, 66 MB of 512 doubles, and the products of ROWS vectors with a block.
 BLOCK, ROWS = 8192, 512
+#: Edges of a pair of blocks that are held before all but the best go.
+HELD = 1 << 21
 #: From so many vectors on, joins are pruned by pivots.
 PRUNED = 1 << 17
 
@@ -67,11 +69,11 @@ def _products(table: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, n
     a, b = pivots.matrix(first.column("v")), pivots.matrix(second.column("v"))
     p, q = first.column("key").to_numpy(), second.column("key").to_numpy()
     for at in range(0, len(a) if len(b) else 0, ROWS):
-        scores = np.round(a[at : at + ROWS] @ b.T, 6)
-        i, j = np.nonzero(scores >= threshold)
-        keep = p[at + i] != q[j] if second is not first else p[at + i] < q[j]
-        i, j = i[keep], j[keep]
-        yield p[at + i], q[j], scores[i, j]
+        scores = a[at : at + ROWS] @ b.T
+        i, j = np.nonzero(scores >= threshold - 1e-6)
+        score = np.round(scores[i, j], 6)
+        keep = (score >= threshold) & (p[at + i] != q[j] if second is not first else p[at + i] < q[j])
+        yield p[at + i[keep]], q[j[keep]], score[keep]
 
 
 def _pairs(threshold: float):
@@ -94,10 +96,14 @@ def _best(source: np.ndarray, target: np.ndarray, score: np.ndarray, top: int) -
 
 def _tops(threshold: float, top: int):
     def go(table: pa.Table) -> pa.Table:
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        size = 0
         for p, q, s in _products(table, threshold):
-            both = (np.concatenate([held[0], p, q]), np.concatenate([held[1], q, p]), np.concatenate([held[2], s, s]))
-            held = _best(*both, top)
+            held += [(p, q, s), (q, p, s)]
+            size += 2 * p.size
+            if size > HELD:  # what is below the best goes before too much is held
+                held, size = [_best(*map(np.concatenate, zip(*held, strict=True)), top)], 0
+        held = _best(*map(np.concatenate, zip(*held, strict=True)), top)
         return pa.table(dict(zip(("source", "target", "score"), held, strict=True)))
 
     return go
