@@ -10,7 +10,8 @@ each passage stays once, in its smallest document.  Of a passage of that many wo
 whole chunks the windows leave no chunk out.
 
 Digests meet in an aggregation that combines before the shuffle and in a join, which
-Spark can split where one passage is in very many documents.
+Spark can split where one passage is in very many documents.  A window is only taken for
+equal to that of the first document if a second hash of both, 128 bits in all, is equal too.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .spark_tools import ship
+from .minhash import id_filter, places
+from .spark_tools import saved, ship
 
 #: Chunks end after one white space in so many and, in words of more than LONG bytes, after one byte in so many.
 WORDS, BYTES, LONG = 5, 256, 64
@@ -93,18 +95,26 @@ def windows(buf: np.ndarray, off: np.ndarray, min_words: int) -> tuple[np.ndarra
     return s[first], e[last], doc[first]
 
 
-def _digests(min_words: int):
+def _digests(min_words: int, sent=None):
+    """(digest, check, doc_id) of windows, of those alone that a Bloom filter lets through if there is one."""
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(sent.value, np.uint8)).view(bool) if sent is not None else None
         for x in K.slices(batches):
             buf, off = K.texts_of(x.column("text"))
             s, e, doc = windows(buf, off, min_words)
             h = K.Hashes(buf).of(s, e)
+            if bits is not None:
+                one, two = places(K.signed(h), bits.size)
+                keep = bits[one] & bits[two]
+                s, e, doc, h = s[keep], e[keep], doc[keep], h[keep]
             # once per document is enough: repeats inside are found again when they are cut
             order = np.lexsort((h, doc))
             first = np.ones(h.size, bool)
             first[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
             pick = order[first]
-            yield pa.RecordBatch.from_arrays([pa.array(K.signed(h[pick])), x.column("doc_id").take(pa.array(doc[pick]))], ["digest", "doc_id"])
+            check = K.Hashes(buf, K.other_values()).of(s[pick], e[pick])
+            yield pa.RecordBatch.from_arrays([pa.array(K.signed(h[pick])), pa.array(K.signed(check)), x.column("doc_id").take(pa.array(doc[pick]))], ["digest", "check", "doc_id"])
 
     return go
 
@@ -118,6 +128,7 @@ def _spans(min_words: int):
         if not s.size:
             return []
         h = K.signed(K.Hashes(buf).of(s, e))
+        check = K.Hashes(buf, K.other_values()).of(s, e)
         start = word_starts(buf, off)
         starts = np.concatenate([[0], np.cumsum(start)])
         inside = K.word_table()[buf] & ~start
@@ -129,9 +140,9 @@ def _spans(min_words: int):
             if a == b:
                 continue
             own = h[a:b]
-            order = np.argsort(own, kind="stable")
+            order = np.lexsort((np.arange(b - a), check[a:b], own))
             again = np.zeros(b - a, bool)
-            again[order[1:]] = own[order[1:]] == own[order[:-1]]
+            again[order[1:]] = (own[order[1:]] == own[order[:-1]]) & (check[a:b][order[1:]] == check[a:b][order[:-1]])
             known = lists[d].as_py() or []
             source = dict.fromkeys(own[again].tolist(), ids[d])
             source |= {r["digest"]: r["first_doc_id"] for r in known}
@@ -197,12 +208,17 @@ def _with_repeats(docs: DataFrame, min_words: int) -> DataFrame:
 
     A digest that very many documents have is one group of narrow rows in the join, which
     Spark splits while adaptive execution is on.  Digests are made twice, for the counts and
-    for the join: written down they would take more disk than a second scan takes time.
+    for the join: written down they would take more disk than a second scan takes time.  The
+    second time a Bloom filter keeps most of those that occur once from the shuffle.
     """
-    ship(docs.sparkSession)
-    marks = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("text <> '' and doc_id is not null").mapInArrow(_digests(min_words), "digest long, doc_id long")
-    shared = marks.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").drop("last")
-    later = marks.join(shared, "digest").where("doc_id > first_doc_id").groupBy("doc_id").agg(F.collect_set(F.struct("digest", "first_doc_id")).alias("repeats"))
+    spark = docs.sparkSession
+    ship(spark)
+    texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("text <> '' and doc_id is not null")
+    marks = lambda sent=None: texts.mapInArrow(_digests(min_words, sent), "digest long, check long, doc_id long")
+    first = (F.min("doc_id").alias("first_doc_id"), F.min_by("check", "doc_id").alias("first_check"), F.max("doc_id").alias("last"))
+    shared = saved(marks().groupBy("digest").agg(*first).where("first_doc_id < last").drop("last"), "shared")
+    sent = spark.sparkContext.broadcast(id_filter(shared.select(F.col("digest").alias("id"))))  # at most 16 MB
+    later = marks(sent).join(shared, "digest").where("doc_id > first_doc_id and check = first_check").groupBy("doc_id").agg(F.collect_set(F.struct("digest", "first_doc_id")).alias("repeats"))
     return docs.join(later, "doc_id", "left")
 
 

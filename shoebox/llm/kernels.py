@@ -34,6 +34,12 @@ def byte_values() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
+@lru_cache(None)
+def other_values() -> np.ndarray:
+    """Bytes' values of a second hash: texts that are equal by the first are as likely as any to differ by it."""
+    return mix(byte_values() ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
+
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -51,10 +57,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Hashes:
     """Prefix sums of a buffer, from which any span's 64-bit hash follows in O(1)."""
 
-    def __init__(self, buf: np.ndarray) -> None:
+    def __init__(self, buf: np.ndarray, values: np.ndarray | None = None) -> None:
         up, self.down = powers(buf.size + 1)
         self.sums = np.zeros(buf.size + 1, np.uint64)
-        np.cumsum(byte_values()[buf] * up[: buf.size], out=self.sums[1:])
+        np.cumsum((byte_values() if values is None else values)[buf] * up[: buf.size], out=self.sums[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))

@@ -87,7 +87,7 @@ def _signatures(width: int, bands: int, rows: int):
     return go
 
 
-def _places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+def places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
     one = K.mix(ids.view(np.uint64))
     return [(one & np.uint64(bits - 1)).astype(np.int64), (one >> np.uint64(65 - bits.bit_length())).astype(np.int64)]
 
@@ -98,7 +98,7 @@ def _bits(n_bits: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(n_bits, bool)
         for x in batches:
-            for at in _places(x.column("id").to_numpy(), n_bits):
+            for at in places(x.column("id").to_numpy(), n_bits):
                 bits[at] = True
         blocks = np.packbits(bits).reshape(64, -1)
         some = [k for k in range(64) if blocks[k].any()]
@@ -135,7 +135,7 @@ def _sets(width: int, sent):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(sent.value, np.uint8)).view(bool)
         for x in K.slices(batches):
-            one, two = _places(x.column("doc_id").fill_null(-1).to_numpy(), bits.size)
+            one, two = places(x.column("doc_id").fill_null(-1).to_numpy(), bits.size)
             x = x.filter(pa.array(bits[one] & bits[two]))
             h, off = shingle_sets(x.column("text"), width)
             some = np.flatnonzero(np.diff(off))
