@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shoebox.llm import chunks, decontaminate, minhash, packing, quality
 from shoebox.llm.queries import table, tokenizer_path
-from shoebox.llm.spark_tools import saved
+from shoebox.llm.spark_tools import forget, saved
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +53,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        kept = saved(stage(spark, docs, sf_dir), name)
+        if k:  # nothing reads the stage before any more
+            forget(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
