@@ -32,6 +32,8 @@ BANDS, ROWS = 40, 6
 POSITIONS = 241
 #: Bits of the filter that keeps texts of no interest out of a shuffle; when it fills up, it only saves less.
 FILTER_BITS = 1 << 27
+#: Pairs of one document that a task compares.
+STAR = 4096
 #: Documents and shingles of a block, about; two blocks are compared at once.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 21
 #: Parts that the rows of a bucket are dealt to when the number of its blocks is joined on.
@@ -162,10 +164,16 @@ def _linked(percent: int):
 
 
 def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
+    """The pairs (a, b) whose full sets are similar enough.
+
+    A document that is `a` in very many pairs, the centre of a star, is dealt to parts of
+    about STAR pairs, each of which gets its set once, so no task has all of them.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("parts"))
+    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")).join(parts, "a").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_linked(percent), "a long, b long")
+    salted = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt"))
+    return salted.join(two, "b").join(one, ["a", "salt"]).select("a", "b", "sa", "sb").mapInArrow(_linked(percent), "a long, b long")
 
 
 def _block_links(percent: int):

@@ -229,6 +229,25 @@ def test_windows_against_all_ways():
         assert begin == at[-1] and abs(cost - best[int(at[-1])]) < 1e-9
 
 
+@pytest.mark.parametrize("star", [7, 4096])
+def test_stars_with_many_spokes(spark, monkeypatch, star):
+    """One text that hundreds of others are near, which are far from each other; each has a word of its own in several places."""
+    monkeypatch.setattr(minhash, "STAR", star)
+    r = random.Random(12)
+    base = [r.choice(WORDS) + str(k) for k in range(60)]
+    texts = [" ".join(base)]
+    for k in range(300):
+        w = list(base)
+        for at in r.sample(range(0, 60, 10), 2):
+            w[at] = f"own{k}x{at}"
+        texts.append(" ".join(w))
+    sets = [shingle_set(t, 3) for t in texts]
+    near = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    rows = {x["doc_id"]: x for x in minhash.near_duplicates(frame(spark, texts), width=3, percent=80).collect()}
+    linked = [k for k in range(1, 301) if near(sets[0], sets[k])]
+    assert len(linked) > 250 and all(rows[k]["component_id"] == 0 and not rows[k]["kept"] for k in linked)
+
+
 # --- substring deduplication ---------------------------------------------------------------
 
 
