@@ -2,7 +2,8 @@
 
 Calls and results are joined by conversation and identifier.  A call depends on others
 (its `after` list); the order that follows is topological: where every dependency points
-to an earlier turn it is that of turns, else levels are found by rounds of joins.
+to an earlier turn it is that of turns, else levels are found by rounds of joins in which
+chains are halved.
 Arguments are checked against the tool's schema and serialised as canonical JSON: keys
 sorted, no spaces.
 """
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark_tools import numbered_within, saved
+from .spark_tools import forget, numbered_within, saved
 
 CALLS = "conv_id long, turn long, call_id string, name string, arguments string, after array<string>"
 RESULTS = "conv_id long, turn long, call_id string, content string"
@@ -64,7 +65,44 @@ def checked(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return typed.withColumn("problems", problems).drop("parsed", "kind", "object", "given", "schema", "pairs")
 
 
-def ordered(calls: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def levels(nodes: DataFrame, needs: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level): how many calls stand behind each other below it, for calls that no cycle is below.
+
+    nodes: conv_id, call_id; needs: conv_id, call_id, needed.  A round settles the calls
+    whose needs are settled, and lets every need on a call that waits for one alone point
+    behind it, so a chain takes as many rounds as its length has binary digits.  Rounds grow
+    with the depth of calls that wait for several.  What is settled no more is on a cycle
+    or behind one.
+    """
+    key = ["conv_id", "call_id"]
+    left = saved(needs.distinct().withColumn("w", F.lit(1).cast("long")), "open")
+    waiting = left.select(*key).distinct()
+    front = saved(nodes.join(waiting, key, "left_anti").withColumn("level", F.lit(0).cast("long")), "level")
+    # the least level of what still waits, by what is settled
+    least = saved(waiting.withColumn("level", F.lit(0).cast("long")), "least")
+    done = front
+    while not front.isEmpty():
+        met = left.join(front.select("conv_id", F.col("call_id").alias("needed"), F.col("level").alias("at")), ["conv_id", "needed"], "left")
+        gain = met.where("at is not null").groupBy(*key).agg(F.max(F.col("at") + F.col("w")).alias("gain"))
+        rest = saved(met.where("at is null").select(*key, "needed", "w"), "open")
+        now = saved(least.join(gain, key, "left").select(*key, F.greatest("level", "gain").alias("level")), "least")
+        waiting = rest.select(*key).distinct()
+        front = saved(now.join(waiting, key, "left_anti"), "level")
+        done = done.unionByName(front)
+        # needs on what waits for one call go to that call; a cycle would add up without end
+        one = rest.groupBy(*key).agg(F.count("*").alias("n"), F.first("needed").alias("next"), F.first("w").alias("more")).where("n = 1").join(now, key)
+        one = one.select("conv_id", F.col("call_id").alias("needed"), "next", "more", F.col("level").alias("floor"))
+        jumped = saved(rest.join(one, ["conv_id", "needed"], "left").withColumn("by", F.col("floor") + F.col("w")), "jumped")
+        forget(left, least)
+        left = saved(jumped.groupBy(*key, F.coalesce("next", "needed").alias("needed")).agg(F.max(F.least(F.col("w") + F.coalesce("more", F.lit(0)), F.lit(1 << 40))).alias("w")), "open")
+        raised = jumped.groupBy(*key).agg(F.max("by").alias("by"))
+        least = saved(now.join(raised, key).select(*key, F.least(F.greatest("level", "by"), F.lit(1 << 40)).alias("level")), "least")
+        forget(rest, now, jumped)
+    forget(left, least)
+    return done
+
+
+def ordered(calls: DataFrame) -> DataFrame:
     """calls with topo_order: a call's place among its conversation's calls, from 0, behind all that it depends on.
 
     Where every dependency of a conversation points to an earlier turn the calls go by
@@ -80,23 +118,14 @@ def ordered(calls: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     leveled = calls.withColumn("level", F.lit(0).cast("long"))
     if odd.limit(1).count():
         odd = saved(odd, "odd")
-        open_ = saved(edges.join(odd, "conv_id", "left_semi").select("conv_id", "call_id", "needed").distinct(), "open")
-        some = calls.join(odd, "conv_id", "left_semi").select("conv_id", "call_id").distinct()
-        front = saved(some.join(open_, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0).cast("long")), "level")
-        level = front
-        for k in range(1, max_rounds):
-            # what needs nothing open any more
-            met = front.select("conv_id", F.col("call_id").alias("needed"))
-            left = saved(open_.join(met, ["conv_id", "needed"], "left_anti"), "open")
-            front = saved(open_.select("conv_id", "call_id").distinct().join(left, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(k).cast("long")), "level")
-            if not front.limit(1).count():
-                break
-            level, open_ = level.unionByName(front), left
+        some = calls.where("call_id is not null").join(odd, "conv_id", "left_semi").select("conv_id", "call_id").distinct()
+        level = levels(some, edges.join(odd, "conv_id", "left_semi").select("conv_id", "call_id", "needed").where("call_id is not null"))
         flagged = calls.join(odd.withColumn("is_odd", F.lit(True)), "conv_id", "left").join(level.select("conv_id", "call_id", "level"), ["conv_id", "call_id"], "left")
         # an identifier that is null needs nothing and is needed by nothing
         free = F.col("is_odd").isNull() | F.col("call_id").isNull()
         leveled = flagged.withColumn("level", F.when(free, F.lit(0).cast("long")).otherwise(F.col("level"))).drop("is_odd")
     placed = numbered_within(leveled, "topo_order", "conv_id", F.asc_nulls_last("level"), F.asc("turn"), F.asc("call_id"), F.asc("name"), F.asc("arguments"))
+    forget(edges)
     return placed.withColumn("topo_order", F.when(F.col("level").isNotNull(), F.col("topo_order") - 1)).drop("level")
 
 

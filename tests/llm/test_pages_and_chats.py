@@ -280,6 +280,45 @@ def test_order_is_topological(spark):
     assert all(order[1, f"c{k}"] is not None for k in range(5)) and [order[2, f"c{k}"] for k in range(5)] == [0, 1, 2, 3, 4]
 
 
+def test_levels_of_random_dependencies(spark):
+    r = random.Random(21)
+    for n, chains in ((12, False), (40, True), (40, False)):
+        calls, level = [], {}
+        for conv in range(4):
+            names = [f"c{k}" for k in range(n)]
+            place = r.sample(range(n), n)  # the order that holds; a call on a cycle breaks it
+            need = {x: [] for x in names}
+            for k, x in enumerate(names):
+                below = [y for m, y in enumerate(names) if place[m] < place[k]]
+                if below:
+                    need[x] = [max(below, key=lambda y: place[names.index(y)])] if chains and r.random() < 0.8 else r.sample(below, min(len(below), r.randrange(3)))
+            if conv == 3:
+                a, b = r.sample(names, 2)
+                need[a].append(b)
+                need[b].append(a)
+            calls += [(conv, t, x, "say", "{}", need[x]) for t, x in enumerate(names)]
+            got, open_ = {}, dict(need)
+            while ready := [x for x in open_ if all(y in got for y in open_[x])]:
+                got |= {x: max((got[y] + 1 for y in need[x]), default=0) for x in ready}
+                open_ = {x: y for x, y in open_.items() if x not in got}
+            level |= {(conv, x): v for x, v in got.items()}
+        d = spark.createDataFrame(calls, tool_calls.CALLS)
+        found = tool_calls.levels(d.select("conv_id", "call_id"), d.selectExpr("conv_id", "call_id", "explode(after) needed"))
+        assert {(x.conv_id, x.call_id): x.level for x in found.collect()} == level
+        order = {(x.conv_id, x.call_id): x.topo_order for x in tool_calls.ordered(d).collect()}
+        for conv, _, x, _, _, after in calls:
+            assert (order[conv, x] is None) == ((conv, x) not in level)
+            assert all(order[conv, x] is None or order[conv, y] < order[conv, x] for y in after)
+
+
+def test_a_long_chain_takes_few_rounds(spark):
+    n = 20_000
+    d = spark.range(n).selectExpr("1L as conv_id", "id as turn", "concat('c', id) as call_id", "'say' as name", "'{}' as arguments", "array(concat('c', id + 1)) as after")
+    begin = time.perf_counter()
+    rows = {x.turn: x.topo_order for x in tool_calls.ordered(d).select("turn", "topo_order").collect()}
+    assert rows == {k: n - 1 - k for k in range(n)} and time.perf_counter() - begin < 240
+
+
 def test_chats(spark):
     chat = spark.createDataFrame([(1, 0, "system", "s", 1), (1, 1, "user", 'a "b"\n', 1), (1, 2, "assistant", "c", 1), (1, 3, "user", None, 1), (2, 0, "assistant", "lone", 1)], "conv_id long, turn long, role string, text string, call_id int")
     got = {(r["conv_id"], r["turn"]): r for r in tool_calls.linked(*tool_calls.from_chat(chat)).collect()}
