@@ -517,6 +517,13 @@ def test_quality_on_the_held_out_fold(spark):
     assert kept.count() == scored.where("predicted = 1").count()
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_toxic_rows_are_found_in_larger_tables(spark):
+    rows = queries.op1_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out")
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in rows.groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n[1, 0]) and n[0, 1] <= 0.012 * (n[0, 0] + n[0, 1])
+
+
 @has_data
 def test_toxicity_on_the_held_out_fold(spark):
     labels = queries.table(spark, DATA, "labels")
