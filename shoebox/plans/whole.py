@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import faces, index, lists, pivots, ranks, search, selection, summaries, vectors
+from ..operators import faces, index, ingest, layout, lists, pivots, preflight, ranks, search, selection, summaries, vectors
 from ..session import shared_folder
 from ..sources import export
 from ..streaming import sync
-from .queries import _BASE, _DOT, _EDGES, _FACES, ASSETS, _cache, _faces, _pool, assets, first_vector, query, table, vecs
+from .queries import _BASE, _DOT, _EDGES, _FACES, _PHOTOS, ASSETS, _cache, _faces, _photos, _pool, assets, first_vector, query, table, vecs
 from .state import NOW, _library, _log
 
 
@@ -288,3 +288,86 @@ def slugs(spark: SparkSession, sf: str) -> DataFrame:
 def search_favourites(spark: SparkSession, sf: str) -> DataFrame:
     """Filters leave hidden and missing assets out unless told otherwise."""
     return search.apply_filters(_library(spark, sf), search.Filters(favorite=True)).select("id")
+
+
+# --- pages ----------------------------------------------------------------------------
+
+_PLACE = "(id % 10) * 0.1::double"
+
+
+def _faced(spark: SparkSession, sf: str) -> DataFrame:
+    """Photographs with a face each, a tenth of the frame wide, in pixels."""
+    at = (F.col("id") % 10) * 0.1
+    return _photos(spark, sf).withColumn("box", F.array(F.array(at * F.col("pw"), F.col("ph") * 0.4, (at + 0.1) * F.col("pw"), F.col("ph") * 0.6)))
+
+
+@query(
+    f"with s as (select page, id, pw, {_PLACE} as a, round_even(1400.0::double / 1400 * 4961, 0) as slot from {_PHOTOS}), d as (select *, pw / (slot / 4961 * 420.0 / 25.4) as dpi from s)"
+    " select page, id, 'resolution' as kind, case when dpi < 150 then 'stop' else 'look' end as severity from d where dpi < 220"
+    " union all select page, id, case when a < 8.0 / 420 or a + 0.1 > 1 - 8.0 / 420 then 'trim' else 'gutter' end, case when a < 8.0 / 420 or a + 0.1 > 1 - 8.0 / 420 then 'stop' else 'look' end from d where a < 8.0 / 420 or a + 0.1 > 1 - 8.0 / 420 or (a < 0.5 + 6.0 / 420 and a + 0.1 > 0.5 - 6.0 / 420)"
+)
+def gutter_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Faces of a spread that the trim or the spine may take."""
+    d = _faced(spark, sf)
+    slots = d.select("page", "id", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(1400).alias("w"), F.lit(990).alias("h"), F.lit(1400).alias("laid_w"), F.lit(990).alias("laid_h"), F.col("pw").alias("source_px"), layout.normalised_faces(F.col("box"), F.col("pw"), F.col("ph")).alias("faces"))
+    p = preflight.profiles(spark).where("profile = 'a4-spread'")
+    return preflight.findings(slots.join(F.broadcast(p))).select("page", "id", "kind", "severity")  # one profile
+
+
+@query(
+    f"with d as (select page, id, pw / (4961.0::double / 4961 * 420.0 / 25.4) as dpi, {_PLACE} as a from {_PHOTOS}), f as (select count(*) filter (dpi < 150) + count(*) filter (a < 8.0 / 420 or a + 0.1 > 1 - 8.0 / 420) as stop, count(*) filter (dpi >= 150 and dpi < 220) + count(*) filter (not (a < 8.0 / 420 or a + 0.1 > 1 - 8.0 / 420) and a < 0.5 + 6.0 / 420 and a + 0.1 > 0.5 - 6.0 / 420) as look from d)"
+    f" select n as pages, stop + 1 + case when n % 4 > 0 then 1 else 0 end as stop, look, false as ready from f, (select count(distinct page) as n from {_PHOTOS})"
+)
+def book_report(spark: SparkSession, sf: str) -> DataFrame:
+    """What a shop that prints books of a million pages at least, in fours, would say."""
+    found = gutter_findings(spark, sf)
+    return preflight.book(found, _photos(spark, sf).select("page").distinct().count(), multiple_of=4, minimum=1_000_000)
+
+
+@query(f"select id, case when id % 7 = 0 then 0 else 1 end::bigint as faces, case when id % 7 > 0 then round(least(greatest({_PLACE}, 0), 1), 9) end as first from {_PHOTOS}")
+def faces_normalised(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes as fractions; those of every seventh picture are in pixels of a larger one, so none counts."""
+    d = _faced(spark, sf).withColumn("pw", F.when(F.col("id") % 7 == 0, F.col("pw") / 100).otherwise(F.col("pw")))
+    f = layout.normalised_faces(F.when(F.col("id") % 7 == 0, F.array(F.array(F.col("pw") * 2, F.lit(0.0), F.col("pw") * 3, F.lit(1.0)))).otherwise(F.col("box")), F.col("pw"), F.col("ph"))
+    return d.select("id", F.size(f).cast("long").alias("faces"), F.round(F.try_element_at(F.try_element_at(f, F.lit(1)), F.lit(1)), 9).alias("first"))
+
+
+@query(
+    f"with d as (select id, pw::double as w, ph::double as h, {_PLACE} as lo, ({_PLACE}) + 0.1 as hi from {_PHOTOS} where pw > ph), s as (select *, least(h / w, 1.0) as span from d), m as (select *, greatest(0.0, 1 - span) as room, least(greatest((lo + hi) / 2 - span / 2, 0.0), greatest(0.0, 1 - span)) as mid from s),"
+    " l as (select *, case when lo < mid then least(greatest(lo - 0.01, 0.0), room) else mid end as l from m), b as (select *, case when room <= 0 then 0.0 when hi - lo <= span then case when hi > l + span then least(greatest(hi - span + 0.01, 0.0), room) else l end else mid end as start from l)"
+    " select id, round_even(h, 0)::bigint as w, round_even(start * w, 0)::bigint as x from b"
+)
+def crops_with_faces(spark: SparkSession, sf: str) -> DataFrame:
+    """Square crops of wide pictures that keep their faces."""
+    at = (F.col("id") % 10) * 0.1
+    c = layout.crop_box(F.col("pw"), F.col("ph"), F.lit(1.0), at, at + 0.1, F.lit(0.4), F.lit(0.6))
+    return _photos(spark, sf).where("pw > ph").select("id", c["w"].alias("w"), c["x"].alias("x"))
+
+
+@query("select p_partkey as id, case when p_partkey % 2 = 0 then p_partkey end::int as width, case when p_partkey % 2 = 0 then 30 end as height from part")
+def rendition_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    one = F.struct(F.lit(1).cast("long").alias("bytes"), k.cast("int").alias("width"), F.lit(30).alias("height"))
+    d = table(spark, sf, "part").select(k.alias("id"), F.when(k % 2 == 0, F.create_map(F.lit("medium"), one)).otherwise(F.create_map(F.lit("thumb"), one)).alias("versions"))
+    size = layout.rendition_size(F.col("versions"), "medium")
+    return d.select("id", size["width"].alias("width"), size["height"].alias("height"))
+
+
+@query("select n_nationkey as id, n_name as name, null::timestamp as synced from nation where n_regionkey > 1")
+def albums_replaced(spark: SparkSession, sf: str) -> DataFrame:
+    """The listing of a run takes the place of the albums before; what it doesn't say is null."""
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), "n_regionkey")
+    old = n.where("n_regionkey < 3").select("id", "name", F.lit(NOW).cast("timestamp").alias("synced"))
+    return ingest.replace_albums(old, n.where("n_regionkey > 1").select("id", "name"))
+
+
+@query(f"select id, case when id <> (select min(id) from {_FACES} where person_id is not null) then person_id end as person_id from {_FACES} where person_id is not null")
+def face_unassigned(spark: SparkSession, sf: str) -> DataFrame:
+    """A face that is given to a person and then taken back."""
+    f = _faces(spark, sf).where("person_id is not null").select("id", "person_id", F.lit(None).cast("string").alias("assigned"), F.array(F.lit(1.0)).alias("embedding"), "det")
+    one = f.agg(F.min("id")).first()[0]
+    seeds = spark.createDataFrame([], "id string, person_id int, embedding array<double>, det double, origin string")
+    f, seeds = faces.assign(f, seeds, one, 99)
+    f, seeds = faces.assign(f, seeds, one, None)
+    assert seeds.isEmpty()
+    return f.select("id", "person_id")
