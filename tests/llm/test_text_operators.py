@@ -321,6 +321,56 @@ def test_chunks_known_from_different_documents_are_no_passage(spark):
     assert all(cut[k] == texts[k] for k in range(42))
 
 
+def test_passages_against_all_windows(spark):
+    """Every window of every text compared with all windows of earlier places, as text."""
+    r = random.Random(31)
+    shared = [prose(n, r) for n in (22, 30, 45, 60, 90)]
+    texts = []
+    for k in range(40):
+        parts = [prose(r.randrange(5, 40), r)]
+        for _ in range(r.randrange(3)):
+            parts += [r.choice(shared), prose(r.randrange(0, 20), r)]
+        texts.append(" ".join(parts))
+    texts += ["", None, texts[3], shared[4] + " " + shared[4]]
+    seen: dict[str, tuple[int, int]] = {}
+    own, want = [], {}
+    for d, t in enumerate(texts):
+        buf, off = kernels.texts_of(pa.array([t]))
+        s, e, _ = chunks.windows(buf, off, chunks.MIN_WORDS)
+        own.append([(a, b, buf[a:b].tobytes().decode()) for a, b in zip(s.tolist(), e.tolist(), strict=True)])
+        for a, b, w in own[-1]:
+            first = seen.setdefault(w, (d, a))
+            if first != (d, a):
+                want.setdefault(d, set()).update(range(len(t.encode()[:a].decode()), len(t.encode()[:b].decode())))
+    got: dict[int, set] = {}
+    for x in chunks.repeated_passages(frame(spark, texts)).collect():
+        got.setdefault(x["doc_id"], set()).update(range(x["start"], x["end"]))
+    assert got == want and len(want) > 15
+
+
+def test_windows_of_other_texts_with_one_digest_are_kept(spark, monkeypatch):
+    """With a first hash that tells nothing apart, the second one still keeps different windows from being cut."""
+    texts = [prose(40) for _ in range(6)]
+    texts.append(texts[0])
+    plain = kernels.Hashes.of
+
+    def of(self, starts, ends):
+        h = plain(self, starts, ends)
+        return h & np.uint64(1) if self.first else h
+
+    init = kernels.Hashes.__init__
+
+    def start(self, buf, values=None):
+        init(self, buf, values)
+        self.first = values is None
+
+    monkeypatch.setattr(kernels.Hashes, "of", of)
+    monkeypatch.setattr(kernels.Hashes, "__init__", start)
+    find = chunks._spans(chunks.MIN_WORDS)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts), pa.nulls(7, pa.list_(pa.struct([("digest", pa.int64()), ("first_doc_id", pa.int64())])))], ["doc_id", "text", "repeats"])
+    assert find(batch) == []
+
+
 def test_windows_cover_runs_of_chunks():
     r = random.Random(6)
     for _ in range(40):
@@ -493,6 +543,21 @@ def test_odd_texts_leave_the_band(spark):
     assert all(got[k] for k in range(200)) and not any(got[k] for k in range(200, 203))
 
 
+@has_data
+def test_bands_against_plain_medians(spark):
+    rows = queries.op7_quality_rules(spark, DATA).collect()
+    middle = lambda v: sorted(v)[(len(v) + 1) // 2 - 1]
+    for lang in {x["lang"] for x in rows}:
+        own = [x for x in rows if x["lang"] == lang]
+        loss = [np.log(x["perplexity"]) for x in own if not x["base_failed"]]
+        m = middle(loss)
+        wide = max(1.4826 * middle([abs(v - m) for v in loss]), perplexity.LEAST)
+        for x in own:
+            gap = abs(np.log(x["perplexity"]) - m) - perplexity.WIDTH * np.sqrt(wide**2 + perplexity.SPREAD / max(x["n_words"], 1))
+            assert x["kept"] == (not x["base_failed"] and gap <= 0) or abs(gap) < 1e-9
+    assert 0 < sum(x["kept"] for x in rows) < sum(not x["base_failed"] for x in rows)
+
+
 # --- classifiers ----------------------------------------------------------------------------------
 
 
