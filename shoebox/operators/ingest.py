@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import decoded_text
 
-#: The record types that are kept.
-TYPES = ("CPLMaster", "CPLAsset", "CPLContainerRelation", "CPLPerson", "CPLFaceCrop")
+# The record types that are kept, as the feed names them.
+TYPES = MASTER, ASSET, RELATION, PERSON, CROP = ("CPLMaster", "CPLAsset", "CPLContainerRelation", "CPLPerson", "CPLFaceCrop")
 
 
 def last(column: str, seq: str = "seq"):
@@ -49,8 +49,8 @@ def missing_since(records: DataFrame, key: str, deleted: str = "deleted") -> Dat
 
 def pair(folded: DataFrame) -> DataFrame:
     """Live assets with their live masters, whichever came first."""
-    masters = folded.where("type = 'CPLMaster' and not deleted").select(F.col("name").alias("master_id"), F.col("json").alias("master_json"))
-    return folded.where("type = 'CPLAsset' and not deleted").join(masters, F.col("master_ref") == F.col("master_id"))
+    masters = folded.where(f"type = '{MASTER}' and not deleted").select(F.col("name").alias("master_id"), F.col("json").alias("master_json"))
+    return folded.where(f"type = '{ASSET}' and not deleted").join(masters, F.col("master_ref") == F.col("master_id"))
 
 
 def fingerprint(fields: list[str]):
@@ -145,20 +145,20 @@ def derived_assets(paired: DataFrame) -> DataFrame:
 
 def people_of(folded: DataFrame) -> DataFrame:
     """People of the feed; a tombstone keeps the columns and sets deleted."""
-    d = folded.where("type = 'CPLPerson' and json is not null")
+    d = folded.where(f"type = '{PERSON}' and json is not null")
     return d.select(F.col("name").alias("id"), text("personFullNameEnc").alias("name"), text("displayName").alias("display_name"), flag("verifiedType").alias("verified"), value("personType", "int").alias("kind"), "modified", "deleted")
 
 
 def crops_of(folded: DataFrame) -> DataFrame:
     """Face crops of the feed with the people they show."""
     person = F.try_variant_get(F.try_parse_json("json"), "$.fields.personRef.value.recordName", "string")
-    d = folded.where("type = 'CPLFaceCrop' and json is not null")
+    d = folded.where(f"type = '{CROP}' and json is not null")
     return d.select(F.col("name").alias("id"), person.alias("person_id"), value("type", "int").alias("kind"), value("resFaceCropFileSize", "long").alias("bytes"), "modified", "deleted")
 
 
 def relations(folded: DataFrame) -> DataFrame:
     """album_id, asset_id of the memberships whose relation is live."""
-    live = folded.where("type = 'CPLContainerRelation' and not deleted")
+    live = folded.where(f"type = '{RELATION}' and not deleted")
     return live.select(value("containerId").alias("album_id"), value("itemId").alias("asset_id")).distinct()
 
 
@@ -184,12 +184,12 @@ def run_statistics(records: DataFrame, before: DataFrame | None = None, after: D
     live = ~F.col("deleted")
     of = lambda kind: F.count_if(live & (F.col("type") == kind))
     out = records.agg(
-        F.count("*").alias("records"), F.count_if(F.col("deleted")).alias("tombstones"), of("CPLContainerRelation").alias("relations"), of("CPLPerson").alias("people"), of("CPLFaceCrop").alias("face_crops"), F.countDistinct("zone").alias("zones"),
+        F.count("*").alias("records"), F.count_if(F.col("deleted")).alias("tombstones"), of(RELATION).alias("relations"), of(PERSON).alias("people"), of(CROP).alias("face_crops"), F.countDistinct("zone").alias("zones"),
     )
     if after is None:
         return out
     o = before.select("id", F.col("fingerprint").alias("__old"), F.lit(True).alias("__was"), F.col("missing_since").alias("__gone"))
-    touched = records.where("type = 'CPLAsset' and not deleted").select(F.col("name").alias("id")).distinct().withColumn("__in", F.lit(True))
+    touched = records.where(f"type = '{ASSET}' and not deleted").select(F.col("name").alias("id")).distinct().withColumn("__in", F.lit(True))
     d = after.join(o, "id", "left").join(touched, "id", "left")
     seen = F.coalesce("__in", F.lit(False))
     counts = d.agg(
@@ -201,7 +201,7 @@ def run_statistics(records: DataFrame, before: DataFrame | None = None, after: D
 
 def mark_missing(assets: DataFrame, folded: DataFrame, now) -> DataFrame:
     """Assets whose record is a tombstone, of whatever kind it was, are missing from now on unless they were before."""
-    gone = folded.where(F.col("deleted") & (F.col("type").isNull() | (F.col("type") == "CPLAsset"))).select(F.col("name").alias("id"), F.lit(True).alias("__gone"))
+    gone = folded.where(F.col("deleted") & (F.col("type").isNull() | (F.col("type") == ASSET))).select(F.col("name").alias("id"), F.lit(True).alias("__gone"))
     d = assets.join(gone, "id", "left")
     return d.withColumn("missing_since", F.when(F.col("__gone"), F.coalesce("missing_since", F.lit(now).cast("timestamp"))).otherwise(F.col("missing_since"))).drop("__gone")
 
@@ -209,11 +209,11 @@ def mark_missing(assets: DataFrame, folded: DataFrame, now) -> DataFrame:
 def touched(folded: DataFrame, names: DataFrame) -> DataFrame:
     """The folded records that a run's names concern: those of the names, the assets of a named master, and the masters of all these."""
     own = folded.join(names.select("name").distinct(), "name", "left_semi")
-    masters = own.where("type = 'CPLMaster'").select(F.col("name").alias("master_ref"))
-    more = folded.where("type = 'CPLAsset'").join(masters, "master_ref", "left_semi")
-    assets = own.where("type = 'CPLAsset'").unionByName(more).dropDuplicates(["name"])
-    rest = folded.where("type = 'CPLMaster'").join(assets.select(F.col("master_ref").alias("name")).distinct(), "name", "left_semi")
-    return assets.unionByName(rest).unionByName(own.where("type is null or type not in ('CPLAsset', 'CPLMaster')"))
+    masters = own.where(f"type = '{MASTER}'").select(F.col("name").alias("master_ref"))
+    more = folded.where(f"type = '{ASSET}'").join(masters, "master_ref", "left_semi")
+    assets = own.where(f"type = '{ASSET}'").unionByName(more).dropDuplicates(["name"])
+    rest = folded.where(f"type = '{MASTER}'").join(assets.select(F.col("master_ref").alias("name")).distinct(), "name", "left_semi")
+    return assets.unionByName(rest).unionByName(own.where(f"type is null or type not in ('{ASSET}', '{MASTER}')"))
 
 
 def sync_assets(old: DataFrame, folded: DataFrame, now, status: str | None = None) -> DataFrame:

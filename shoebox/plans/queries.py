@@ -334,8 +334,8 @@ def record_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select o_orderkey as asset, c_custkey as master, c_name as master_name from orders join customer on o_custkey = c_custkey where o_orderstatus <> 'P' and c_acctbal > 0")
 def pair_assets(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").select(F.concat(F.lit("a"), "o_orderkey").alias("name"), F.lit("CPLAsset").alias("type"), (F.col("o_orderstatus") == "P").alias("deleted"), F.concat(F.lit("m"), "o_custkey").alias("master_ref"), F.lit(None).cast("string").alias("json"))
-    c = table(spark, sf, "customer").select(F.concat(F.lit("m"), "c_custkey").alias("name"), F.lit("CPLMaster").alias("type"), (F.col("c_acctbal") <= 0).alias("deleted"), F.lit(None).cast("string").alias("master_ref"), F.col("c_name").alias("json"))
+    o = table(spark, sf, "orders").select(F.concat(F.lit("a"), "o_orderkey").alias("name"), F.lit(ingest.ASSET).alias("type"), (F.col("o_orderstatus") == "P").alias("deleted"), F.concat(F.lit("m"), "o_custkey").alias("master_ref"), F.lit(None).cast("string").alias("json"))
+    c = table(spark, sf, "customer").select(F.concat(F.lit("m"), "c_custkey").alias("name"), F.lit(ingest.MASTER).alias("type"), (F.col("c_acctbal") <= 0).alias("deleted"), F.lit(None).cast("string").alias("master_ref"), F.col("c_name").alias("json"))
     p = ingest.pair(o.unionByName(c))
     return p.select(F.substring("name", 2, 30).cast("long").alias("asset"), F.substring("master_id", 2, 30).cast("long").alias("master"), F.col("master_json").alias("master_name"))
 

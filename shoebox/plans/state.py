@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import faces, ingest, layout, lists, search, summaries, vectors
 from ..sources import export
+from ..sources.feed import OWN
 from .queries import _FACES, _PHOTOS, ASSETS, _albums, _cache, _faces, _photos, _seeds, assets, query, table, vecs
 
 NOW = dt.datetime(2000, 1, 1, tzinfo=dt.timezone.utc)
@@ -255,7 +256,7 @@ def _log(spark: SparkSession, sf: str) -> DataFrame:
     payload = lambda **f: F.to_json(F.struct(F.struct(*(v(x).alias(k) for k, x in f.items())).alias("fields")))
     b64 = lambda x: F.base64(F.encode(x, "UTF-8"))
     row = lambda d, name, kind, ref, json, seq, deleted=F.lit(False): d.select(
-        name.alias("name"), F.lit(kind).alias("type"), deleted.alias("deleted"), F.lit(None).cast("timestamp").alias("modified"), ref.alias("master_ref"), json.alias("json"), F.lit("PrimarySync").alias("zone"), seq.cast("long").alias("seq"),
+        name.alias("name"), F.lit(kind).alias("type"), deleted.alias("deleted"), F.lit(None).cast("timestamp").alias("modified"), ref.alias("master_ref"), json.alias("json"), F.lit(OWN).alias("zone"), seq.cast("long").alias("seq"),
     )
     key, none = F.col("o_orderkey"), F.lit(None).cast("string")
     name = lambda prefix, k: F.concat(F.lit(prefix), k.cast("string"))
@@ -266,8 +267,8 @@ def _log(spark: SparkSession, sf: str) -> DataFrame:
     person = payload(personFullNameEnc=b64("c_name"), verifiedType=(F.col("c_custkey") % 2).cast("int"), personType=F.lit(1))
     crop = payload(personRef=F.struct(name("P", F.col("o_custkey")).alias("recordName")), type=F.lit(5), resFaceCropFileSize=F.floor("o_totalprice").cast("long"))
     parts = [
-        row(o, name("A", key), "CPLAsset", name("M", key), asset, key * 10), row(o, name("M", key), "CPLMaster", none, master, key * 10 + 1), row(o, name("R", key), "CPLContainerRelation", none, rel, key * 10 + 2), row(o, name("F", key), "CPLFaceCrop", none, crop, key * 10 + 3),
-        row(c, name("P", F.col("c_custkey")), "CPLPerson", none, person, F.col("c_custkey")), row(o, name("X", key), "CPLMemory", none, none, key * 10 + 4),
+        row(o, name("A", key), ingest.ASSET, name("M", key), asset, key * 10), row(o, name("M", key), ingest.MASTER, none, master, key * 10 + 1), row(o, name("R", key), ingest.RELATION, none, rel, key * 10 + 2), row(o, name("F", key), ingest.CROP, none, crop, key * 10 + 3),
+        row(c, name("P", F.col("c_custkey")), ingest.PERSON, none, person, F.col("c_custkey")), row(o, name("X", key), "OtherRecord", none, none, key * 10 + 4),
         row(o.where("o_orderstatus = 'P'"), name("A", key), None, none, none, key * 10 + 5, F.lit(True)), row(o.where("o_orderkey % 3 = 0"), name("R", key), None, none, none, key * 10 + 6, F.lit(True)), row(c.where("c_acctbal < 0"), name("P", F.col("c_custkey")), None, none, none, F.col("c_custkey") + 10**12, F.lit(True)),
     ]
     out = parts[0]

@@ -98,11 +98,11 @@ def near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "select 'A' || o_orderkey as name, 'CPLAsset' as type, o_orderstatus = 'P' as deleted, o_orderkey * 10 + case when o_orderstatus = 'P' then 5 else 0 end as seq from orders"
-    " union all select 'M' || o_orderkey, 'CPLMaster', false, o_orderkey * 10 + 1 from orders"
-    " union all select 'R' || o_orderkey, 'CPLContainerRelation', o_orderkey % 3 = 0, o_orderkey * 10 + case when o_orderkey % 3 = 0 then 6 else 2 end from orders"
-    " union all select 'F' || o_orderkey, 'CPLFaceCrop', false, o_orderkey * 10 + 3 from orders"
-    " union all select 'P' || c_custkey, 'CPLPerson', c_acctbal < 0, c_custkey + case when c_acctbal < 0 then 1000000000000 else 0 end from customer"
+    f"select 'A' || o_orderkey as name, '{ingest.ASSET}' as type, o_orderstatus = 'P' as deleted, o_orderkey * 10 + case when o_orderstatus = 'P' then 5 else 0 end as seq from orders"
+    f" union all select 'M' || o_orderkey, '{ingest.MASTER}', false, o_orderkey * 10 + 1 from orders"
+    f" union all select 'R' || o_orderkey, '{ingest.RELATION}', o_orderkey % 3 = 0, o_orderkey * 10 + case when o_orderkey % 3 = 0 then 6 else 2 end from orders"
+    f" union all select 'F' || o_orderkey, '{ingest.CROP}', false, o_orderkey * 10 + 3 from orders"
+    f" union all select 'P' || c_custkey, '{ingest.PERSON}', c_acctbal < 0, c_custkey + case when c_acctbal < 0 then 1000000000000 else 0 end from customer"
 )
 def fold_incremental(spark: SparkSession, sf: str) -> DataFrame:
     """The log in two batches, each merged into a snapshot by buckets of names."""

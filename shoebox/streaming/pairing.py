@@ -13,13 +13,12 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.ingest import TYPES
+from ..operators.ingest import ASSET, MASTER
 from ..session import ship
 
 ROUTED = "master string, role string, name string, json string, zone string, live boolean, seq long"
 PAIRED = "name string, json string, zone string, master_id string, master_json string, live boolean, seq long"
 _FIELDS = ("type", "master_ref", "json", "zone")
-_MASTER, _ASSET = TYPES[:2]
 
 
 class Fold(StatefulProcessor):
@@ -32,7 +31,7 @@ class Fold(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         old = self.state.get() if self.state.exists() else None
         now = dict(zip([c for f in _FIELDS for c in (f, f"{f}_seq")] + ["deleted", "seq"], old or [None] * (2 * len(_FIELDS) + 2), strict=True))
-        was = now["master_ref"] if now["type"] == _ASSET else None
+        was = now["master_ref"] if now["type"] == ASSET else None
         for r in sorted(rows, key=lambda r: r.seq):
             for f in _FIELDS:
                 if r[f] is not None and (now[f"{f}_seq"] is None or r.seq >= now[f"{f}_seq"]):
@@ -40,9 +39,9 @@ class Fold(StatefulProcessor):
             if now["seq"] is None or r.seq >= now["seq"]:
                 now["deleted"], now["seq"] = r.deleted, r.seq
         self.state.update(tuple(now.values()))
-        if now["type"] == _MASTER:
+        if now["type"] == MASTER:
             yield Row(master=key[0], role="master", name=key[0], json=now["json"], zone=now["zone"], live=not now["deleted"], seq=now["seq"])
-        elif now["type"] == _ASSET:
+        elif now["type"] == ASSET:
             to = now["master_ref"]
             if was is not None and was != to:
                 yield Row(master=was, role="moved", name=key[0], json=None, zone=now["zone"], live=False, seq=now["seq"])
@@ -100,7 +99,7 @@ def paired(stream: DataFrame) -> DataFrame:
     state store must be RocksDB's (spark.sql.streaming.stateStore.providerClass).
     """
     ship(stream.sparkSession)
-    kept = stream.where(F.col("name").isNotNull() & (F.col("type").isin(_MASTER, _ASSET) | F.col("type").isNull()))
+    kept = stream.where(F.col("name").isNotNull() & (F.col("type").isin(MASTER, ASSET) | F.col("type").isNull()))
     routed = kept.groupBy("name").transformWithState(Fold(), ROUTED, "Append", "None")
     return routed.groupBy("master").transformWithState(Pair(), PAIRED, "Append", "None")
 

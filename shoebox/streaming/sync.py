@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..model import SCHEMAS
-from ..operators.ingest import TYPES, crops_of, fold_records, pair, people_of, relations, sync_assets, touched
+from ..operators.ingest import CROP, PERSON, RELATION, crops_of, fold_records, pair, people_of, relations, sync_assets, touched
 from ..sources import catalogue as state
 from ..sources.feed import ERROR, SHARED, ChangeFeed, again, opened
 
@@ -157,7 +157,7 @@ def counts(zones: list[str]) -> list[Column]:
     real = ~F.col("type").eqNullSafe(ERROR)
     of = lambda kind, name: F.count_if(~F.col("deleted") & (F.col("type") == kind)).alias(name)
     by_zone = [F.count_if(real & (F.col("zone") == z)).alias(f"zone {z}") for z in zones]
-    return [F.count_if(real).alias("records"), F.count_if("deleted").alias("tombstones"), of(TYPES[2], "relations"), of(TYPES[3], "people"), of(TYPES[4], "face_crops"), *by_zone]
+    return [F.count_if(real).alias("records"), F.count_if("deleted").alias("tombstones"), of(RELATION, "relations"), of(PERSON, "people"), of(CROP, "face_crops"), *by_zone]
 
 
 class Counted(StreamingQueryListener):
