@@ -131,7 +131,10 @@ def _met(vectors: DataFrame, threshold: float, key: str, embedding: str, block:
     n = max(-(-total // block), min(int((2 * cores) ** 0.5), -(-total // ROWS)), 1)
     v = v.withColumn("h", F.pmod(F.xxhash64("key"), F.lit(n)))
     meet = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda x: F.struct(F.least("h", x).alias("i"), F.greatest("h", x).alias("j"), F.when(F.col("h") <= x, 1).otherwise(2).alias("side")))
-    return v.select("key", "v", F.explode(meet).alias("m")).select("key", "v", "m.*")
+    met = v.select("key", "v", F.explode(meet).alias("m")).select("key", "v", "m.*")
+    pairs = n * (n + 1) // 2
+    # few pairs of large blocks: so that no two of them share a task while others have none
+    return met.repartition(4 * pairs, "i", "j") if total > block and pairs < 4 * cores else met
 
 
 def sim_edges(vectors: DataFrame, threshold: float, key: str, embedding: str = "embedding", block: int = BLOCK, count: int | None = None) -> DataFrame:
