@@ -19,6 +19,8 @@ from ..session import ship
 
 # Page shapes as width and height in pixels at print size.
 SHAPES = {"3:2": (4000, 2667), "2:3": (2667, 4000), "4:3": (4000, 3000), "1:1": (4000, 4000), "16:9": (4000, 2250), "a4": (3508, 2480)}
+#: Sums of aspects within NEAR of a share have reached it.
+NEAR = 1e-12
 
 
 def page_size(shape: str, long_edge: int | None = None, gap: float = 8, caption: str | None = None) -> tuple[int, int, float, int]:
@@ -79,7 +81,7 @@ def balanced_rows(aspects: np.ndarray, rows: int) -> np.ndarray | None:
     if rows > n:
         return None
     sums, k = np.cumsum(aspects), np.arange(rows - 1)
-    ends = np.searchsorted(sums, (k + 1) * (sums[-1] or 1.0) / rows)
+    ends = np.searchsorted(sums, (k + 1) * (sums[-1] or 1.0) / rows - NEAR)
     ends = np.maximum.accumulate(ends - k) + k
     return np.append(0, np.minimum(ends, n - rows + k) + 1).astype(np.int64)
 
