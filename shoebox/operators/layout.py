@@ -19,8 +19,8 @@ from ..session import ship
 
 # Page shapes as width and height in pixels at print size.
 SHAPES = {"3:2": (4000, 2667), "2:3": (2667, 4000), "4:3": (4000, 3000), "1:1": (4000, 4000), "16:9": (4000, 2250), "a4": (3508, 2480)}
-#: Sums of aspects within NEAR of a share have reached it.
-NEAR = 1e-12
+#: Sums of aspects within NEAR of a share have reached it; misses that agree to PLACES decimals are equal.
+NEAR, PLACES = 1e-12, 9
 
 
 def page_size(shape: str, long_edge: int | None = None, gap: float = 8, caption: str | None = None) -> tuple[int, int, float, int]:
@@ -87,7 +87,7 @@ def balanced_rows(aspects: np.ndarray, rows: int) -> np.ndarray | None:
 
 
 def justified_slots(aspects: np.ndarray, width: float, height: float, gap: float) -> np.ndarray:
-    """(x, y, w, h) rows: lines that span the page and fill it, with the number of lines that needs least stretching."""
+    """(x, y, w, h) rows: lines that span the page and fill it, with the number of lines that needs least stretching, the fewest of equals."""
     n = len(aspects)
     best = None
     for rows in range(1, n + 1):
@@ -97,7 +97,7 @@ def justified_slots(aspects: np.ndarray, width: float, height: float, gap: float
         size = np.diff(np.append(first, n))
         sums = np.add.reduceat(aspects, first)
         tall = (width - gap * (size - 1)) / np.where(sums == 0, 1.0, sums)
-        miss = abs(tall.sum() + gap * (rows - 1) - height)
+        miss = round(abs(tall.sum() + gap * (rows - 1) - height), PLACES)
         if best is None or miss < best[0]:
             best = miss, first, size, sums, tall
     _, first, size, sums, tall = best
