@@ -2,7 +2,10 @@
 
 import numpy as np
 
-from shoebox.operators import layout
+from shoebox.operators import layout, ranks
+from shoebox.plans import queries as catalogue
+from shoebox.plans import whole  # noqa: F401  adds its queries
+from shoebox.sources import export
 
 
 def _rows(slots: np.ndarray) -> int:
@@ -23,3 +26,28 @@ def test_justified_takes_the_fewest_rows_of_equal_misses():
     assert _rows(layout.justified_slots(np.full(2, 9 / 7), 1400.0, height, 8.0)) == 1
     aspects = np.array([2340 / 1500, 2500 / 1800, 980 / 2100, 700 / 2400, 2020 / 600, 940 / 900, 2140 / 1200, 1180 / 1500, 780 / 1800])
     assert layout.justified_slots(aspects, 1400.0, 933.0, 8.0)[0].round(6).tolist() == [0.0, 0.0, 579.02113, 296.596123]
+
+
+def test_an_export_writes_what_it_reads_often_once(spark, monkeypatch, tmp_path):
+    """Keys of all kinds are numbered in one pass; two exports had written 24 tables for that alone."""
+    wrote = []
+    own = ranks.saved
+
+    def counted(df, name):
+        wrote.append(name)
+        return own(df, name)
+
+    for m in (ranks, export):
+        monkeypatch.setattr(m, "saved", counted)
+    got = catalogue.QUERIES["export_twice"](spark, "/root/testdata/sf0.001")
+    assert wrote.count("keys") == 4 and len(wrote) <= 14
+    assert got.where("what = 'loose'").isEmpty()
+
+
+def test_keys_of_each_kind_go_on_behind_the_largest_id(spark):
+    names = lambda *x: spark.createDataFrame([(n,) for n in x], "name string")
+    none = spark.createDataFrame([], "name string, id long")
+    one = export.keyed({"a": names("y", "x", "y"), "b": names("x")}, {"a": none, "b": none})
+    two = export.keyed({"a": names("w", "x"), "b": names("v", "u")}, one)
+    rows = {k: {r["name"]: r["id"] for r in t.collect()} for k, t in two.items()}
+    assert rows == {"a": {"x": 1, "y": 2, "w": 3}, "b": {"x": 1, "u": 2, "v": 3}}
