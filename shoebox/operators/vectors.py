@@ -20,6 +20,10 @@ BLOCK, ROWS = 8192, 512
 HELD = 1 << 21
 #: From so many vectors on, joins are pruned by pivots.
 PRUNED = 1 << 17
+#: Blocks above which those of a pruned join grow, up to BLOCK vectors: a vector is sent once for each block that it meets.
+BLOCKS = 64
+#: Pairs of blocks up to which they are sent to the vectors; a file's size says little of them, as they compress well.
+SENT = 1 << 16
 
 
 def scored(vectors: DataFrame, query: list[float], embedding: str = "embedding") -> DataFrame:
@@ -77,11 +81,14 @@ def _products(table: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, n
 
 
 def _pairs(threshold: float):
-    def go(table: pa.Table) -> pa.Table:
-        found = [(np.minimum(p, q), np.maximum(p, q), s) for p, q, s in _products(table, threshold)]
-        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, t) for t in (np.int64, np.int64, float)]
-        return pa.table(dict(zip(("a", "b", "score"), columns, strict=True)))
+    """Edges leave by ROWS vectors, so a task holds the edges of as many with one block."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p, q, s in _products(pa.Table.from_batches(batches), threshold):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(s)], ["a", "b", "score"])
 
+    # Spark reads the hints, which are names here
+    go.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     return go
 
 
@@ -112,7 +119,8 @@ def _tops(threshold: float, top: int):
 def _met(vectors: DataFrame, threshold: float, key: str, embedding: str, block: int, count: int | None) -> DataFrame | None:
     """(key, v, i, j, side): the vectors of each pair of blocks that may hold a pair; None without vectors.
 
-    count: pivots of a pruned join; None chooses, 0 compares all blocks.
+    count: pivots of a pruned join; None chooses, 0 compares all blocks.  Blocks of a pruned
+    join have `block` vectors or, in a larger table, more.
     """
     ship(vectors.sparkSession)
     v = vectors.where(F.col(embedding).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(embedding).cast("array<double>").alias("v"))
@@ -123,10 +131,12 @@ def _met(vectors: DataFrame, threshold: float, key: str, embedding: str, block:
         some = pivots.choose(v, count)
         if not len(some):
             return None
-        dealt, spans = pivots.blocks(vectors, key, embedding, some, block)
+        dealt, spans = pivots.blocks(vectors, key, embedding, some, max(block, min(BLOCK, total // BLOCKS)))
         pairs = saved(pivots.admitted(spans, threshold), "admitted")
         own = lambda side, number: pairs.select(F.col(side).alias("block"), "i", "j", F.lit(number).alias("side"))
-        return dealt.join(own("i", 1).unionByName(own("j", 2).where("i < j")), "block").select("key", "v", "i", "j", "side")
+        meet = own("i", 1).unionByName(own("j", 2).where("i < j"))
+        meet = F.broadcast(meet) if pairs.count() <= SENT else meet.hint("merge")
+        return dealt.join(meet, "block").select("key", "v", "i", "j", "side")
     cores = v.sparkSession.sparkContext.defaultParallelism
     n = max(-(-total // block), min(int((2 * cores) ** 0.5), -(-total // ROWS)), 1)
     v = v.withColumn("h", F.pmod(F.xxhash64("key"), F.lit(n)))

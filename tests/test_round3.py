@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from shoebox.operators import layout, ranks
+from shoebox.operators import layout, ranks, vectors
 from shoebox.plans import queries as catalogue
 from shoebox.plans import whole  # noqa: F401  adds its queries
 from shoebox.sources import export
@@ -51,3 +51,15 @@ def test_keys_of_each_kind_go_on_behind_the_largest_id(spark):
     two = export.keyed({"a": names("w", "x"), "b": names("v", "u")}, one)
     rows = {k: {r["name"]: r["id"] for r in t.collect()} for k, t in two.items()}
     assert rows == {"a": {"x": 1, "y": 2, "w": 3}, "b": {"x": 1, "u": 2, "v": 3}}
+
+
+def test_blocks_of_a_pruned_join_grow_with_the_table(spark):
+    """Blocks of four had left most of 750 * 750 pairs of blocks; the edges are those of all blocks."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(3000, 4))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    d = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, embedding array<double>")
+    assert vectors._met(d, 0.99, "id", "embedding", 4, 4).select("i", "j").distinct().count() < 6000
+    got = {(r["a"], r["b"]) for r in vectors.sim_edges(d, 0.99, "id", block=4, count=4).collect()}
+    a, b = np.nonzero(np.triu(np.round(v @ v.T, 6) >= 0.99, 1))
+    assert got == set(zip(a.tolist(), b.tolist(), strict=True)) and len(got) > 100
