@@ -21,7 +21,7 @@ def last(column: str, seq: str = "seq"):
     return F.max_by(F.col(column), F.when(F.col(column).isNotNull(), F.col(seq)))
 
 
-def fold(records: DataFrame, key: str, fields: list[str], flags: list[str] = ()) -> DataFrame:
+def fold(records: DataFrame, key: str | list[str], fields: list[str], flags: list[str] = ()) -> DataFrame:
     """Fields keep an older value where the newer one is null; flags take the newest record's.  seq is the newest position.
 
     To fold again, each field keeps the position of its value in <field>_seq.
@@ -35,9 +35,14 @@ def fold(records: DataFrame, key: str, fields: list[str], flags: list[str] = ())
     return records.groupBy(key).agg(*aggs, F.max("seq").alias("seq"))
 
 
-def fold_records(records: DataFrame) -> DataFrame:
-    """Current feed records by name; tombstones stay, with deleted set and the last payload."""
-    return fold(records.where(F.col("type").isin(*TYPES) | F.col("type").isNull()), "name", ["type", "modified", "master_ref", "json", "zone"], ["deleted"])
+def kept():
+    """Records of the types that are kept, and tombstones, which have none."""
+    return F.col("type").isin(*TYPES) | F.col("type").isNull()
+
+
+def fold_records(records: DataFrame, beside: tuple[str, ...] = ()) -> DataFrame:
+    """Current feed records by name; tombstones stay, with deleted set and the last payload. beside: columns that follow from the name."""
+    return fold(records.where(kept()), [*beside, "name"], ["type", "modified", "master_ref", "json", "zone"], ["deleted"])
 
 
 def missing_since(records: DataFrame, key: str, deleted: str = "deleted") -> DataFrame:

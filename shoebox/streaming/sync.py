@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..model import SCHEMAS
-from ..operators.ingest import CROP, PERSON, RELATION, crops_of, fold_records, pair, people_of, relations, sync_assets, touched
+from ..operators.ingest import CROP, PERSON, RELATION, crops_of, fold_records, kept, pair, people_of, relations, sync_assets, touched
 from ..sources import catalogue as state
 from ..sources.feed import ERROR, SHARED, ChangeFeed, again, opened
 
@@ -28,7 +28,7 @@ FEED = "feed"
 
 def append_batch(log: str):
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
+        batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{log}/batch={number}")
 
     return write
 
@@ -105,23 +105,28 @@ def refold(spark: SparkSession, root: str, log: str, buckets: int = BUCKETS) ->
     """Merge the log's new batches into the snapshot; returns what they fold to, or nothing without any.
 
     Only buckets with a new record are read and written again, so the cost follows what is
-    new.  The manifest changes last, in one row: a run that dies before leaves the snapshot
+    new.  Records are dealt by bucket and a part of it before they are folded, so they are
+    shuffled once and a task writes few buckets.  The manifest changes last, in one row: a run that dies before leaves the snapshot
     as it was, and the next one does its work again.
     """
     m = _manifest(spark, root)
     new = _new_folders(_folders(spark, log), m)
     if not new:
         return None
-    delta = fold_records(records_of(spark, log, new)).withColumn("bucket", F.pmod(F.xxhash64("name"), F.lit(m.get("n", buckets))))
-    some = [str(r[0]) for r in delta.select("bucket").distinct().collect()]  # no more than there are buckets
-    plain = delta.drop("bucket")
+    n = m.get("n", buckets)
+    fresh = records_of(spark, log, new)
+    hashed = F.xxhash64("name")
+    some = [str(r[0]) for r in fresh.where(kept()).select(F.pmod(hashed, F.lit(n)).alias("bucket")).distinct().collect()]  # no more than there are buckets
+    plain = fold_records(fresh)
     old = _buckets(spark, root, m, plain.schema, some)
-    merged = fold_records(old.unionByName(plain)).withColumn("bucket", F.pmod(F.xxhash64("name"), F.lit(m.get("n", buckets))))
+    parts = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // n)
+    rows = old.unionByName(fresh, allowMissingColumns=True).withColumns({"bucket": F.pmod(hashed, F.lit(n)), "part": F.pmod(F.shiftright(hashed, 32), F.lit(parts))})
+    merged = fold_records(rows.repartition("bucket", "part"), ("bucket", "part")).drop("part")
     version = m["version"] + 1
-    merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/snapshot/{version}")
+    merged.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{root}/snapshot/{version}")
     numbers = [int(x) for f in new if (x := f.partition("=")[2]).isdigit()]
     others = m["others"] + [f for f in new if not f.partition("=")[2].isdigit()]
-    done = {"version": version, "n": m.get("n", buckets), "upto": max([m["upto"], *numbers]), "others": others, "buckets": m["buckets"] | {b: version for b in some}}
+    done = {"version": version, "n": n, "upto": max([m["upto"], *numbers]), "others": others, "buckets": m["buckets"] | {b: version for b in some}}
     _set(spark, root, snapshot=json.dumps(done))
     return plain
 
